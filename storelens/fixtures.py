@@ -7,9 +7,9 @@ grow with their table and no key can make a task large. The matching SQL reads t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from storelens.functions.sql import lit
 from storelens.operators.lookup import ABOUT_PATHS, FAQ_PATHS, POLICY_PATHS
 
 # Paths of the document stores, by position: root, every policy path, every FAQ path, every about path.
@@ -17,100 +17,74 @@ DOC_PATHS = ("", *(p for paths in POLICY_PATHS.values() for p in paths), *FAQ_PA
 DOC_STORE_SIZE = 25  # documents per store; positions past DOC_PATHS become blog pages
 
 
-def _cat(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+def _cat(*parts: str) -> str:
+    """Concatenation of SQL expressions; a part that starts with ``=`` is literal text."""
+    return f"concat({', '.join(lit(p[1:]) if p[:1] == '=' else p for p in parts)})"
 
 
-def _str(c: Column) -> Column:
-    return c.cast("string")
+def _str(expression: str) -> str:
+    return f"cast({expression} as string)"
 
 
-def escape(text: Column) -> Column:
+def escape(text: str) -> str:
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        text = F.replace(text, F.lit(raw), F.lit(entity))
+        text = f"replace({text}, {lit(raw)}, {lit(entity)})"
     return text
 
 
+def _pick(choices, position: str) -> str:
+    return f"get(array({', '.join(map(lit, choices))}), cast({position} as int))"
+
+
 def records(events: DataFrame) -> DataFrame:
     """Extraction records: the store is the user, ``error`` events are failures, ``view`` events have no time."""
-    url = _cat("https://store-", _str(F.col("user_id")), ".example.com")
-    name = _cat("Store ", _str(F.col("user_id")))
-    ok = F.col("event_type") != "error"
-    at = F.col("ts").cast("timestamp")
-    seconds = F.unix_micros(at) / 1_000_000
-    doc = F.to_json(
-        F.struct(
-            url.alias("store_url"), name.alias("store_name"), seconds.alias("scraped_at"), ok.alias("success")
-        )
+    url, name = "concat('https://store-', user_id, '.example.com')", "concat('Store ', user_id)"
+    at = "cast(ts as timestamp)"
+    doc = (
+        f"to_json(named_struct('store_url', {url}, 'store_name', {name}, "
+        f"'scraped_at', unix_micros({at}) / 1000000, 'success', event_type <> 'error'))"
     )
-    return events.select(
-        F.col("event_id").alias("id"),
-        url.alias("store_url"),
-        name.alias("store_name"),
-        doc.alias("insights_data"),
-        at.alias("scraped_at"),
-        F.when(F.col("event_type") != "view", F.col("value")).alias("processing_time"),
-        ok.alias("success"),
-        F.when(~ok, F.lit('["Failed to fetch the main page"]')).alias("error_message"),
+    return events.selectExpr(
+        "event_id as id",
+        f"{url} as store_url",
+        f"{name} as store_name",
+        f"{doc} as insights_data",
+        f"{at} as scraped_at",
+        "if(event_type <> 'view', value, null) as processing_time",
+        "event_type <> 'error' as success",
+        "if(event_type = 'error', '[\"Failed to fetch the main page\"]', null) as error_message",
     )
 
 
 def catalogs(part: DataFrame) -> DataFrame:
     """One catalogue payload per part with up to 260 products; kinds 0-5 of 20 are malformed on purpose."""
-    key, size = F.col("p_partkey"), F.col("p_size")
-    n = F.when(size == 50, 260).when(size == 49, 0).otherwise(size % 7 + 1)
-    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
-
-    def product(i: Column) -> Column:
-        kind = (key + i) % 20
-        amount = cents + i * 100
-        text = _cat(_str(F.floor(amount / 100)), ".", F.lpad(_str(amount % 100), 2, "0"))
-        price = (
-            F.when(kind == 7, _cat('"price":', text, ","))
-            .when(kind == 8, F.lit(""))
-            .otherwise(_cat('"price":"', text, '",'))
-        )
-        compare = (
-            F.when(kind == 5, F.lit("0")).when(i % 3 == 0, _cat('"', text, '"')).otherwise(F.lit("null"))
-        )
-        flag = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
-        variants = _cat(
-            '[{"id":1,', price, '"compare_at_price":', compare, ',"available":', flag((key + i) % 2 == 0),
-            '},{"id":2,"price":"1.00","available":', flag(i % 5 == 0), "}]",
-        )
-        images = F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), (i % 4).cast("int")),
-                lambda j: F.when(j == 0, F.lit('{"src":""}')).otherwise(
-                    _cat('{"src":"https://img.example.com/', _str(key), "/", _str(j), '.jpg"}')
-                ),
-            ),
-            ",",
-        )
-        day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), size), "yyyy-MM-dd")
-        return _cat(
-            '{"id":', F.when(kind == 1, F.lit('"abc"')).when(kind == 10, _cat('"', _str(key * 1000 + i), '"')).otherwise(_str(key * 1000 + i)),
-            ',"title":', F.when(kind == 3, F.lit("5")).otherwise(_cat('"', F.col("p_name"), "  ", _str(i), ' &amp; co"')),
-            ',"handle":"h-', _str(i), '","body_html":"<p>', F.col("p_type"), '\\n item</p>","vendor":"', F.col("p_brand"),
-            '","product_type":"', F.col("p_type"), '","tags":',
-            F.when(kind == 0, F.lit("null")).otherwise(_cat('["', F.col("p_brand"), '","', F.col("p_type"), '"]')),
-            ',"variants":', F.when(kind == 4, F.lit("null")).when(kind == 6, F.lit("[]")).otherwise(variants),
-            ',"images":[', images, '],"created_at":"', F.when(kind == 2, F.lit("soon")).otherwise(_cat(day, "T10:00:00Z")),
-            '","updated_at":null}',
-        )
-
-    products = F.when(n == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), product)
-    )
+    kind, ident = "((p_partkey + i) % 20)", "cast(p_partkey * 1000 + i as string)"
+    amount = "(cast(round(p_retailprice * 100) as bigint) + i * 100)"
+    text = f"concat(cast(floor({amount} / 100) as string), '.', lpad(cast({amount} % 100 as string), 2, '0'))"
+    price = f"case {kind} when 7 then {_cat('=\"price\":', text, '=,')} when 8 then '' else {_cat('=\"price\":\"', text, '=\",')} end"
+    compare = f"case when {kind} = 5 then '0' when i % 3 = 0 then {_cat('=\"', text, '=\"')} else 'null' end"
+    variants = _cat(
+        '=[{"id":1,', price, '="compare_at_price":', compare, '=,"available":', "if((p_partkey + i) % 2 = 0, 'true', 'false')",
+        '=},{"id":2,"price":"1.00","available":', "if(i % 5 = 0, 'true', 'false')", "=}]",
+    )
+    image = _cat('={"src":"https://img.example.com/', "p_partkey", "=/", "j", '=.jpg"}')
+    images = f"array_join(transform(sequence(0, i % 4), j -> if(j = 0, {lit('{"src":""}')}, {image})), ',')"
+    created = "concat(date_format(date_add(date'2024-01-01', p_size), 'yyyy-MM-dd'), 'T10:00:00Z')"
+    product = _cat(
+        '={"id":', f"case {kind} when 1 then '\"abc\"' when 10 then {_cat('=\"', ident, '=\"')} else {ident} end",
+        '=,"title":', f"if({kind} = 3, '5', {_cat('=\"', 'p_name', '=  ', 'i', '= &amp; co\"')})",
+        '=,"handle":"h-', "i", '=","body_html":"<p>', "p_type", '=\\n item</p>","vendor":"', "p_brand",
+        '=","product_type":"', "p_type", '=","tags":', f"if({kind} = 0, 'null', {_cat('=[\"', 'p_brand', '=\",\"', 'p_type', '=\"]')})",
+        '=,"variants":', f"case {kind} when 4 then 'null' when 6 then '[]' else {variants} end",
+        '=,"images":[', images, '=],"created_at":"', f"if({kind} = 2, 'soon', {created})", '=","updated_at":null}',
+    )
+    count = "case p_size when 50 then 260 when 49 then 0 else p_size % 7 + 1 end"
+    products = f"array_join(transform(slice(sequence(0, 259), 1, {count}), i -> {product}), ',')"
     payload = (
-        F.when(size == 48, F.lit('{"products": ['))
-        .when(size == 47, F.lit(None).cast("string"))
-        .when(size == 46, F.lit("[]"))
-        .otherwise(_cat('{"products":[', F.array_join(products, ","), "]}"))
-    )
-    return part.select(
-        _cat("https://p", _str(key), ".example.com").alias("store_url"), payload.alias("payload")
+        f"case p_size when 48 then {lit('{"products": [')} when 47 then null when 46 then '[]' "
+        f"else {_cat('={"products":[', products, '=]}')} end"
     )
+    return part.selectExpr("concat('https://p', p_partkey, '.example.com') as store_url", f"{payload} as payload")
 
 
 # Markup around and class of the cards, by position of the selector they are meant for.
@@ -128,128 +102,96 @@ _CARDS = (
 
 def hero_pages(part: DataFrame) -> DataFrame:
     """One home page per part with 0-8 cards, equal in pairs; two grid cards stand behind them."""
-    key = F.col("p_partkey")
-
-    def at(position: int) -> Column:
-        return F.element_at(F.array(*[F.lit(c[position]) for c in _CARDS]), (key % 8 + 1).cast("int"))
-
-    def card(i: Column) -> Column:
-        k = F.floor(i / 2)
-        name = _cat(F.col("p_name"), " ", _str(k))
-        title = F.when(k % 2 == 0, _cat('<h3 class="product-title">', name, "</h3>")).otherwise(F.lit(""))
-        source = F.when(k % 2 == 0, F.lit("src")).otherwise(F.lit("data-src"))
-        price = F.when(k == 3, F.lit("")).otherwise(
-            _cat('<span class="money"> $', _str(F.col("p_size")), "\n</span>")
-        )
-        return _cat(
-            '<div class="card ', at(1), '">', title, '<a href="/products/', _str(key), "-", _str(k), '">',
-            name, " link</a><img ", source, '="//img.example.com/', _str(key), '.jpg"><p>', F.col("p_type"),
-            " &amp; more", price, "</div>",
-        )
-
-    n = F.col("p_size") % 9
-    cards = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), card), "\n"))
-    grid = '<div class="grid-product"><h2>Grid</h2></div><div class="grid-product"></div>'
+
+    def at(position: int) -> str:
+        return _pick([c[position] for c in _CARDS], "p_partkey % 8")
+
+    k = "cast(floor(i / 2) as string)"
+    even = "(floor(i / 2) % 2 = 0)"
+    card = _cat(
+        '=<div class="card ', at(1), '=">',
+        f"if({even}, {_cat('=<h3 class=\"product-title\">', 'p_name', '= ', k, '=</h3>')}, '')",
+        '=<a href="/products/', "p_partkey", "=-", k, '=">', "p_name", "= ", k, "= link</a><img ", f"if({even}, 'src', 'data-src')",
+        '==\"//img.example.com/', "p_partkey", '=.jpg"><p>', "p_type", "= &amp; more",
+        f"if(floor(i / 2) = 3, '', {_cat('=<span class=\"money\"> $', 'p_size', '=\n</span>')})", "=</div>",
+    )
+    cards = f"array_join(transform(slice(sequence(0, 7), 1, p_size % 9), i -> {card}), '\n')"
+    grid = lit('<div class="grid-product"><h2>Grid</h2></div><div class="grid-product"></div>')
     html = _cat(
-        "<html><head><title>Shop ", _str(key), "</title></head><body>", at(0), F.coalesce(cards, F.lit("")), at(2),
-        F.when(n > 0, F.when(key % 8 == 7, F.lit("")).otherwise(F.lit(grid))).otherwise(F.lit(grid)), "</body></html>",
-    )
-    return part.select(
-        key.alias("page_id"),
-        _cat("https://p", _str(key), ".example.com/").alias("url"),
-        html.alias("html"),
+        "=<html><head><title>Shop ", "p_partkey", "=</title></head><body>", at(0), cards, at(2),
+        f"if(p_size % 9 > 0 and p_partkey % 8 = 7, '', {grid})", "=</body></html>",
+    )
+    return part.selectExpr(
+        "p_partkey as page_id", "concat('https://p', p_partkey, '.example.com/') as url", f"{html} as html"
     )
 
 
 def faq_pages(conversations: DataFrame) -> DataFrame:
     """One FAQ page per turn: sentences in pairs of question and answer, in one of three markups."""
-    kind = (F.col("conv_id") + F.col("turn")) % 3
-    parts = F.split("text", r"\. ")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int")),
-        lambda k: F.struct(
-            escape(F.get(parts, 2 * k)).alias("q"), escape(F.get(parts, 2 * k + 1)).alias("a")
-        ),
-    )
-    pairs = F.filter(pairs, lambda p: p["a"].isNotNull())
-
-    def block(p: Column) -> Column:
-        return (
-            F.when(
-                kind == 0,
-                _cat(
-                    '<div class="faq-item"><h3 class="faq-question">', p["q"], '</h3><div class="answer">', p["a"],
-                    "</div></div>",
-                ),
-            )
-            .when(kind == 1, _cat("<dt>", p["q"], "</dt><dt>again</dt><dd>", p["a"], "</dd>"))
-            .otherwise(_cat("<h4>", p["q"], "?</h4><span>-</span><p>", p["a"], "</p><h5>", p["q"], "</h5>"))
-        )
-
-    body = F.array_join(F.transform(pairs, block), "")
-    return conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"),
-        _cat("https://c", _str(F.col("conv_id")), ".example.com/pages/faq?turn=", _str(F.col("turn"))).alias("url"),
-        _cat("<html><body><dl>", body, "</dl></body></html>").alias("html"),
+    items = _cat('=<div class="faq-item"><h3 class="faq-question">', "p.q", '=</h3><div class="answer">', "p.a", "=</div></div>")
+    terms = _cat("=<dt>", "p.q", "=</dt><dt>again</dt><dd>", "p.a", "=</dd>")
+    heads = _cat("=<h4>", "p.q", "=?</h4><span>-</span><p>", "p.a", "=</p><h5>", "p.q", "=</h5>")
+    block = f"case (conv_id + turn) % 3 when 0 then {items} when 1 then {terms} else {heads} end"
+    pair = f"named_struct('q', {escape('get(parts, 2 * k)')}, 'a', {escape('get(parts, 2 * k + 1)')})"
+    pairs = f"filter(transform(sequence(0, cast(size(parts) / 2 as int)), k -> {pair}), p -> p.a is not null)"
+    return conversations.selectExpr("*", f"split(text, {lit('[.] ')}) as parts").selectExpr(
+        "conv_id * 1000 + turn as page_id",
+        "concat('https://c', conv_id, '.example.com/pages/faq?turn=', turn) as url",
+        f"concat('<html><body><dl>', array_join(transform({pairs}, p -> {block}), ''), '</dl></body></html>') as html",
     )
 
 
 def contact_pages(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     """One home page per supplier with mail, phones, address, social links, banners and navigation."""
-    key = F.col("s_suppkey")
-    code = F.lpad(_str(key % 100000), 5, "0")
-    handle = F.replace(F.lower("s_name"), F.lit("#"), F.lit("_"))
-    mail = _cat("s", _str(key), ".example.com")
-    number = F.lpad(_str(key % 10000), 4, "0")
-    banner = F.when(key % 2 == 0, F.repeat(F.lit("short "), 3)).otherwise(F.repeat(_cat(F.col("n_name"), " brand story. "), 12))
-    html = _cat(
-        "<html><head><title> ", F.when(key % 5 == 0, F.lit("")).otherwise(_cat(F.col("s_name"), " - Home")), "</title>",
-        '<script>var x = "hidden@example.com";</script></head><body>',
-        '<div class="logo"><img alt="', F.when(key % 3 == 0, F.lit("")).otherwise(F.col("s_name")), '"></div>',
-        '<nav><a href="/track-order">Track your order</a><a href="/contact">Reach us</a><a href="contact">Reach us too</a>',
-        '<a href="/news">Our &amp; News</a><a href="/x"></a><a>contact</a><a href="/plain">Plain</a></nav>',
-        '<div class="banner">', banner, '</div><div class="intro">', F.repeat(_cat("Intro of ", F.col("s_name"), ". "), 8), "</div>",
-        "<p>Mail: info@", mail, "; Sales@", mail, "; info@", mail, ".</p>",
-        "<p>Call: (555) 123-", number, " or +44-20-555-", number, ".</p>",
-        "<p>Visit: ", _str(key % 900 + 1), " Main Street, ", F.col("n_name"), ", CA ", code, ".</p>",
-        '<footer class="menu"><a href="https://www.instagram.com/', handle, '">Photos</a>',
-        '<a href="https://facebook.com/', handle, '?ref=1">Friends</a><a href="http://youtube.com/channel/', handle, '-tv">Videos</a>',
-        '<a href="https://x.com/', handle, '/">Posts</a><a href="/size-guide#top">Size guide</a>',
-        '<a href="https://linkedin.com/company/', handle, '-inc">Jobs</a></footer>',
-        "<p>Follow @", handle, " on Instagram</p></body></html>",
-    )
-    joined = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
-    return joined.select(
-        key.alias("page_id"), _cat("https://s", _str(key), ".example.com").alias("url"), html.alias("html")
+    joined = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).selectExpr(
+        "*",
+        "lpad(cast(s_suppkey % 100000 as string), 5, '0') as zip",
+        "lpad(cast(s_suppkey % 10000 as string), 4, '0') as line",
+        "replace(lower(s_name), '#', '_') as handle",
+        "concat('s', s_suppkey, '.example.com') as host",
     )
+    banner = "if(s_suppkey % 2 = 0, repeat('short ', 3), repeat(concat(n_name, ' brand story. '), 12))"
+    html = _cat(
+        "=<html><head><title> ", "if(s_suppkey % 5 = 0, '', concat(s_name, ' - Home'))", "=</title>",
+        '=<script>var x = "hidden@example.com";</script></head><body>',
+        '=<div class="logo"><img alt="', "if(s_suppkey % 3 = 0, '', s_name)", '="></div>',
+        '=<nav><a href="/track-order">Track your order</a><a href="/contact">Reach us</a><a href="contact">Reach us too</a>',
+        '=<a href="/news">Our &amp; News</a><a href="/x"></a><a>contact</a><a href="/plain">Plain</a></nav>',
+        '=<div class="banner">', banner, '=</div><div class="intro">', "repeat(concat('Intro of ', s_name, '. '), 8)", "=</div>",
+        "=<p>Mail: info@", "host", "=; Sales@", "host", "=; info@", "host", "=.</p>",
+        "=<p>Call: (555) 123-", "line", "= or +44-20-555-", "line", "=.</p>",
+        "=<p>Visit: ", "s_suppkey % 900 + 1", "= Main Street, ", "n_name", "=, CA ", "zip", "=.</p>",
+        '=<footer class="menu"><a href="https://www.instagram.com/', "handle", '=">Photos</a>',
+        '=<a href="https://facebook.com/', "handle", '=?ref=1">Friends</a><a href="http://youtube.com/channel/', "handle", '=-tv">Videos</a>',
+        '=<a href="https://x.com/', "handle", '=/">Posts</a><a href="/size-guide#top">Size guide</a>',
+        '=<a href="https://linkedin.com/company/', "handle", '=-inc">Jobs</a></footer>',
+        "=<p>Follow @", "handle", "= on Instagram</p></body></html>",
+    )
+    return joined.selectExpr("s_suppkey as page_id", "concat('https://', host) as url", f"{html} as html")
 
 
 def document_pages(documents: DataFrame) -> DataFrame:
     """One page per document; runs of 25 documents share a store and take its known paths in turn.
 
-    Every third policy page has an empty first content block, about pages in turn have content, an empty block or none.
+    Of three pages in turn, one has an empty first content block, one has content and one has no block at all.
     """
-    key = F.col("doc_id")
-    slot = (key % DOC_STORE_SIZE).cast("int")
-    path = F.coalesce(F.get(F.array(*map(F.lit, DOC_PATHS)), slot), _cat("/blog/", _str(key)))
-    store = F.floor(key / DOC_STORE_SIZE)
-    body = escape(F.col("text"))
-    heading = F.when(key % 4 == 0, F.lit("")).otherwise(_cat("<h1>Doc ", _str(key), "</h1>"))
+    path = f"coalesce({_pick(DOC_PATHS, f'doc_id % {DOC_STORE_SIZE}')}, concat('/blog/', doc_id))"
+    body = escape("text")
     content = (
-        F.when(key % 3 == 0, _cat('<div class="page-content"> </div><div class="content">', body, "</div>"))
-        .when(key % 3 == 1, _cat('<main><p class="page">', body, "</p></main>"))
-        .otherwise(_cat('<div class="other">', body, "</div>"))
+        f"case doc_id % 3 when 0 then {_cat('=<div class=\"page-content\"> </div><div class=\"content\">', body, '=</div>')} "
+        f"when 1 then {_cat('=<main><p class=\"page\">', body, '=</p></main>')} "
+        f"else {_cat('=<div class=\"other\">', body, '=</div>')} end"
     )
-    return documents.select(
-        key.alias("page_id"),
-        _cat("http://D", _str(store), ".Example.com", path, F.when(key % 2 == 0, F.lit("/?v=1")).otherwise(F.lit(""))).alias("url"),
-        _cat("<html><head><title>", F.col("source"), "</title></head><body>", heading, content, "</body></html>").alias("html"),
+    heading = "if(doc_id % 4 = 0, '', concat('<h1>Doc ', doc_id, '</h1>'))"
+    return documents.selectExpr(
+        "doc_id as page_id",
+        f"concat('http://D', floor(doc_id / {DOC_STORE_SIZE}), '.Example.com', {path}, if(doc_id % 2 = 0, '/?v=1', '')) as url",
+        f"concat('<html><head><title>', source, '</title></head><body>', {heading}, {content}, '</body></html>') as html",
     )
 
 
 def document_requests(documents: DataFrame) -> DataFrame:
     """One request per document store."""
-    store = F.floor(F.col("doc_id") / DOC_STORE_SIZE)
-    return documents.select(
-        _cat("d", _str(store), ".example.com").alias("website_url"), F.lit(False).alias("include_competitors")
+    return documents.selectExpr(
+        f"concat('d', floor(doc_id / {DOC_STORE_SIZE}), '.example.com') as website_url", "false as include_competitors"
     ).distinct()

@@ -1,7 +1,7 @@
-"""Selectors as columns over the node array of a page: no join and no shuffle.
+"""Selectors over the node array of a page: no join and no shuffle.
 
-A selector is a function from a node column to a boolean column, so any Spark expression can serve; the
-helpers below cover tags, classes, attributes and their combinations.
+A selector is a function from the name of a node to a SQL condition, so any expression can serve; the helpers
+below cover tags, classes, attributes and their combinations.
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Predicate = Callable[[Column], Column]
+from storelens.functions.sql import either, lit, lits
+
+Predicate = Callable[[str], str]
 
 
 @dataclass(frozen=True)
@@ -27,84 +29,67 @@ Selector = Predicate | Inside
 
 
 def tag(*names: str) -> Predicate:
-    return lambda n: n["tag"].isin(*names)
+    return lambda n: f"{n}.tag in ({lits(names)})"
 
 
 def cls(*names: str) -> Predicate:
     """Any of the classes (case-sensitive)."""
     if len(names) == 1:
-        return lambda n: F.array_contains(n["classes"], names[0])
-    return lambda n: F.arrays_overlap(n["classes"], F.array(*map(F.lit, names)))
+        return lambda n: f"array_contains({n}.classes, {lit(names[0])})"
+    return lambda n: f"arrays_overlap({n}.classes, array({lits(names)}))"
 
 
 def tag_cls(name: str, klass: str) -> Predicate:
-    return lambda n: (n["tag"] == name) & F.array_contains(n["classes"], klass)
+    return lambda n: f"({n}.tag = {lit(name)} and array_contains({n}.classes, {lit(klass)}))"
 
 
 def attr_contains(name: str, attr: str, part: str) -> Predicate:
     """``name[attr*="part"]``, case-sensitive."""
-    return lambda n: (n["tag"] == name) & F.coalesce(n["attrs"][attr].contains(part), F.lit(False))
+    return lambda n: f"({n}.tag = {lit(name)} and coalesce(contains({n}.attrs[{lit(attr)}], {lit(part)}), false))"
 
 
 def any_of(*predicates: Predicate) -> Predicate:
-    def either(n: Column) -> Column:
-        out = predicates[0](n)
-        for p in predicates[1:]:
-            out = out | p(n)
-        return out
-
-    return either
-
+    return lambda n: either(p(n) for p in predicates)
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-
-def inner(nodes: Column, node: Column) -> Column:
+def inner(nodes: str, node: str) -> str:
     """Descendants of ``node``: the slice that follows it."""
-    return F.slice(nodes, node["id"] + 2, node["last"] - node["id"])
+    return f"slice({nodes}, {node}.id + 2, {node}.last - {node}.id)"
 
 
-def select(nodes: Column, selector: Selector) -> Column:
+def select(nodes: str, selector: Selector) -> str:
     """All matching nodes in document order."""
     if not isinstance(selector, Inside):
-        return F.filter(nodes, selector)
-    found = F.flatten(
-        F.transform(
-            F.filter(nodes, selector.ancestor),
-            lambda a: F.transform(F.filter(inner(nodes, a), selector.node), lambda n: n["id"]),
-        )
-    )
-    ids = F.array_sort(F.array_distinct(found))
-    return F.transform(ids, lambda i: F.get(nodes, i))
+        return f"filter({nodes}, n -> {selector('n')})"
+    above = f"filter({nodes}, n -> {selector.ancestor('n')})"
+    below = f"transform(filter({inner(nodes, 'above')}, n -> {selector.node('n')}), n -> n.id)"
+    ids = f"array_sort(array_distinct(flatten(transform({above}, above -> {below}))))"
+    return f"transform({ids}, i -> get({nodes}, i))"
 
 
-def select_first(nodes: Column, selector: Selector) -> Column:
+def select_first(nodes: str, selector: Selector) -> str:
     """First match in document order, NULL without one."""
-    return F.get(select(nodes, selector), F.lit(0))
+    return f"get({select(nodes, selector)}, 0)"
 
 
-def select_priority(nodes: Column, selectors: Sequence[Selector]) -> Column:
+def select_priority(nodes: str, selectors: Sequence[Selector]) -> str:
     """First match of the first selector, in list order, that matches anything."""
-    return F.coalesce(*(select_first(nodes, s) for s in selectors))
+    return f"coalesce({', '.join(select_first(nodes, s) for s in selectors)})"
 
 
-def next_sibling(nodes: Column, node: Column) -> Column:
+def next_sibling(nodes: str, node: str) -> str:
     """First later sibling of ``node`` among ``nodes`` (already narrowed to the wanted tags)."""
-    return F.get(
-        F.filter(nodes, lambda x: (x["parent"] == node["parent"]) & (x["id"] > node["last"])), F.lit(0)
-    )
+    return f"get(filter({nodes}, n -> n.parent = {node}.parent and n.id > {node}.last), 0)"
 
 
-def node_text(visible_text: Column, node: Column) -> Column:
+def node_text(visible_text: str, node: str) -> str:
     """Text of a subtree, cut from the page text."""
-    return F.substring(visible_text, node["t0"] + 1, node["t1"] - node["t0"])
+    return f"substring({visible_text}, {node}.t0 + 1, {node}.t1 - {node}.t0)"
 
 
-def attr(node: Column, *names: str) -> Column:
+def attr(node: str, *names: str) -> str:
     """First non-empty attribute of the given names."""
-    return F.coalesce(*(F.nullif(node["attrs"][n], F.lit("")) for n in names))
+    return f"coalesce({', '.join(f'nullif({node}.attrs[{lit(n)}], \'\')' for n in names)})"
 
 
 # --- the same operators over the node table (one row per node), for ad-hoc queries ---
@@ -116,26 +101,28 @@ def select_nodes(nodes: DataFrame, selector: Selector, page: str = "page_id") ->
     Node intervals nest, so a node lies below some ancestor exactly when the largest ``last`` among the
     ancestors before it reaches its id: one sorted pass per page instead of an interval join.
     """
-    row = F.struct(*[F.col(c) for c in nodes.columns])
+    rows = nodes.alias("n")
     if not isinstance(selector, Inside):
-        return nodes.where(selector(row))
+        return rows.where(selector("n"))
     before = Window.partitionBy(page).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.expr(f"case when {selector.ancestor('n')} then n.last end")
     return (
-        nodes.where(selector.ancestor(row) | selector.node(row))
-        .withColumn("_reach", F.max(F.when(selector.ancestor(row), F.col("last"))).over(before))
-        .where((F.col("_reach") >= F.col("id")) & selector.node(row))
+        rows.where(f"{selector.ancestor('n')} or {selector.node('n')}")
+        .withColumn("_reach", F.max(ends).over(before))
+        .where(f"_reach >= n.id and {selector.node('n')}")
         .drop("_reach")
     )
 
 
 def next_sibling_nodes(nodes: DataFrame, start: Predicate, wanted: Predicate, page: str = "page_id") -> DataFrame:
     """Rows matching ``start`` with the next later sibling matching ``wanted`` as struct ``sibling``."""
-    row = F.struct(*[F.col(c) for c in nodes.columns])
     after = (
         Window.partitionBy(page, "parent").orderBy(F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
     )
+    hit = F.expr(f"case when {wanted('n')} then struct(n.id, n.last, n.tag, n.t0, n.t1) end")
     return (
-        nodes.where(start(row) | wanted(row))
-        .withColumn("sibling", F.last(F.when(wanted(row), row), ignorenulls=True).over(after))
-        .where(start(row) & F.col("sibling").isNotNull())
+        nodes.alias("n")
+        .where(f"{start('n')} or {wanted('n')}")
+        .withColumn("sibling", F.last(hit, ignorenulls=True).over(after))
+        .where(f"{start('n')} and sibling is not null")
     )

@@ -1,17 +1,15 @@
-"""Text columns: cleaning, contact patterns, social handles, link categories.
+"""Text expressions: cleaning, contact patterns, social handles, link categories.
 
 All patterns run in the JVM. Word characters and blanks are spelled out as Unicode classes and ``d`` makes the
-line feed the only line end, so that accented text, NBSP and the like are read as such. Patterns whose
-plain form rescans a long run once per start are written so that each run is entered once.
+line feed the only line end, so that accented text, NBSP and the like are read as such. Patterns whose plain
+form rescans a long run once per start are written so that each run is entered once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from storelens.functions.sql import NO_TEXT, either, let, lit
 from storelens.functions.urls import BLANK
 
 WORD = r"[\p{L}\p{N}_]"
@@ -39,7 +37,7 @@ LINK_CATEGORIES = {
     "size guide": ("size", "guide", "fitting"),
 }
 
-# Phone shapes (US with groups of 3-3-4 digits, international, bracketed area code).
+# Phone shapes (US with 3-3-4 digits, international, bracketed area code).
 _GAP = rf"[-.{_S}]?"
 PHONE_US = rf"\+?1?{_GAP}\(?\d{{3}}\)?{_GAP}\d{{3}}{_GAP}\d{{4}}"
 PHONE_INTL = rf"\+\d{{1,3}}{_GAP}\d{{1,4}}{_GAP}\d{{1,4}}{_GAP}\d{{1,9}}"
@@ -60,25 +58,26 @@ SOCIAL_LINKS = {
     "pinterest": (rf"pinterest\.com/({_HANDLE})",),
 }
 SOCIAL_MENTIONS = ("instagram", "twitter")
+NO_HANDLES = "cast(map() as map<string,array<string>>)"
 
 
-def _no_strings() -> Column:
-    return F.array().cast("array<string>")
+def _find_all(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {lit(pattern)}, {group})"
 
 
-def _find_all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _tidy_set(found: str) -> str:
+    return f"array_sort(array_distinct({found}))"
 
 
-def clean_text(text: Column) -> Column:
+def clean_text(text: str) -> str:
     """Collapse blanks, trim, then replace six entities in order; NULL gives ``''``."""
-    out = F.trim(F.regexp_replace(text, f"(?U){BLANK}+", " "))
+    out = f"trim(regexp_replace({text}, {lit(f'(?U){BLANK}+')}, ' '))"
     for entity, plain in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return F.coalesce(out, F.lit(""))
+        out = f"replace({out}, {lit(entity)}, {lit(plain)})"
+    return f"coalesce({out}, '')"
 
 
-def emails(text: Column) -> Column:
+def emails(text: str) -> str:
     """Distinct e-mail addresses, sorted.
 
     Each run of local-part characters is entered once (from its left edge, or where the last match ended)
@@ -88,25 +87,22 @@ def emails(text: Column) -> Column:
     pattern = (
         rf"(?idU)(?:(?<!{run})|\G)(?={run}++@){run}*?{EDGE}({run}++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{EDGE})"
     )
-    found = F.when(text.contains("@"), _find_all(text, pattern, 1)).otherwise(_no_strings())
-    return F.array_sort(F.array_distinct(found))
+    return _tidy_set(f"if(contains({text}, '@'), {_find_all(text, pattern, 1)}, {NO_TEXT})")
 
 
-def phones(text: Column) -> Column:
+def phones(text: str) -> str:
     """Distinct phone numbers of three shapes, sorted.
 
     The US shape yields its ten digits alone, the others the matched text, so one number can appear twice.
     """
-    ten = F.transform(
-        _find_all(text, f"(?dU){PHONE_US}"), lambda m: F.right(F.regexp_replace(m, r"(?U)\D", ""), F.lit(10))
-    )
-    intl = F.when(text.contains("+"), _find_all(text, f"(?dU){PHONE_INTL}")).otherwise(_no_strings())
-    bracket = F.when(text.contains("("), _find_all(text, f"(?dU){PHONE_BRACKET}")).otherwise(_no_strings())
-    found = F.when(text.isNotNull(), F.concat(ten, intl, bracket)).otherwise(_no_strings())
-    return F.array_sort(F.array_distinct(found))
+    digits = f"right(regexp_replace(m, {lit('(?U)\\D')}, ''), 10)"
+    ten = f"transform({_find_all(text, f'(?dU){PHONE_US}')}, m -> {digits})"
+    intl = f"if(contains({text}, '+'), {_find_all(text, f'(?dU){PHONE_INTL}')}, {NO_TEXT})"
+    bracket = f"if(contains({text}, '('), {_find_all(text, f'(?dU){PHONE_BRACKET}')}, {NO_TEXT})"
+    return _tidy_set(f"if({text} is null, {NO_TEXT}, concat({ten}, {intl}, {bracket}))")
 
 
-def addresses(text: Column) -> Column:
+def addresses(text: str) -> str:
     """Distinct postal addresses of two shapes, sorted.
 
     A street address lies inside one run of word characters, blanks and commas and always ends with the
@@ -114,68 +110,57 @@ def addresses(text: Column) -> Column:
     last street word, which leaves one scan per step.
     """
     words = "|".join(STREET_WORDS)
-    runs = F.filter(_find_all(text, rf"(?U)[{_W}{_S},]+"), lambda r: r.rlike(r"(?U)\d{5}"))
-
-    def street(run: Column) -> Column:
-        until_zip = F.regexp_extract(run, r"(?sU)^(.*)\d{5}", 1)
-        zip_code = F.regexp_extract(run, r"(?sU)^.*(\d{5})", 1)
-        until_word = F.regexp_extract(until_zip, rf"(?isU)^.*(?:{words})", 0)
-        start = F.regexp_extract(until_word, rf"(?isU)(?<!\d)\d++[{_S}]+{_WS}+(?:{words}).*$", 0)
-        rest = F.substring(until_zip, F.length(until_word) + 1, F.length(until_zip))
-        return F.when(start != "", F.concat(start, rest, zip_code))
-
-    streets = F.filter(F.transform(runs, street), lambda m: m.isNotNull())
+    runs = f"filter({_find_all(text, rf'(?U)[{_W}{_S},]+')}, r -> r rlike {lit(r'(?U)\d{5}')})"
+    until_zip = f"regexp_extract(r, {lit(r'(?sU)^(.*)\d{5}')}, 1)"
+    until_word = f"regexp_extract(z, {lit(rf'(?isU)^.*(?:{words})')}, 0)"
+    start = f"regexp_extract(w, {lit(rf'(?isU)(?<!\d)\d++[{_S}]+{_WS}+(?:{words}).*$')}, 0)"
+    whole = f"if(h = '', null, concat(h, substring(r, length(w) + 1, length(z) - length(w) + 5)))"
+    street = let("z", until_zip, let("w", until_word, let("h", start, whole)))
+    streets = f"filter(transform({runs}, r -> {street}), m -> m is not null)"
     towns = _find_all(text, rf"(?iU)(?:(?<!{_WS})|\G){_WS}++,[{_S}]*[A-Z]{{2}}[{_S}]+\d{{5}}")
-    found = F.when(text.rlike(r"(?U)\d{5}"), F.concat(streets, towns)).otherwise(_no_strings())
-    return F.array_sort(F.array_distinct(found))
+    return _tidy_set(f"if({text} rlike {lit(r'(?U)\d{5}')}, concat({streets}, {towns}), {NO_TEXT})")
 
 
-def _mentions(text: Column, word: str) -> Column:
+def _mentions(text: str, word: str) -> str:
     """Handle of the leftmost ``@name`` before the last ``word`` of each line.
 
     Lines are cut at that last word, so the search for ``@name`` cannot run past it.
     """
-    lines = F.filter(F.split(text, "\n"), lambda s: s.contains("@") & s.rlike(f"(?iU){word}"))
-    heads = F.transform(lines, lambda s: F.regexp_extract(s, rf"(?idU)^.*{word}", 0))
-    names = F.transform(heads, lambda s: F.regexp_extract(s, rf"(?idU)@({_HANDLE}).*{word}", 1))
-    return F.filter(names, lambda s: s != "")
+    lines = f"filter(split({text}, '\\n'), s -> contains(s, '@') and s rlike {lit(f'(?iU){word}')})"
+    head = f"regexp_extract(s, {lit(f'(?idU)^.*{word}')}, 0)"
+    name = f"regexp_extract({head}, {lit(f'(?idU)@({_HANDLE}).*{word}')}, 1)"
+    return f"filter(transform({lines}, s -> {name}), s -> s <> '')"
 
 
-def social_handles(text: Column, html: Column | None = None) -> Column:
+def social_handles(text: str, html: str | None = None) -> str:
     """Map platform -> distinct handles in order of pattern and occurrence; platforms without any are left out."""
-    parts = [F.coalesce(text, F.lit(""))] + ([] if html is None else [F.coalesce(html, F.lit(""))])
-    body = F.concat_ws(" ", *parts)
+    body = f"coalesce({text}, '')" if html is None else f"concat(coalesce({text}, ''), ' ', coalesce({html}, ''))"
     entries = []
     for platform, patterns in SOCIAL_LINKS.items():
-        found = [_find_all(body, f"(?idU){p}", 1) for p in patterns]
+        found = [_find_all("b", f"(?idU){p}", 1) for p in patterns]
         if platform in SOCIAL_MENTIONS:
-            found.append(_mentions(body, platform))
-        entries += [F.lit(platform), F.array_distinct(F.concat(*found))]
-    likely = body.rlike(r"(?i)\.com/") | body.rlike("(?iU)" + "|".join(SOCIAL_MENTIONS))
-    return F.when(likely, F.map_filter(F.create_map(*entries), lambda _, v: F.size(v) > 0)).otherwise(
-        F.create_map().cast("map<string,array<string>>")
-    )
+            found.append(_mentions("b", platform))
+        entries.append(f"{lit(platform)}, array_distinct(concat({', '.join(found)}))")
+    likely = f"b rlike {lit('(?i)[.]com/')} or b rlike {lit('(?iU)' + '|'.join(SOCIAL_MENTIONS))}"
+    found = f"map_filter(map({', '.join(entries)}), (k, v) -> size(v) > 0)"
+    return let("b", body, f"if({likely}, {found}, {NO_HANDLES})")
 
 
-def link_category(
-    text: Column, href: Column, categories: Mapping[str, Sequence[str]] = LINK_CATEGORIES
-) -> Column:
+def link_category(text: str, href: str, categories: Mapping[str, Sequence[str]] = LINK_CATEGORIES) -> str:
     """First category, in the given order, with a keyword inside the lower-cased text or href; else NULL."""
-    text, href = F.lower(text), F.lower(href)
-    out = None
-    for name, words in categories.items():
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | text.contains(word) | href.contains(word)
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return F.lit(None).cast("string") if out is None else out
+    cases = [
+        f"when {either(f'contains(lower({c}), {lit(w)})' for w in words for c in (text, href))} then {lit(name)}"
+        for name, words in categories.items()
+        if words
+    ]
+    return f"case {' '.join(cases)} end" if cases else "cast(null as string)"
 
 
-def title_from_key(key: Column) -> Column:
+def title_from_key(key: str) -> str:
     """``privacy_policy`` -> ``Privacy Policy``."""
-    return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
+    return f"initcap(replace({key}, '_', ' '))"
 
 
-def head_of_title(title: Column) -> Column:
+def head_of_title(title: str) -> str:
     """Part of a title before the first `` - ``."""
-    return F.split_part(title, F.lit(" - "), F.lit(1))
+    return f"split_part({title}, ' - ', 1)"

@@ -1,11 +1,10 @@
-"""URL columns: normalise, validate, split, resolve. Built-in expressions only."""
+"""URL expressions: normalise, validate, split, resolve. Built-in functions only."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from storelens.functions.sql import NO_TEXT, either, let, lit
 
 # Substrings that mark a hosted storefront in a URL.
 PLATFORM_MARKS = (".myshopify.com", "shopifycdn.com", "shopify-checkout")
@@ -13,6 +12,8 @@ PLATFORM_MARKS = (".myshopify.com", "shopifycdn.com", "shopify-checkout")
 # Unicode blanks plus the four separators U+001C..U+001F, which Java's \s leaves out.
 BLANK = r"[\s\x1c-\x1f]"
 
+_AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
+_PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)"
 _SPLIT = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
 
 _VALID = (
@@ -23,108 +24,90 @@ _VALID = (
 )
 
 
-def normalize_url(url: Column) -> Column:
+def normalize_url(url: str) -> str:
     """Trim and prefix ``https://`` unless the text starts with ``http://`` or ``https://``.
 
     NULL and empty give ``''``. Host case and trailing slash stay, so ``a.com`` and ``a.com/`` differ.
     """
-    trimmed = F.regexp_replace(url, f"(?U)^{BLANK}+|{BLANK}+$", "")
-    has_scheme = trimmed.startswith("http://") | trimmed.startswith("https://")
-    return F.when(url.isNull() | (url == ""), F.lit("")).otherwise(
-        F.when(has_scheme, trimmed).otherwise(F.concat(F.lit("https://"), trimmed))
+    trimmed = f"regexp_replace({url}, {lit(f'(?U)^{BLANK}+|{BLANK}+$')}, '')"
+    return (
+        f"case when coalesce({url}, '') = '' then '' "
+        f"when {trimmed} rlike '^https?://' then {trimmed} else concat('https://', {trimmed}) end"
     )
 
 
-def is_valid_url(url: Column) -> Column:
+def is_valid_url(url: str) -> str:
     """True for http(s) URLs with a dotted host, an IPv4 address or ``localhost``."""
-    return F.coalesce(url.rlike(_VALID), F.lit(False))
+    return f"coalesce({url} rlike {lit(_VALID)}, false)"
 
 
-def platform_hint(url: Column, marks: Sequence[str] = PLATFORM_MARKS) -> Column:
+def platform_hint(url: str, marks: Sequence[str] = PLATFORM_MARKS) -> str:
     """True when the lower-cased URL contains one of the marks."""
-    low = F.lower(url)
-    hit = F.lit(False)
-    for mark in marks:
-        hit = hit | low.contains(mark)
-    return F.coalesce(hit, F.lit(False))
+    return f"coalesce({either(f'contains(lower({url}), {lit(m)})' for m in marks)}, false)"
 
 
-def _tidy(url: Column) -> Column:
+def _tidy(url: str) -> str:
     """Drop what URL parsers ignore: leading control characters and any tab or line break."""
-    return F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
+    return f"translate(regexp_replace({url}, {lit('^[\\x00-\\x20]+')}, ''), {lit('\t\r\n')}, '')"
 
 
-def _bad_brackets(authority: Column) -> Column:
-    return authority.contains("[") != authority.contains("]")
+def _bad_brackets(authority: str) -> str:
+    return f"(contains({authority}, '[') <> contains({authority}, ']'))"
 
 
-def extract_domain(url: Column) -> Column:
+def extract_domain(url: str) -> str:
     """Lower-cased authority, port and user info included; ``''`` when there is none."""
-    authority = F.regexp_extract(_tidy(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)
-    return F.when(_bad_brackets(authority), F.lit("")).otherwise(F.coalesce(F.lower(authority), F.lit("")))
+    authority = f"regexp_extract({_tidy(url)}, {lit(_AUTHORITY)}, 1)"
+    return f"if({_bad_brackets(authority)}, '', coalesce(lower({authority}), ''))"
 
 
-def url_path(url: Column) -> Column:
+def url_path(url: str) -> str:
     """Path without query, fragment and trailing slashes; ``''`` for the root."""
-    path = F.regexp_extract(_tidy(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
-    return F.regexp_replace(path, r"/+$", "")
+    return f"regexp_replace(regexp_extract({_tidy(url)}, {lit(_PATH)}, 1), '/+$', '')"
 
 
-def page_key(url: Column) -> Column:
+def page_key(url: str) -> str:
     """Join key of a page: authority and path, scheme and trailing slash ignored."""
-    return F.concat(extract_domain(url), url_path(url))
-
-
-def _merge_paths(base_path: Column, path: Column) -> Column:
-    """Segments of ``path`` seen from ``base_path``, dot segments removed."""
-    base_parts = F.split(base_path, "/")
-    base_dir = F.when(F.element_at(base_parts, -1) == "", base_parts).otherwise(
-        F.slice(base_parts, F.lit(1), F.size(base_parts) - 1)
-    )
-    parts = F.split(path, "/")
-    joined = F.concat(base_dir, parts)
-    last = F.size(joined) - 1
-    relative = F.filter(joined, lambda s, i: (i == 0) | (i == last) | (s != ""))
-    segments = F.when(path.startswith("/"), parts).otherwise(relative)
-    resolved = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>")
+    return f"concat({extract_domain(url)}, {url_path(url)})"
+
+
+def _merge_paths(base: str, path: str) -> str:
+    """``path`` seen from the path ``base``, dot segments removed."""
+    joined = f"concat(slice(split({base}, '/'), 1, size(split({base}, '/')) - 1), split({path}, '/'))"
+    joined = f"if(instr({base}, '/') = 0, concat(array(''), split({path}, '/')), {joined})"
+    inner = f"filter({joined}, (s, i) -> i = 0 or i = size({joined}) - 1 or s <> '')"
+    parts = f"if(startswith({path}, '/'), split({path}, '/'), {inner})"
+    walked = (
+        f"aggregate({parts}, {NO_TEXT}, (acc, s) -> case when s = '..' "
+        "then slice(acc, 1, greatest(size(acc) - 1, 0)) when s = '.' then acc else concat(acc, array(s)) end)"
     )
-    text = F.array_join(F.concat(resolved, tail), "/")
-    return F.when(text == "", F.lit("/")).otherwise(text)
+    tail = f"if({path} rlike {lit('(?:^|/)[.][.]?$')}, array(''), {NO_TEXT})"
+    return f"coalesce(nullif(array_join(concat({walked}, {tail}), '/'), ''), '/')"
 
 
-def absolute_url(base: Column, ref: Column) -> Column:
+def absolute_url(base: str, ref: str) -> str:
     """Resolve ``ref`` against an http(s) ``base``; other schemes (``mailto:`` ...) pass through."""
-    src, b = _tidy(ref), _tidy(base)
-    scheme = F.lower(F.regexp_extract(src, _SPLIT, 1))
-    authority, path = F.regexp_extract(src, _SPLIT, 2), F.regexp_extract(src, _SPLIT, 3)
-    query, fragment = F.regexp_extract(src, _SPLIT, 4), F.regexp_extract(src, _SPLIT, 5)
-    b_scheme = F.lower(F.regexp_extract(b, _SPLIT, 1))
-    b_authority, b_path = F.regexp_extract(b, _SPLIT, 2), F.regexp_extract(b, _SPLIT, 3)
-    b_query = F.regexp_extract(b, _SPLIT, 4)
-
-    def tail(q: Column) -> Column:
-        return F.concat(
-            F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)),
-            F.when(fragment == "", F.lit("")).otherwise(F.concat(F.lit("#"), fragment)),
-        )
-
-    origin = F.concat(b_scheme, F.lit("://"), b_authority)
-    plain = path.startswith("/") & ~path.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    return (
-        F.when(F.coalesce(base, F.lit("")) == "", ref)
-        .when(F.coalesce(ref, F.lit("")) == "", base)
-        .when(_bad_brackets(authority), ref)
-        .when((scheme != "") & (scheme != b_scheme), ref)
-        .when(authority != "", F.concat(b_scheme, F.lit("://"), authority, path, tail(query)))
-        .when(path == "", F.concat(origin, b_path, tail(F.when(query == "", b_query).otherwise(query))))
-        .when(plain, F.concat(origin, path, tail(query)))
-        .otherwise(F.concat(origin, _merge_paths(b_path, path), tail(query)))
+
+    def part(text: str, group: int) -> str:
+        return f"regexp_extract({text}, {lit(_SPLIT)}, {group})"
+
+    def suffix(query: str) -> str:
+        return f"if({query} = '', '', concat('?', {query})), if(u.f = '', '', concat('#', u.f))"
+
+    src, root = _tidy(ref), _tidy(base)
+    fields = (
+        f"named_struct('base', {base}, 'ref', {ref}, 's', lower({part(src, 1)}), 'a', {part(src, 2)}, "
+        f"'p', {part(src, 3)}, 'q', {part(src, 4)}, 'f', {part(src, 5)}, 'bs', lower({part(root, 1)}), "
+        f"'ba', {part(root, 2)}, 'bp', {part(root, 3)}, 'bq', {part(root, 4)})"
+    )
+    body = (
+        "case when coalesce(u.base, '') = '' then u.ref when coalesce(u.ref, '') = '' then u.base "
+        f"when {_bad_brackets('u.a')} then u.ref "
+        "when u.s <> '' and u.s <> u.bs then u.ref "
+        f"when u.a <> '' then concat(u.bs, '://', u.a, u.p, {suffix('u.q')}) "
+        f"when u.p = '' then concat(u.bs, '://', u.ba, u.bp, {suffix('if(u.q = \'\', u.bq, u.q)')}) "
+        f"when startswith(u.p, '/') and not u.p rlike {lit('(?:^|/)[.][.]?(?:/|$)')} "
+        f"then concat(u.bs, '://', u.ba, u.p, {suffix('u.q')}) "
+        f"else concat(u.bs, '://', u.ba, {_merge_paths('u.bp', 'u.p')}, {suffix('u.q')}) end"
     )
+    return let("u", fields, body)

@@ -6,10 +6,10 @@ parsing nor the roll-up shuffles. The rules say which malformed products are lef
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.select import let
+from storelens.functions.sql import NO_TEXT, let, lit
 from storelens.functions.text import clean_text
 
 PAGE_LIMIT = 250  # a payload with this many raw products has a next page
@@ -22,132 +22,129 @@ ERROR_PREFIX = "Product catalog error: "
 _ISO = r"^\d{4}-\d{2}-\d{2}([Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?$"
 
 
-def _field(obj: Column, name: str) -> Column:
-    return F.try_variant_get(obj, f"$.{name}", "variant")
+def _field(obj: str, name: str) -> str:
+    return f"try_variant_get({obj}, {lit('$.' + name)}, 'variant')"
 
 
-def _type(value: Column) -> Column:
-    """Type name; NULL when absent, VOID for a JSON null."""
-    return F.schema_of_variant(value)
+def _text(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
 
 
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def _kind(value: str) -> str:
+    """Type name; NULL when absent, VOID for a JSON null."""
+    return f"schema_of_variant({value})"
 
 
-def _absent(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
+def _absent(value: str) -> str:
+    return f"({value} is null or is_variant_null({value}))"
 
 
-def _empty(value: Column) -> Column:
+def _empty(value: str) -> str:
     """Absent, null, false, zero or an empty string, list or object."""
-    return _absent(value) | _text(value).isin("", "false", "0", "0.0", "-0.0", "[]", "{}")
+    return f"({_absent(value)} or {_text(value)} in ('', 'false', '0', '0.0', '-0.0', '[]', '{{}}'))"
+
+
+def _is_string(value: str) -> str:
+    return f"coalesce({_kind(value)} = 'STRING', false)"
 
 
-def _is_string(value: Column) -> Column:
-    return F.coalesce(_type(value) == "STRING", F.lit(False))
+def _is_object(value: str) -> str:
+    return f"coalesce(startswith({_kind(value)}, 'OBJECT'), false)"
 
 
-def _elements(value: Column) -> Column:
+def _elements(value: str) -> str:
     """Array elements; NULL when the value is no array."""
-    return F.when(_type(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    return f"if(startswith({_kind(value)}, 'ARRAY'), try_variant_get({value}, '$', 'array<variant>'), null)"
 
 
-def _all(items: Column, test) -> Column:
-    return F.coalesce(F.forall(items, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
+def _all(items: str, test) -> str:
+    return f"coalesce(forall({items}, x -> {test('x')}), false)"
 
 
-def scalar_text(value: Column) -> Column:
+def scalar_text(value: str) -> str:
     """Text of a JSON scalar: numbers keep a fraction (``30.0``), booleans are ``True``/``False``.
 
     A JSON null gives NULL. Lists and objects give their JSON text.
     """
-    kind, text = _type(value), _text(value)
-    number = F.try_variant_get(value, "$", "double")
-    plain = F.rtrim(F.lit("0"), number.cast("decimal(38,10)").cast("string"))
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    whole = kind.startswith("DECIMAL") & ~text.contains(".") & (F.length(text) < 19)
+    number = f"try_variant_get({value}, '$', 'double')"
+    plain = f"trim(trailing '0' from cast(cast({number} as decimal(38,10)) as string))"
+    text = _text(value)
     return (
-        F.when(whole, F.concat(text, F.lit(".0")))
-        .when((kind == "DOUBLE") & (F.abs(number) >= 1e7) & (F.abs(number) < 1e16), plain)
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .otherwise(text)
+        f"case when startswith({_kind(value)}, 'DECIMAL') and not contains({text}, '.') and length({text}) < 19 "
+        f"then concat({text}, '.0') "
+        f"when {_kind(value)} = 'DOUBLE' and abs({number}) >= 1e7 and abs({number}) < 1e16 "
+        f"then regexp_replace({plain}, '[.]$', '.0') "
+        f"when {_kind(value)} = 'BOOLEAN' then initcap({text}) else {text} end"
     )
 
 
-def _required_text(value: Column) -> tuple[Column, Column]:
+def _required_text(value: str) -> tuple[str, str]:
     """(valid, cleaned text) of a field where anything empty counts as the empty string."""
-    empty = _empty(value)
-    return empty | _is_string(value), F.when(empty, F.lit("")).otherwise(clean_text(_text(value)))
+    return f"({_empty(value)} or {_is_string(value)})", f"if({_empty(value)}, '', {clean_text(_text(value))})"
 
 
-def _optional_text(value: Column) -> tuple[Column, Column]:
-    return _absent(value) | _is_string(value), _text(value)
+def _optional_text(value: str) -> tuple[str, str]:
+    return f"({_absent(value)} or {_is_string(value)})", _text(value)
 
 
-def _integer(value: Column) -> tuple[Column, Column]:
-    text = F.when(_type(value) == "BOOLEAN", F.when(_text(value) == "true", F.lit("1")).otherwise(F.lit("0")))
-    text = F.trim(F.coalesce(text, _text(value)))
-    ok = text.rlike(r"^[+-]?\d+(\.0*)?(E\d+)?$")
-    return _absent(value) | F.coalesce(ok, F.lit(False)), text.try_cast("decimal(38,0)").try_cast("bigint")
+def _integer(value: str) -> tuple[str, str]:
+    text = f"trim(case {_kind(value)} when 'BOOLEAN' then if({_text(value)} = 'true', '1', '0') else {_text(value)} end)"
+    whole = f"coalesce({text} rlike {lit(r'^[+-]?\d+([.]0*)?(E\d+)?$')}, false)"
+    return f"({_absent(value)} or {whole})", f"try_cast(try_cast({text} as decimal(38,0)) as bigint)"
 
 
-def _moment(value: Column) -> tuple[Column, Column]:
+def _moment(value: str) -> tuple[str, str]:
     """ISO date-time text or epoch seconds (milliseconds when large)."""
     text = _text(value)
-    iso = F.try_to_timestamp(F.replace(F.replace(text, F.lit("_"), F.lit("T")), F.lit(","), F.lit(".")))
-    number = F.when(_is_string(value) | ~_type(value).isin("BOOLEAN"), text.try_cast("double"))
-    epoch = F.timestamp_seconds(F.when(F.abs(number) > 2e10, number / 1000).otherwise(number))
-    when = F.when(text.rlike(_ISO), iso).otherwise(epoch)
-    return _absent(value) | when.isNotNull(), when
-
-
-def _product(obj: Column) -> Column:
-    """Struct ``(ok, product)`` of one product object."""
-
-    def build(v: Column) -> Column:
-        tags, variants, images = _elements(v["tags"]), _elements(v["variants"]), _elements(v["images"])
-        first = F.get(variants, F.lit(0))
-        price, compare = _field(first, "price"), _field(first, "compare_at_price")
-        sources = F.filter(F.transform(images, lambda i: _field(i, "src")), lambda s: ~_empty(s))
-        title_ok, title = _required_text(v["title"])
-        body_ok, body = _required_text(v["body_html"])
-        id_ok, ident = _integer(v["id"])
-        created_ok, created = _moment(v["created_at"])
-        updated_ok, updated = _moment(v["updated_at"])
-        handle_ok, handle = _optional_text(v["handle"])
-        vendor_ok, vendor = _optional_text(v["vendor"])
-        kind_ok, kind = _optional_text(v["product_type"])
-        is_object = lambda x: _type(x).startswith("OBJECT")
-        ok = (
-            title_ok & body_ok & id_ok & created_ok & updated_ok & handle_ok & vendor_ok & kind_ok
-            & (v["tags"].isNull() | _all(tags, _is_string))
-            & (v["variants"].isNull() | _all(variants, is_object))
-            & (_empty(v["images"]) | (_all(images, is_object) & _all(sources, _is_string)))
-            & (_absent(compare) | _is_string(compare) | ~_empty(compare))
-        )
-        no_text = F.array().cast("array<string>")
-        product = F.struct(
-            ident.alias("id"),
-            title.alias("title"),
-            handle.alias("handle"),
-            body.alias("description"),
-            vendor.alias("vendor"),
-            kind.alias("product_type"),
-            F.coalesce(F.transform(tags, _text), no_text).alias("tags"),
-            F.when(F.size(variants) > 0, F.when(price.isNull(), F.lit("")).otherwise(scalar_text(price))).alias("price"),
-            scalar_text(compare).alias("compare_at_price"),
-            F.coalesce(F.exists(variants, lambda x: ~_empty(_field(x, "available"))), F.lit(False)).alias("available"),
-            F.coalesce(F.transform(sources, _text), no_text).alias("images"),
-            F.coalesce(F.transform(variants, _text), no_text).alias("variants"),
-            created.alias("created_at"),
-            updated.alias("updated_at"),
-        )
-        return F.struct(ok.alias("ok"), F.when(ok, product).alias("product"))
-
-    names = "id title handle body_html vendor product_type tags variants images created_at updated_at".split()
-    parts = F.struct(*[_field(obj, n).alias(n) for n in names])
-    return F.when(_type(obj).startswith("OBJECT"), let(parts, build))
+    iso = f"try_to_timestamp(translate({text}, '_,', 'T.'))"
+    number = f"try_cast(if({_kind(value)} = 'BOOLEAN', null, {text}) as double)"
+    epoch = f"timestamp_seconds(if(abs({number}) > 2e10, {number} / 1000, {number}))"
+    when = f"if({text} rlike {lit(_ISO)}, {iso}, {epoch})"
+    return f"({_absent(value)} or {when} is not null)", when
+
+
+_FIELDS = "id title handle body_html vendor product_type tags variants images created_at updated_at".split()
+
+
+def _product(obj: str) -> str:
+    """Struct ``(ok, product)`` of one product object; NULL when it is no object."""
+    title_ok, title = _required_text("v.title")
+    body_ok, body = _required_text("v.body_html")
+    id_ok, ident = _integer("v.id")
+    created_ok, created = _moment("v.created_at")
+    updated_ok, updated = _moment("v.updated_at")
+    handle_ok, handle = _optional_text("v.handle")
+    vendor_ok, vendor = _optional_text("v.vendor")
+    type_ok, kind = _optional_text("v.product_type")
+    checks = [
+        title_ok, body_ok, id_ok, created_ok, updated_ok, handle_ok, vendor_ok, type_ok,
+        f"(v.tags is null or {_all('a.tags', _is_string)})",
+        f"(v.variants is null or {_all('a.variants', _is_object)})",
+        f"({_empty('v.images')} or ({_all('a.images', _is_object)} and {_all('b.sources', _is_string)}))",
+        f"({_absent('b.compare')} or {_is_string('b.compare')} or not {_empty('b.compare')})",
+    ]
+
+    def texts(items: str) -> str:
+        return f"coalesce(transform({items}, x -> {_text('x')}), {NO_TEXT})"
+
+    available = f"coalesce(exists(a.variants, x -> not {_empty(_field('x', 'available'))}), false)"
+    price = f"if(size(a.variants) > 0, if(b.price is null, '', {scalar_text('b.price')}), null)"
+    product = (
+        f"named_struct('id', {ident}, 'title', {title}, 'handle', {handle}, 'description', {body}, "
+        f"'vendor', {vendor}, 'product_type', {kind}, 'tags', {texts('a.tags')}, 'price', {price}, "
+        f"'compare_at_price', {scalar_text('b.compare')}, 'available', {available}, "
+        f"'images', {texts('b.sources')}, 'variants', {texts('a.variants')}, "
+        f"'created_at', {created}, 'updated_at', {updated})"
+    )
+    sources = f"filter(transform(a.images, x -> {_field('x', 'src')}), x -> not {_empty('x')})"
+    first = (
+        f"named_struct('price', {_field('get(a.variants, 0)', 'price')}, "
+        f"'compare', {_field('get(a.variants, 0)', 'compare_at_price')}, 'sources', {sources})"
+    )
+    arrays = f"named_struct({', '.join(f'{lit(f)}, {_elements(f"v.{f}")}' for f in ('tags', 'variants', 'images'))})"
+    parts = f"named_struct({', '.join(f'{lit(f)}, {_field(obj, f)}' for f in _FIELDS)})"
+    result = f"if({' and '.join(checks)}, {product}, null)"
+    return f"if({_is_object(obj)}, {let('v', parts, let('a', arrays, let('b', first, result)))}, null)"
 
 
 def read_catalog(catalogs: DataFrame, payload: str = "payload") -> DataFrame:
@@ -155,21 +152,20 @@ def read_catalog(catalogs: DataFrame, payload: str = "payload") -> DataFrame:
 
     Status: ``parsed``, ``missing`` (NULL payload), ``bad_json``, or ``error`` (JSON of another shape).
     """
-    doc = F.try_parse_json(F.col(payload)).alias("_doc")
-    parsed = catalogs.select(*catalogs.columns, doc)
-    listed = _field(F.col("_doc"), "products")
-    is_object = _type(F.col("_doc")).startswith("OBJECT")
-    products = F.when(
-        is_object, F.when(listed.isNull(), F.array().cast("array<variant>")).otherwise(_elements(listed))
+    listed = _field("_doc", "products")
+    products = (
+        f"if({_is_object('_doc')}, if({listed} is null, cast(array() as array<variant>), {_elements(listed)}), null)"
     )
-    out = parsed.withColumn("_products", products)
     status = (
-        F.when(F.col(payload).isNull(), F.lit("missing"))
-        .when(F.col("_doc").isNull(), F.lit("bad_json"))
-        .when(F.col("_products").isNull(), F.lit("error"))
-        .otherwise(F.lit("parsed"))
+        f"case when {payload} is null then 'missing' when _doc is null then 'bad_json' "
+        "when _products is null then 'error' else 'parsed' end"
+    )
+    return (
+        catalogs.withColumn("_doc", F.try_parse_json(payload))
+        .withColumn("_products", F.expr(products))
+        .withColumn("catalog_status", F.expr(status))
+        .drop("_doc")
     )
-    return out.withColumn("catalog_status", status).drop("_doc")
 
 
 def parse_products(catalogs: DataFrame, payload: str = "payload", page_limit: int = PAGE_LIMIT) -> DataFrame:
@@ -179,13 +175,16 @@ def parse_products(catalogs: DataFrame, payload: str = "payload", page_limit: in
     variant: absent gives ``''`` and a JSON null gives NULL; a product without variants has no price and is
     unavailable.
     """
-    kept = F.transform(F.filter(F.transform("_products", _product), lambda r: r["ok"]), lambda r: r["product"])
-    table = read_catalog(catalogs, payload)
-    raw = F.size("_products")
+    kept = f"filter(transform(_products, o -> {_product('o')}), p -> p is not null)"
     return (
-        table.withColumn("products", kept)
-        .withColumn("total_products", F.coalesce(F.size("products"), F.lit(0)).cast("bigint"))
-        .withColumn("has_more", F.coalesce(raw >= page_limit, F.lit(False)))
+        read_catalog(catalogs, payload)
+        .withColumn("products", F.expr(kept))
+        .withColumns(
+            {
+                "total_products": F.expr("coalesce(cast(size(products) as bigint), 0)"),
+                "has_more": F.expr(f"coalesce(size(_products) >= {page_limit}, false)"),
+            }
+        )
         .drop("_products", payload)
     )
 

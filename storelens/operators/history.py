@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelens.functions.sql import lit
 from storelens.functions.urls import normalize_url
 from storelens.sources.records import from_document
 
@@ -27,7 +28,7 @@ def latest_records(records: DataFrame) -> DataFrame:
 
 def cached_report(records: DataFrame, url: str) -> DataFrame:
     """Stored report of one store, any age: at most one row; unknown stores give none."""
-    wanted = records.where(F.col("store_url") == normalize_url(F.lit(url)))
+    wanted = records.where(F.expr(f"store_url = {normalize_url(lit(url))}"))
     return latest_records(wanted).withColumn("report", from_document(F.col("insights_data")))
 
 

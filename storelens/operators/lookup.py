@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.functions.sql import lit
+
 # Where a store may keep a page of each section, in order of preference.
 POLICY_PATHS = {
     "privacy_policy": ("/pages/privacy-policy", "/privacy-policy", "/pages/privacy"),
@@ -25,14 +27,14 @@ CATALOG_PATH = "/products.json"
 SECTION_PATHS: dict[str, Sequence[str]] = {**POLICY_PATHS, "faq": FAQ_PATHS, "about": ABOUT_PATHS}
 
 
-def section_of(path: Column, sections: Mapping[str, Sequence[str]] = SECTION_PATHS) -> Column:
+def section_of(path: str, sections: Mapping[str, Sequence[str]] = SECTION_PATHS) -> str:
     """Struct ``(section, rank)`` a path may serve, NULL for any other path."""
     known = [
-        (p, F.struct(F.lit(name).alias("section"), F.lit(rank).alias("rank")))
+        f"{lit(p)}, named_struct('section', {lit(name)}, 'rank', {rank})"
         for name, paths in sections.items()
         for rank, p in enumerate(paths)
     ]
-    return F.try_element_at(F.create_map(*[c for p, s in known for c in (F.lit(p), s)]), path)
+    return f"try_element_at(map({', '.join(known)}), {path})"
 
 
 def candidate_pages(
@@ -42,7 +44,7 @@ def candidate_pages(
     every = [p for paths in sections.values() for p in paths]
     return (
         pages.where(F.col(path).isin(every))
-        .withColumn("_hit", section_of(F.col(path), sections))
+        .withColumn("_hit", F.expr(section_of(path, sections)))
         .select(*pages.columns, "_hit.section", "_hit.rank")
     )
 

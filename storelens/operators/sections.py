@@ -1,4 +1,4 @@
-"""Section extractors: each is a column over one parsed page, so all sections come from a single pass.
+"""Section extractors: each is an expression over one parsed page, so all sections come from a single pass.
 
 Nothing here shuffles. URLs stay as written in the page and are resolved once the store is known, because
 pages of one host may serve several stores.
@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from storelens.functions import text as T
 from storelens.functions.select import (
     Inside,
@@ -20,7 +17,6 @@ from storelens.functions.select import (
     attr_contains,
     cls,
     inner,
-    let,
     next_sibling,
     node_text,
     select,
@@ -29,6 +25,7 @@ from storelens.functions.select import (
     tag,
     tag_cls,
 )
+from storelens.functions.sql import let
 from storelens.functions.urls import absolute_url
 
 # What to look for, in order where order matters.
@@ -84,182 +81,148 @@ SECTION_CLASSES = (
 ).split()
 
 
-def _clean(page_text: Column, node: Column) -> Column:
+def _clean(page_text: str, node: str) -> str:
     """Cleaned text of a node; NULL without a node."""
-    return F.when(node.isNotNull(), T.clean_text(node_text(page_text, node)))
+    return f"if({node} is null, null, {T.clean_text(node_text(page_text, node))})"
+
+
+def _first_text(nodes: str, page_text: str, selector: Selector) -> str:
+    return let("hit", select_first(nodes, selector), _clean(page_text, "hit"))
 
 
-def store_name(nodes: Column, page_text: Column, selectors: Sequence[Selector] = NAME_SELECTORS) -> Column:
+def _first_nonempty(*arrays: str) -> str:
+    return f"coalesce({', '.join(let('found', a, 'if(size(found) > 0, found, null)') for a in arrays)})"
+
+
+def store_name(nodes: str, page_text: str, selectors: Sequence[Selector] = NAME_SELECTORS) -> str:
     """Name of the store on its home page, NULL when nothing matches.
 
     Only the first match of each selector is tried; an image counts by its ``alt``. A selector whose match is
     empty passes on to the next. An empty ``title`` is the last resort.
     """
+    value = f"coalesce(if(hit.tag = 'img', {attr('hit', 'alt')}, null), nullif({node_text(page_text, 'hit')}, ''))"
+    name = f"coalesce({', '.join(let('hit', select_first(nodes, s), value) for s in selectors)})"
+    title = T.head_of_title(_first_text(nodes, page_text, tag("title")))
+    return let("name", name, f"if(name is null, {title}, {T.clean_text('name')})")
 
-    def one(selector: Selector) -> Column:
-        return let(
-            select_first(nodes, selector),
-            lambda n: F.coalesce(
-                F.when(n["tag"] == "img", attr(n, "alt")), F.nullif(node_text(page_text, n), F.lit(""))
-            ),
-        )
-
-    name = F.coalesce(*map(one, selectors))
-    title = _clean(page_text, select_first(nodes, tag("title")))
-    return F.when(name.isNotNull(), T.clean_text(name)).otherwise(T.head_of_title(title))
 
-
-def hero_products(nodes: Column, page_text: Column, selectors: Sequence[Selector] = HERO_SELECTORS) -> Column:
+def hero_products(nodes: str, page_text: str, selectors: Sequence[Selector] = HERO_SELECTORS) -> str:
     """Up to five featured products from the first selector that matches, URLs unresolved."""
+    image = let("hit", select_first("sub", tag("img")), attr("hit", "src", "data-src"))
+    link = let("hit", select_first("sub", tag("a")), attr("hit", "href"))
+    product = (
+        f"named_struct('title', coalesce({_first_text('sub', page_text, HERO_TITLE)}, 'Unknown Product'), "
+        f"'description', {_first_text('sub', page_text, HERO_TEXT)}, 'image_url', {image}, 'product_url', {link}, "
+        f"'price', {_first_text('sub', page_text, HERO_PRICE)}, 'featured_section', 'homepage')"
+    )
+    blocks = f"slice({_first_nonempty(*(select(nodes, s) for s in selectors))}, 1, {HERO_LIMIT})"
+    return f"transform({blocks}, block -> {let('sub', inner(nodes, 'block'), product)})"
+
 
-    def product(block: Column) -> Column:
-        return let(
-            inner(nodes, block),
-            lambda sub: F.struct(
-                F.coalesce(_clean(page_text, select_first(sub, HERO_TITLE)), F.lit("Unknown Product")).alias("title"),
-                _clean(page_text, select_first(sub, HERO_TEXT)).alias("description"),
-                attr(select_first(sub, tag("img")), "src", "data-src").alias("image_url"),
-                attr(select_first(sub, tag("a")), "href").alias("product_url"),
-                _clean(page_text, select_first(sub, HERO_PRICE)).alias("price"),
-                F.lit("homepage").alias("featured_section"),
-            ),
-        )
-
-    found = [let(select(nodes, s), lambda m: F.when(F.size(m) > 0, m)) for s in selectors]
-    blocks = F.slice(F.coalesce(*found), 1, HERO_LIMIT)
-    return F.when(nodes.isNotNull(), F.coalesce(F.transform(blocks, product), F.array()))
-
-
-def resolve_heroes(heroes: Column, base: Column) -> Column:
+def resolve_heroes(heroes: str, base: str) -> str:
     """Absolute URLs, then equal products once, first kept."""
 
-    def url(value: Column) -> Column:
-        return F.when(value.isNotNull(), absolute_url(base, value))
+    def url(field: str) -> str:
+        return f"if(h.{field} is null, null, {absolute_url(base, f'h.{field}')})"
 
-    resolved = F.transform(
-        heroes,
-        lambda h: h.withField("image_url", url(h["image_url"])).withField("product_url", url(h["product_url"])),
+    fields = (
+        f"named_struct('title', h.title, 'description', h.description, 'image_url', {url('image_url')}, "
+        f"'product_url', {url('product_url')}, 'price', h.price, 'featured_section', h.featured_section)"
     )
-    return F.array_distinct(resolved)
+    return f"array_distinct(transform({heroes}, h -> {fields}))"
 
 
-def policy(nodes: Column, page_text: Column) -> Column:
+def policy(nodes: str, page_text: str) -> str:
     """Struct ``(title, content)`` of a policy page, NULL when its content is empty.
 
     The first content selector that matches decides, even if its text is empty. ``title`` is NULL without heading.
     """
-    title = _clean(page_text, select_first(nodes, POLICY_TITLE))
+    content = let("hit", select_priority(nodes, POLICY_CONTENT), _clean(page_text, "hit"))
+    title = _first_text(nodes, page_text, POLICY_TITLE)
+    page = f"named_struct('title', {title}, 'content', content)"
+    return let("content", content, f"if(coalesce(content, '') = '', null, {page})")
+
+
+def _pair(page_text: str, question: str, answer: str) -> str:
     return let(
-        F.nullif(_clean(page_text, select_priority(nodes, POLICY_CONTENT)), F.lit("")),
-        lambda content: F.when(content.isNotNull(), F.struct(title.alias("title"), content.alias("content"))),
+        "qa",
+        f"named_struct('q', {question}, 'a', {answer})",
+        f"named_struct('question', {_clean(page_text, 'qa.q')}, 'answer', {_clean(page_text, 'qa.a')})",
     )
 
 
-def _pair(page_text: Column, question: Column, answer: Column) -> Column:
-    return F.struct(_clean(page_text, question).alias("question"), _clean(page_text, answer).alias("answer"))
+def faq_items(nodes: str, page_text: str) -> str:
+    """Accordion and item blocks that hold both a question and an answer."""
+    pair = _pair(page_text, select_first("sub", FAQ_QUESTION), select_first("sub", FAQ_ANSWER))
+    pairs = f"transform({select(nodes, FAQ_ITEM)}, item -> {let('sub', inner(nodes, 'item'), pair)})"
+    return f"filter({pairs}, p -> p.question is not null and p.answer is not null)"
 
 
-def faq_items(nodes: Column, page_text: Column) -> Column:
-    """Accordion and item blocks that hold both a question and an answer."""
-    pairs = F.transform(
-        select(nodes, FAQ_ITEM),
-        lambda item: let(
-            inner(nodes, item),
-            lambda sub: _pair(page_text, select_first(sub, FAQ_QUESTION), select_first(sub, FAQ_ANSWER)),
-        ),
-    )
-    return F.filter(pairs, lambda p: p["question"].isNotNull() & p["answer"].isNotNull())
+def _with_next(nodes: str, page_text: str, asked: str, answer: Selector) -> str:
+    """Pairs of each asked node and its next sibling matching ``answer``."""
+    pairs = f"transform({asked}, q -> {_pair(page_text, 'q', next_sibling('answers', 'q'))})"
+    return let("answers", select(nodes, answer), f"filter({pairs}, p -> p.answer is not null)")
 
 
-def faq_definitions(nodes: Column, page_text: Column) -> Column:
+def faq_definitions(nodes: str, page_text: str) -> str:
     """``dt`` with the next ``dd`` of the same parent."""
-    pairs = let(
-        select(nodes, tag("dd")),
-        lambda answers: F.transform(
-            select(nodes, tag("dt")), lambda q: _pair(page_text, q, next_sibling(answers, q))
-        ),
-    )
-    return F.filter(pairs, lambda p: p["answer"].isNotNull())
+    return _with_next(nodes, page_text, select(nodes, tag("dt")), tag("dd"))
 
 
-def faq_headings(nodes: Column, page_text: Column) -> Column:
+def faq_headings(nodes: str, page_text: str) -> str:
     """Headings with a question mark and the next ``p`` or ``div`` of the same parent."""
-    asked = F.filter(
-        select(nodes, tag("h3", "h4", "h5")), lambda h: T.clean_text(node_text(page_text, h)).contains("?")
-    )
-    pairs = let(
-        select(nodes, tag("p", "div")),
-        lambda answers: F.transform(asked, lambda q: _pair(page_text, q, next_sibling(answers, q))),
-    )
-    return F.filter(pairs, lambda p: p["answer"].isNotNull())
+    headings = select(nodes, tag("h3", "h4", "h5"))
+    asked = f"filter({headings}, h -> contains({T.clean_text(node_text(page_text, 'h'))}, '?'))"
+    return _with_next(nodes, page_text, asked, tag("p", "div"))
 
 
-def faqs(nodes: Column, page_text: Column) -> Column:
+def faqs(nodes: str, page_text: str) -> str:
     """Questions and answers of a page; each method is tried only if the one before found none."""
-    ways = (faq_items, faq_definitions, faq_headings)
-    found = [let(way(nodes, page_text), lambda m: F.when(F.size(m) > 0, m)) for way in ways]
-    return F.coalesce(*found)
+    return _first_nonempty(*(way(nodes, page_text) for way in (faq_items, faq_definitions, faq_headings)))
 
 
-def contact_href(nodes: Column) -> Column:
+def contact_href(nodes: str) -> str:
     """``href`` of the first link whose target mentions contact."""
-    return select_first(nodes, CONTACT_LINK)["attrs"]["href"]
+    return f"{select_first(nodes, CONTACT_LINK)}.attrs['href']"
 
 
-def about_text(nodes: Column, page_text: Column) -> Column:
+def about_text(nodes: str, page_text: str) -> str:
     """Content of an about page: NULL without a content element, ``''`` when it is empty."""
-    return _clean(page_text, select_first(nodes, ABOUT_CONTENT))
+    return _first_text(nodes, page_text, ABOUT_CONTENT)
 
 
-def about_home_text(nodes: Column, page_text: Column) -> Column:
+def about_home_text(nodes: str, page_text: str) -> str:
     """First home-page section with more than 100 characters."""
-    texts = F.transform(select(nodes, ABOUT_HOME), lambda n: _clean(page_text, n))
-    return F.get(F.filter(texts, lambda t: F.length(t) > ABOUT_MIN_LENGTH), F.lit(0))
+    texts = f"transform({select(nodes, ABOUT_HOME)}, s -> {_clean(page_text, 's')})"
+    return f"get(filter({texts}, t -> length(t) > {ABOUT_MIN_LENGTH}), 0)"
 
 
-def nav_links(nodes: Column, page_text: Column) -> Column:
+def nav_links(nodes: str, page_text: str) -> str:
     """Links of navigation and footer with cleaned text, in document order."""
-    return F.transform(
-        select(nodes, NAV_LINKS),
-        lambda n: F.struct(_clean(page_text, n).alias("title"), n["attrs"]["href"].alias("href")),
-    )
+    link = f"named_struct('title', {_clean(page_text, 'a')}, 'href', a.attrs['href'])"
+    return f"transform({select(nodes, NAV_LINKS)}, a -> {link})"
 
 
 def important_links(
-    nodes: Column, page_text: Column, categories: Mapping[str, Sequence[str]] = T.LINK_CATEGORIES
-) -> Column:
+    nodes: str, page_text: str, categories: Mapping[str, Sequence[str]] = T.LINK_CATEGORIES
+) -> str:
     """Navigation links with text, target and a category; URLs unresolved."""
-    links = F.filter(
-        nav_links(nodes, page_text), lambda l: (l["title"] != "") & (F.coalesce(l["href"], F.lit("")) != "")
-    )
-    sorted_in = F.transform(
-        links,
-        lambda l: F.struct(
-            l["title"].alias("title"),
-            l["href"].alias("url"),
-            T.link_category(l["title"], l["href"], categories).alias("category"),
-        ),
-    )
-    return F.filter(sorted_in, lambda l: l["category"].isNotNull())
+    links = f"filter({nav_links(nodes, page_text)}, l -> l.title <> '' and coalesce(l.href, '') <> '')"
+    category = T.link_category("l.title", "l.href", categories)
+    sorted_in = f"transform({links}, l -> named_struct('title', l.title, 'url', l.href, 'category', {category}))"
+    return f"filter({sorted_in}, l -> l.category is not null)"
 
 
-def resolve_links(links: Column, base: Column) -> Column:
+def resolve_links(links: str, base: str) -> str:
     """Absolute URLs, then the first link per URL."""
-    absolute = F.transform(links, lambda l: l.withField("url", absolute_url(base, l["url"])))
-
-    def first_per_url(all_links: Column) -> Column:
-        return let(
-            F.transform(all_links, lambda l: l["url"]),
-            lambda urls: F.filter(all_links, lambda l, i: F.array_position(urls, l["url"]) == i + 1),
-        )
-
-    return let(absolute, first_per_url)
+    fields = f"named_struct('title', l.title, 'url', {absolute_url(base, 'l.url')}, 'category', l.category)"
+    first = "filter(links, (l, i) -> array_position(links.url, l.url) = i + 1)"
+    return let("links", f"transform({links}, l -> {fields})", first)
 
 
-def contact_info(page_text: Column) -> Column:
+def contact_info(page_text: str) -> str:
     """E-mails, phone numbers and addresses of the visible text."""
-    return F.struct(
-        T.emails(page_text).alias("emails"),
-        T.phones(page_text).alias("phone_numbers"),
-        T.addresses(page_text).alias("addresses"),
+    return (
+        f"named_struct('emails', {T.emails(page_text)}, 'phone_numbers', {T.phones(page_text)}, "
+        f"'addresses', {T.addresses(page_text)})"
     )

@@ -14,17 +14,15 @@ def store_profiles(catalogs: DataFrame, social: DataFrame | None = None) -> Data
 
     ``social`` is an optional ``(store_url, social_handles)`` table. Prices that are no numbers do not count.
     """
-    prices = F.filter(
-        F.transform("products", lambda p: p["price"].try_cast("decimal(18,2)")), lambda p: p.isNotNull()
-    )
-    table = parse_products(catalogs).select(
-        "store_url", F.col("total_products").alias("estimated_products"), prices.alias("_prices")
-    )
-    low, high = F.array_min("_prices"), F.array_max("_prices")
-    table = table.select(
-        "store_url",
-        "estimated_products",
-        F.when(low.isNotNull(), F.concat_ws(" - ", low.cast("string"), high.cast("string"))).alias("price_range"),
+    prices = "filter(transform(products, p -> try_cast(p.price as decimal(18,2))), p -> p is not null)"
+    table = (
+        parse_products(catalogs)
+        .selectExpr("store_url", "total_products as estimated_products", f"{prices} as _prices")
+        .selectExpr(
+            "store_url",
+            "estimated_products",
+            "if(size(_prices) > 0, concat(array_min(_prices), ' - ', array_max(_prices)), null) as price_range",
+        )
     )
     if social is None:
         return table.withColumn("social_presence", F.create_map().cast(REPORT_FIELDS["social_handles"]))

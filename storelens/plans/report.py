@@ -12,7 +12,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.text import social_handles, title_from_key
+from storelens.functions.sql import NO_TEXT, let, lit, lits
+from storelens.functions.text import NO_HANDLES, social_handles, title_from_key
 from storelens.functions.urls import absolute_url, extract_domain, page_key, platform_hint, url_path
 from storelens.operators import sections as S
 from storelens.operators.catalog import ERROR_PREFIX, WARN_BAD_JSON, WARN_MISSING, parse_products
@@ -34,34 +35,35 @@ def parsed(pages: DataFrame, keep_html: bool = False) -> DataFrame:
 
 def home_sections(homes: DataFrame) -> DataFrame:
     """All home-page sections, one row per page; URLs as written."""
-    n, t = F.col("nodes"), F.col("visible_text")
+    n, t = "nodes", "visible_text"
+    columns = {
+        "store_name": S.store_name(n, t),
+        "heroes": S.hero_products(n, t),
+        "contact": S.contact_info(t),
+        "contact_href": S.contact_href(n),
+        "social": social_handles(t, "html"),
+        "about_home": S.about_home_text(n, t),
+        "links": S.important_links(n, t),
+    }
     dom = parsed(homes.where("html is not null"), keep_html=True).where("parse_error is null")
-    return dom.select(
-        *[c for c in homes.columns if c != "html"],
-        S.store_name(n, t).alias("store_name"),
-        S.hero_products(n, t).alias("heroes"),
-        S.contact_info(t).alias("contact"),
-        S.contact_href(n).alias("contact_href"),
-        social_handles(t, F.col("html")).alias("social"),
-        S.about_home_text(n, t).alias("about_home"),
-        S.important_links(n, t).alias("links"),
+    return dom.selectExpr(
+        *[c for c in homes.columns if c != "html"], *[f"{text} as {name}" for name, text in columns.items()]
     )
 
 
 def candidate_sections(candidates: DataFrame) -> DataFrame:
     """Policy, FAQ and about content of candidate pages, misses left out."""
-    n, t = F.col("nodes"), F.col("visible_text")
+    n, t = "nodes", "visible_text"
     dom = parsed(candidates.where("html is not null")).where("parse_error is null")
-    kind = F.col("section")
-    return dom.select(
+    return dom.selectExpr(
         "host",
         "section",
         "rank",
         "page_id",
-        F.col("path"),
-        F.when(kind.isin(*POLICY_PATHS), S.policy(n, t)).alias("policy"),
-        F.when(kind == "faq", S.faqs(n, t)).alias("faqs"),
-        F.when(kind == "about", S.about_text(n, t)).alias("about"),
+        "path",
+        f"if(section in ({lits(POLICY_PATHS)}), {S.policy(n, t)}, null) as policy",
+        f"if(section = 'faq', {S.faqs(n, t)}, null) as faqs",
+        f"if(section = 'about', {S.about_text(n, t)}, null) as about",
     ).where("policy is not null or faqs is not null or about is not null")
 
 
@@ -70,118 +72,75 @@ def host_sections(candidates: DataFrame) -> DataFrame:
     hits = first_hit(
         candidate_sections(candidates), ["host", "section"], ["rank", "page_id"], ["path", "policy", "faqs", "about"]
     )
+    full = (
+        f"named_struct('title', coalesce(policy.title, {title_from_key('section')}), 'content', policy.content, "
+        "'url', path, 'last_updated', cast(null as timestamp), 'type', section)"
+    )
 
-    def of(section: str, value: Column) -> Column:
-        return F.any_value(F.when(F.col("section") == section, value), ignoreNulls=True)
+    def of(section: str, value: str) -> Column:
+        return F.expr(f"any_value(case when section = {lit(section)} then {value} end, true)")
 
-    full = F.struct(
-        F.coalesce("policy.title", title_from_key(F.col("section"))).alias("title"),
-        F.col("policy.content").alias("content"),
-        F.col("path").alias("url"),
-        F.lit(None).cast("timestamp").alias("last_updated"),
-        F.col("section").alias("type"),
-    )
     return hits.groupBy("host").agg(
         *[of(name, full).alias(name) for name in POLICY_PATHS],
-        of("faq", F.col("faqs")).alias("faqs"),
-        of("about", F.col("about")).alias("about"),
+        of("faq", "faqs").alias("faqs"),
+        of("about", "about").alias("about"),
     )
 
 
-def _with_defaults(joined: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Turn joined sections into report columns; a store without home page keeps only defaults."""
-    base, ok = F.col("store_url"), F.col("_found")
+def _report_columns(as_of: dt.datetime) -> dict[str, str]:
+    """Report fields from joined sections; a store whose home page was not found keeps only defaults."""
 
-    def if_found(value: Column, default: Column | None = None) -> Column:
-        out = F.when(ok, value)
-        return out if default is None else F.coalesce(out, default)
+    def resolved_policy(name: str) -> str:
+        fields = f"p.title, p.content, {absolute_url('store_url', 'p.url')}, p.last_updated, p.type"
+        return f"if(_found and {name} is not null, {let('p', name, f'struct({fields})')}, null)"
 
-    def empty(field: str) -> Column:
-        return F.array().cast(REPORT_FIELDS[field])
+    def listed(value: str) -> str:
+        return f"if(_found, coalesce({value}, array()), array())"
 
-    def policy(name: str) -> Column:
-        p = F.col(name)
-        return if_found(F.when(p.isNotNull(), p.withField("url", absolute_url(base, p["url"]))))
-
-    status = F.coalesce("catalog_status", F.lit("missing"))
-    catalog = F.struct(
-        F.coalesce("total_products", F.lit(0)).alias("total_products"),
-        F.coalesce("products", F.array()).alias("products"),
-        F.coalesce("has_more", F.lit(False)).alias("has_more"),
-        F.lit(None).alias("next_page_url"),
-    )
-    bare_catalog = F.struct(
-        F.lit(0).cast("bigint").alias("total_products"),
-        F.array().alias("products"),
-        F.lit(False).alias("has_more"),
-        F.lit(None).alias("next_page_url"),
-    )
-    no_text = F.array().cast("array<string>")
-
-    def contact(value: Column, link: Column) -> Column:
-        return F.struct(
-            *[F.coalesce(value[f], no_text).alias(f) for f in ("emails", "phone_numbers", "addresses")],
-            link.alias("contact_form_url"),
-            F.lit(None).alias("support_url"),
-        )
-
-    contact_url = F.when(ok & F.col("contact_href").isNotNull(), absolute_url(base, F.col("contact_href")))
-    about = F.coalesce(F.nullif("about", F.lit("")), F.col("about_home"), F.col("about"))
-    nothing = F.lit(None).cast("string")
-    brand = F.struct(
-        if_found(F.col("store_name")).alias("name"),
-        if_found(about).alias("description"),
-        nothing.alias("mission"),
-        nothing.alias("story"),
-        no_text.alias("values"),
-        nothing.alias("founded"),
-        nothing.alias("location"),
-    )
-    faqs = F.transform(
-        "faqs",
-        lambda q: F.struct(q["question"], q["answer"], nothing.alias("category"), F.lit(None).cast("int").alias("order")),
+    contact = ", ".join(
+        f"if(_found, coalesce(contact.{f}, {NO_TEXT}), {NO_TEXT})" for f in ("emails", "phone_numbers", "addresses")
     )
-    links = F.transform(
-        S.resolve_links(F.col("links"), base),
-        lambda l: F.struct(l["title"], l["url"], nothing.alias("description"), l["category"]),
+    contact_url = f"if(_found and contact_href is not null, {absolute_url('store_url', 'contact_href')}, null)"
+    about = "if(_found, coalesce(nullif(about, ''), about_home, about), null)"
+    name = "if(_found, store_name, null)"
+    errors = (
+        f"case when not _found then array({lit(NO_HOME)}) "
+        f"when catalog_status = 'error' then array({lit(ERROR_PREFIX + 'products is not a list')}) else array() end"
     )
-    errors = F.when(~ok, F.array(F.lit(NO_HOME))).when(
-        status == "error", F.array(F.lit(ERROR_PREFIX + "products is not a list"))
+    warnings = (
+        f"case when _found and coalesce(catalog_status, 'missing') = 'missing' then array({lit(WARN_MISSING)}) "
+        f"when _found and catalog_status = 'bad_json' then array({lit(WARN_BAD_JSON)}) else array() end"
     )
-    warnings = F.when(
-        ok,
-        F.when(status == "missing", F.array(F.lit(WARN_MISSING))).when(
-            status == "bad_json", F.array(F.lit(WARN_BAD_JSON))
+    return {
+        "store_url": "store_url",
+        "store_name": name,
+        "is_shopify_store": platform_hint("store_url"),
+        "product_catalog": (
+            "struct(if(_found, coalesce(total_products, 0), 0), if(_found, coalesce(products, array()), array()), "
+            "_found and coalesce(has_more, false), null)"
         ),
-    )
-    columns = {
-        "store_url": base,
-        "store_name": if_found(F.col("store_name")),
-        "is_shopify_store": platform_hint(base),
-        "product_catalog": F.when(ok, catalog).otherwise(bare_catalog),
-        "hero_products": if_found(S.resolve_heroes(F.col("heroes"), base), empty("hero_products")),
-        **{name: policy(name) for name in POLICY_PATHS},
-        "other_policies": empty("other_policies"),
-        "faqs": if_found(faqs, empty("faqs")),
-        "contact_info": contact(F.when(ok, F.col("contact")), contact_url),
-        "social_handles": if_found(F.col("social"), F.create_map().cast(REPORT_FIELDS["social_handles"])),
-        "brand_context": brand,
-        "important_links": if_found(links, empty("important_links")),
-        "competitors": empty("competitors"),
-        "scraped_at": (F.unix_micros(F.lit(as_of)) / 1_000_000),
-        "processing_time": F.lit(None),
-        "success": ok,
-        "errors": F.coalesce(errors, no_text),
-        "warnings": F.coalesce(warnings, no_text),
+        "hero_products": listed(S.resolve_heroes("heroes", "store_url")),
+        **{p: resolved_policy(p) for p in POLICY_PATHS},
+        "other_policies": "array()",
+        "faqs": listed("transform(faqs, q -> struct(q.question, q.answer, null, null))"),
+        "contact_info": f"struct({contact}, {contact_url}, null)",
+        "social_handles": f"if(_found, coalesce(social, {NO_HANDLES}), {NO_HANDLES})",
+        "brand_context": f"struct({name}, {about}, null, null, {NO_TEXT}, null, null)",
+        "important_links": listed(
+            f"transform({S.resolve_links('links', 'store_url')}, l -> struct(l.title, l.url, null, l.category))"
+        ),
+        "competitors": "array()",
+        "scraped_at": repr(as_of.timestamp()) + "D",
+        "processing_time": "null",
+        "success": "_found",
+        "errors": errors,
+        "warnings": warnings,
     }
-    return joined.select(
-        "include_competitors", *[columns[name].cast(kind).alias(name) for name, kind in REPORT_FIELDS.items()]
-    )
 
 
 def _exact_homes(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pages whose key is a requested one. Root pages are told by their path alone, so they need no join."""
-    deep = wanted.where(url_path(F.col("store_url")) != "").select("page_key").distinct()
+    deep = wanted.where(f"{url_path('store_url')} <> ''").select("page_key").distinct()
     other = sized_join(pages.where("path <> ''"), deep, "page_key", "left_semi")
     return pages.where("path = ''").unionByName(other.select(*pages.columns))
 
@@ -199,12 +158,11 @@ def store_reports(
     ``exact`` (page with the requested key) or ``first`` (lowest page id of the host).
     """
     as_of = as_of or dt.datetime.now(dt.timezone.utc)
-    wanted = requests.select("store_url", "include_competitors").distinct()
-    wanted = wanted.withColumns(
-        {"host": extract_domain(F.col("store_url")), "page_key": page_key(F.col("store_url"))}
-    )
+    wanted = requests.selectExpr(
+        "store_url", "include_competitors", f"{extract_domain('store_url')} as host", f"{page_key('store_url')} as page_key"
+    ).distinct()
     table = sized_join(keyed(pages), wanted.select("host").distinct(), "host", "left_semi")
-    table = table.withColumn("page_key", page_key(F.col("url"))).select("page_id", "host", "path", "page_key", "html")
+    table = table.selectExpr("page_id", "host", "path", f"{page_key('url')} as page_key", "html")
     if home == "first":
         ids = first_page_per_host(pages).select("page_id")
         homes, on = sized_join(table, ids, "page_id", "left_semi"), "host"
@@ -213,30 +171,28 @@ def store_reports(
     per_home = home_sections(homes.select(on, "html")).withColumn("_found", F.lit(True))
     per_host = host_sections(candidate_pages(table.select("page_id", "host", "path", "html"), SECTION_PATHS))
     joined = wanted.join(per_home, on, "left").join(per_host, "host", "left")
+    catalog_columns = ("catalog_status", "total_products", "products", "has_more")
     if catalogs is None:
-        for name in ("catalog_status", "total_products", "products", "has_more"):
-            joined = joined.withColumn(name, F.lit(None))
+        joined = joined.selectExpr("*", *[f"null as {c}" for c in catalog_columns])
     else:
-        per_store = parse_products(catalogs).select(
-            "store_url", "catalog_status", "total_products", "products", "has_more"
-        )
-        joined = joined.join(per_store, "store_url", "left")
-    return _with_defaults(joined.withColumn("_found", F.coalesce("_found", F.lit(False))), as_of)
+        joined = joined.join(parse_products(catalogs).select("store_url", *catalog_columns), "store_url", "left")
+    joined = joined.withColumn("_found", F.expr("coalesce(_found, false)"))
+    return joined.selectExpr(
+        "include_competitors",
+        *[f"cast({text} as {REPORT_FIELDS[name]}) as {name}" for name, text in _report_columns(as_of).items()],
+    )
 
 
 def report_summary(reports: DataFrame) -> DataFrame:
     """Counts per section of each report."""
-    handles = F.aggregate(
-        F.map_values("social_handles"), F.lit(0), lambda total, names: total + F.size(names)
-    )
-    return reports.select(
+    return reports.selectExpr(
         "store_url",
-        F.size("contact_info.emails").alias("emails"),
-        F.size("contact_info.phone_numbers").alias("phone_numbers"),
-        F.size("contact_info.addresses").alias("addresses"),
-        handles.alias("social_handles"),
-        F.col("product_catalog.total_products").cast("int").alias("products"),
-        F.size("hero_products").alias("hero_products"),
-        F.size("faqs").alias("faqs"),
-        F.size("important_links").alias("important_links"),
+        "size(contact_info.emails) as emails",
+        "size(contact_info.phone_numbers) as phone_numbers",
+        "size(contact_info.addresses) as addresses",
+        "aggregate(map_values(social_handles), 0, (total, names) -> total + size(names)) as social_handles",
+        "cast(product_catalog.total_products as int) as products",
+        "size(hero_products) as hero_products",
+        "size(faqs) as faqs",
+        "size(important_links) as important_links",
     )

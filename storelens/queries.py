@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens import fixtures as X
 from storelens.functions import select as Q
 from storelens.functions import text as T
 from storelens.functions import urls as U
+from storelens.functions.sql import let, lit, lits
 from storelens.operators import catalog as C
 from storelens.operators import history as H
 from storelens.operators import sections as S
@@ -30,15 +31,7 @@ from storelens.streaming.extract import extract_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = dt.datetime(2024, 1, 30, 12, tzinfo=dt.timezone.utc)
-
-
-def N() -> Column:
-    return F.col("nodes")
-
-
-def V() -> Column:
-    return F.col("visible_text")
-
+N, V = "nodes", "visible_text"
 
 # References resolved against every page, next to the page's own links.
 SAMPLE_REFS = ("/x", "y/z?q=1", "//cdn.example.com/a", "?p=2", "#f", "../up", "mailto:a@b.c", "https://o.example.com/x")
@@ -64,15 +57,11 @@ def _contact_pages(spark, folder) -> DataFrame:
     return X.contact_pages(_table(spark, folder, "supplier"), _table(spark, folder, "nation"))
 
 
-def _each(df: DataFrame, key: str, values: Column, name: str) -> DataFrame:
-    return df.select(key, F.explode(values).alias(name))
-
-
 # --- sources ---
 
 
 def pages_scan(spark, folder):
-    return _pages(spark, folder).select("page_id", "url", F.length("html").cast("bigint").alias("html_chars"))
+    return _pages(spark, folder).selectExpr("page_id", "url", "cast(length(html) as bigint) as html_chars")
 
 
 def catalog_status(spark, folder):
@@ -80,9 +69,9 @@ def catalog_status(spark, folder):
 
 
 def records_scan(spark, folder):
-    doc = from_document(F.col("insights_data"))
-    return _records(spark, folder).select(
-        "id", "store_url", doc["store_name"].alias("doc_name"), doc["success"].alias("doc_success"), "processing_time"
+    rows = _records(spark, folder).withColumn("doc", from_document(F.col("insights_data")))
+    return rows.selectExpr(
+        "id", "store_url", "doc.store_name as doc_name", "doc.success as doc_success", "processing_time"
     )
 
 
@@ -93,12 +82,12 @@ def records_roundtrip(spark, folder):
         {"id": F.col("id").cast("string"), "scraped_date": F.to_date("scraped_at")}
     )
     append_records(rows, path)
-    doc = from_document(F.col("insights_data"))
-    return read_records(spark, path).select(
-        F.col("id").cast("bigint").alias("id"),
+    back = read_records(spark, path).withColumn("doc", from_document(F.col("insights_data")))
+    return back.selectExpr(
+        "cast(id as bigint) as id",
         "store_url",
-        F.unix_micros(F.timestamp_seconds(doc["scraped_at"])).alias("scraped_us"),
-        doc["store_name"].alias("store_name"),
+        "unix_micros(timestamp_seconds(doc.scraped_at)) as scraped_us",
+        "doc.store_name as store_name",
         "processing_time",
         "success",
         "error_message",
@@ -106,167 +95,156 @@ def records_roundtrip(spark, folder):
 
 
 def rejected_requests(spark, folder):
-    """Hosts of pages and some broken forms of them, as requests; only the rejects come out."""
-    _, rejects = read_requests(_url_variants(spark, folder).select("page_id", F.col("raw").alias("website_url")))
-    return rejects.select("page_id", "website_url", "reason")
+    """Pages' URLs and some broken forms of them, as requests; only the rejects come out."""
+    _, rejects = read_requests(_url_variants(spark, folder).withColumnRenamed("raw", "website_url"))
+    return rejects.select("page_id", "form", "reason")
 
 
 # --- URLs ---
 
 
 def _url_variants(spark, folder) -> DataFrame:
-    bare = F.regexp_replace("url", "^https?://", "")
-    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
-    forms = F.array(
-        F.col("url"),
-        F.concat(F.lit(" \t"), bare, F.lit("\n ")),
-        F.concat(F.lit("HTTP://"), bare),
-        F.concat(F.lit("https://user:pw@"), F.upper(host), F.lit(":8080/a b")),
-        F.regexp_replace(host, r"\.", "-"),
-        F.lit(""),
+    host = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+    forms = (
+        "array(url, concat(' \\t', bare, '\\n '), concat('HTTP://', bare), "
+        f"concat('https://user:pw@', upper({host}), ':8080/a b'), replace({host}, '.', '-'), '')"
     )
-    return _pages(spark, folder).select("page_id", F.posexplode(forms).alias("form", "raw"))
+    bare = _pages(spark, folder).selectExpr("page_id", "url", "regexp_replace(url, '^https?://', '') as bare")
+    return bare.selectExpr("page_id", f"posexplode({forms}) as (form, raw)")
 
 
 def url_normalize(spark, folder):
-    return _url_variants(spark, folder).select("page_id", "form", U.normalize_url(F.col("raw")).alias("normalized"))
+    return _url_variants(spark, folder).selectExpr("page_id", "form", f"{U.normalize_url('raw')} as normalized")
 
 
 def url_validity(spark, folder):
-    url = U.normalize_url(F.col("raw"))
-    return _url_variants(spark, folder).select("page_id", "form", U.is_valid_url(url).alias("valid"))
+    valid = U.is_valid_url(U.normalize_url("raw"))
+    return _url_variants(spark, folder).selectExpr("page_id", "form", f"{valid} as valid")
 
 
 def url_domain(spark, folder):
-    return _url_variants(spark, folder).select("page_id", "form", U.extract_domain(F.col("raw")).alias("domain"))
+    return _url_variants(spark, folder).selectExpr("page_id", "form", f"{U.extract_domain('raw')} as domain")
 
 
 def platform_hint(spark, folder):
-    form = F.array(
-        F.col("url"),
-        F.concat(F.lit("https://Shop-"), F.col("page_id").cast("string"), F.lit(".MyShopify.com/")),
-        F.concat(F.col("url"), F.lit("&next=shopify-checkout")),
-    )
-    rows = _pages(spark, folder).select("page_id", F.posexplode(form).alias("form", "u"))
-    return rows.select("page_id", "form", U.platform_hint(F.col("u")).alias("is_platform"))
+    forms = "array(url, concat('https://Shop-', page_id, '.MyShopify.com/'), concat(url, '&next=shopify-checkout'))"
+    rows = _pages(spark, folder).selectExpr("page_id", f"posexplode({forms}) as (form, u)")
+    return rows.selectExpr("page_id", "form", f"{U.platform_hint('u')} as is_platform")
 
 
 def url_absolute(spark, folder):
-    host = U.extract_domain(F.col("url"))
-    base = F.concat(F.lit("https://"), host, F.lit("/a/b"))
-    rows = _pages(spark, folder).select(
-        "page_id", base.alias("base"), F.posexplode(F.array(*map(F.lit, SAMPLE_REFS))).alias("ref", "href")
+    rows = _pages(spark, folder).selectExpr(
+        "page_id",
+        f"concat('https://', {U.extract_domain('url')}, '/a/b') as base",
+        f"posexplode(array({lits(SAMPLE_REFS)})) as (ref, href)",
     )
-    return rows.select("page_id", "ref", U.absolute_url(F.col("base"), F.col("href")).alias("resolved"))
+    return rows.selectExpr("page_id", "ref", f"{U.absolute_url('base', 'href')} as resolved")
 
 
 # --- text ---
 
 
 def clean_text(spark, folder):
-    text = T.clean_text(F.concat(F.lit("  "), F.col("text"), F.lit("&amp;lt; &quot;x&quot;&nbsp; \x1c")))
-    return _table(spark, folder, "documents").select(
-        "doc_id", F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("digest")
-    )
+    tail = lit("&amp;lt; &quot;x&quot;&nbsp; \x1c")
+    text = T.clean_text(f"concat('  ', text, {tail})")
+    rows = _table(spark, folder, "documents").selectExpr("doc_id", f"{text} as t")
+    return rows.selectExpr("doc_id", "cast(length(t) as bigint) as chars", "md5(t) as digest")
 
 
 def emails_docs(spark, folder):
-    return _each(_table(spark, folder, "documents"), "doc_id", T.emails(F.col("text")), "email")
+    return _table(spark, folder, "documents").selectExpr("doc_id", f"explode({T.emails('text')}) as email")
 
 
 def emails_pages(spark, folder):
-    return _each(_pages(spark, folder), "page_id", T.emails(F.col("html")), "email")
+    return _pages(spark, folder).selectExpr("page_id", f"explode({T.emails('html')}) as email")
 
 
 def phones_docs(spark, folder):
-    return _each(_table(spark, folder, "documents"), "doc_id", T.phones(F.col("text")), "phone")
+    return _table(spark, folder, "documents").selectExpr("doc_id", f"explode({T.phones('text')}) as phone")
 
 
 def phones_pages(spark, folder):
-    return _each(_pages(spark, folder), "page_id", T.phones(F.col("html")), "phone")
+    return _pages(spark, folder).selectExpr("page_id", f"explode({T.phones('html')}) as phone")
 
 
 def addresses(spark, folder):
-    return _each(_home(_contact_pages(spark, folder)), "page_id", T.addresses(V()), "address")
+    return R.parsed(_contact_pages(spark, folder)).selectExpr("page_id", f"explode({T.addresses(V)}) as address")
 
 
 def link_category(spark, folder):
     """Categories of the text and target of every navigation link of the supplied pages."""
-    links = _nav(spark, folder)
-    return links.select("page_id", "pos", T.link_category(F.col("title"), F.col("href")).alias("category"))
+    return nav_links(spark, folder).selectExpr("page_id", "pos", f"{T.link_category('title', 'href')} as category")
 
 
 def policy_titles(spark, folder):
     """Fallback titles made from keys, over the distinct sources of the documents."""
-    docs = _table(spark, folder, "documents").select("source").distinct()
-    key = F.concat(F.col("source"), F.lit("_policy"))
-    return docs.select("source", T.title_from_key(key).alias("title"))
+    sources = _table(spark, folder, "documents").select("source").distinct()
+    key = "concat(source, '_policy_page')"
+    return sources.selectExpr("source", f"{T.title_from_key(key)} as title")
 
 
 # --- nodes and selectors ---
 
 
 def node_counts(spark, folder):
-    nodes = to_nodes(with_dom(_pages(spark, folder)), "page_id")
+    nodes = to_nodes(with_dom(_pages(spark, folder), attrs=[]), "page_id")
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def page_text_stats(spark, folder):
-    return with_dom(_pages(spark, folder)).select(
-        "page_id", F.length("visible_text").cast("bigint").alias("chars"), F.md5("visible_text").alias("digest")
+    return with_dom(_pages(spark, folder), tags=[]).selectExpr(
+        "page_id", "cast(length(visible_text) as bigint) as chars", "md5(visible_text) as digest"
     )
 
 
 def titles(spark, folder):
-    title = Q.let(Q.select_first(N(), Q.tag("title")), lambda n: Q.node_text(V(), n))
-    return with_dom(_pages(spark, folder), tags=["title"], attrs=[]).select("page_id", title.alias("title"))
+    title = let("hit", Q.select_first(N, Q.tag("title")), Q.node_text(V, "hit"))
+    return with_dom(_pages(spark, folder), tags=["title"], attrs=[]).selectExpr("page_id", f"{title} as title")
 
 
 def first_heading(spark, folder):
-    """First of ``h1, p`` in document order, whatever the order of the group."""
-    first = Q.select_first(N(), Q.any_of(Q.tag("p"), Q.tag("h1")))
-    return with_dom(_pages(spark, folder), tags=["h1", "p"], attrs=[]).select(
-        "page_id", first["tag"].alias("tag"), (first["id"] > 0).alias("later")
-    )
+    """First of ``p, h1`` in document order, whatever the order of the group."""
+    first = Q.select_first(N, Q.any_of(Q.tag("p"), Q.tag("h1")))
+    return with_dom(_pages(spark, folder), tags=["h1", "p"], attrs=[]).selectExpr("page_id", f"{first}.tag as tag")
 
 
 def priority_select(spark, folder):
-    """First of ``footer``, ``.ad``, ``h1`` in list order: earlier selectors win over earlier elements."""
-    hit = Q.select_priority(N(), [Q.tag("aside"), Q.tag("h1"), Q.cls("ad")])
+    """``h1`` wins over the earlier ``.ad`` because it comes first in the list; ``aside`` never matches."""
+    hit = Q.select_priority(N, [Q.tag("aside"), Q.tag("h1"), Q.cls("ad")])
+    text = let("hit", hit, f"struct(hit.tag, {T.clean_text(Q.node_text(V, 'hit'))} as t)")
     parsed = with_dom(_pages(spark, folder), tags=["h1", "aside"], classes=["ad"], attrs=[])
-    return parsed.select("page_id", hit["tag"].alias("tag"), F.md5(T.clean_text(Q.node_text(V(), hit))).alias("digest"))
+    return parsed.selectExpr("page_id", f"{text} as h").selectExpr("page_id", "h.tag as tag", "md5(h.t) as digest")
 
 
-def _nav(spark, folder) -> DataFrame:
-    parsed = with_dom(_pages(spark, folder), tags=["nav", "footer", "a"], classes=["navigation", "menu"], attrs=["href"])
-    return parsed.select("page_id", F.posexplode(S.nav_links(N(), V())).alias("pos", "link")).select(
-        "page_id", "pos", "link.title", "link.href"
+def _with_nav(spark, folder) -> DataFrame:
+    return with_dom(
+        _pages(spark, folder), tags=["nav", "footer", "a"], classes=["navigation", "menu"], attrs=["href"]
     )
 
 
 def nav_links(spark, folder):
-    return _nav(spark, folder)
+    rows = _with_nav(spark, folder).selectExpr("page_id", f"posexplode({S.nav_links(N, V)}) as (pos, l)")
+    return rows.select("page_id", "pos", "l.title", "l.href")
 
 
 def nav_links_table(spark, folder):
     """The same links from the node table: one window per page instead of arrays."""
-    parsed = with_dom(_pages(spark, folder), tags=["nav", "footer", "a"], classes=["navigation", "menu"], attrs=["href"])
-    nodes = parsed.select("page_id", F.explode("nodes").alias("n"), "visible_text").select(
-        "page_id", "n.*", T.clean_text(Q.node_text(V(), F.col("n"))).alias("title")
-    )
-    links = Q.select_nodes(nodes, S.NAV_LINKS)
-    return links.select("page_id", "title", F.col("attrs")["href"].alias("href"))
+    nodes = _with_nav(spark, folder).selectExpr("page_id", "visible_text", "explode(nodes) as n")
+    title = T.clean_text(Q.node_text("visible_text", "n"))
+    links = Q.select_nodes(nodes.selectExpr("page_id", "n.*", f"{title} as title"), S.NAV_LINKS)
+    return links.selectExpr("page_id", "title", "attrs['href'] as href")
 
 
 def contact_link(spark, folder):
-    return _home(_contact_pages(spark, folder)).select("page_id", S.contact_href(N()).alias("href"))
+    return R.parsed(_contact_pages(spark, folder)).selectExpr("page_id", f"{S.contact_href(N)} as href")
 
 
 def candidate_lookup(spark, folder):
     """First page per host over language folders in order of preference."""
     languages = {"home": ("/en", "/fr", "/de", "/es")}
-    pages = keyed(_pages(spark, folder)).select("page_id", "host", "path")
-    pages = pages.withColumn("path", F.regexp_extract("path", "^/[a-z]{2}(?=/)", 0))
+    pages = keyed(_pages(spark, folder)).selectExpr(
+        "page_id", "host", "regexp_extract(path, '^/[a-z]{2}(?=/)', 0) as path"
+    )
     hits = candidate_pages(pages, languages)
     return first_hit(hits, ["host", "section"], ["rank", "page_id"], ["rank", "page_id"])
 
@@ -274,24 +252,20 @@ def candidate_lookup(spark, folder):
 # --- sections ---
 
 
-def _home(pages: DataFrame) -> DataFrame:
-    return R.parsed(pages)
-
-
 def store_name(spark, folder):
     """Names of the supplied pages (title) and of supplier pages (title, then logo text)."""
     both = _pages(spark, folder).unionByName(_contact_pages(spark, folder))
-    return _home(both).select("page_id", "url", S.store_name(N(), V()).alias("store_name"))
+    return R.parsed(both).selectExpr("page_id", "url", f"{S.store_name(N, V)} as store_name")
 
 
 def catalog_products(spark, folder):
     rows = C.catalog_products(_catalogs(spark, folder))
-    return rows.select(
+    return rows.selectExpr(
         "store_url", "pos", "id", "title", "handle", "description", "vendor", "product_type",
-        F.array_join("tags", "|").alias("tags"), "price", "compare_at_price", "available",
-        F.array_join("images", "|").alias("images"), F.size("variants").alias("n_variants"),
-        F.unix_seconds("created_at").alias("created_s"), F.unix_seconds("updated_at").alias("updated_s"),
-    )
+        "array_join(tags, '|') as tags", "price", "compare_at_price", "available",
+        "array_join(images, '|') as images", "size(variants) as n_variants",
+        "unix_seconds(created_at) as created_s", "unix_seconds(updated_at) as updated_s",
+    )
 
 
 def catalog_rollup(spark, folder):
@@ -299,127 +273,125 @@ def catalog_rollup(spark, folder):
 
 
 def hero_products(spark, folder):
-    pages = _home(X.hero_pages(_table(spark, folder, "part")))
-    heroes = S.resolve_heroes(S.hero_products(N(), V()), F.col("url"))
-    return pages.select("page_id", F.posexplode(heroes).alias("pos", "h")).select("page_id", "pos", "h.*")
+    pages = R.parsed(X.hero_pages(_table(spark, folder, "part")))
+    heroes = pages.selectExpr("page_id", "url", f"{S.hero_products(N, V)} as heroes")
+    rows = heroes.selectExpr("page_id", f"posexplode({S.resolve_heroes('heroes', 'url')}) as (pos, h)")
+    return rows.select("page_id", "pos", "h.*")
+
+
+def _document_sections(spark, folder) -> DataFrame:
+    return R.host_sections(candidate_pages(keyed(X.document_pages(_table(spark, folder, "documents")))))
 
 
 def policies(spark, folder):
-    pages = keyed(X.document_pages(_table(spark, folder, "documents")))
-    per_host = R.host_sections(candidate_pages(pages))
-    found = F.array(*[F.col(name) for name in R.POLICY_PATHS])
-    rows = per_host.select("host", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("p"))
-    return rows.select("host", "p.type", "p.title", F.col("p.url").alias("path"), F.md5("p.content").alias("digest"))
+    rows = _document_sections(spark, folder).selectExpr(
+        "host", f"explode(array_compact(array({', '.join(R.POLICY_PATHS)}))) as p"
+    )
+    return rows.selectExpr("host", "p.type", "p.title", "p.url as path", "md5(p.content) as digest")
 
 
 def _faq(extract):
     def query(spark, folder):
         pages = with_dom(X.faq_pages(_table(spark, folder, "conversations")))
-        return pages.select("page_id", F.posexplode(extract(N(), V())).alias("pos", "f")).select("page_id", "pos", "f.*")
+        return pages.selectExpr("page_id", f"posexplode({extract(N, V)}) as (pos, f)").select("page_id", "pos", "f.*")
 
     return query
 
 
 def contact_info(spark, folder):
-    pages = _home(_contact_pages(spark, folder))
-    info = pages.select("page_id", "url", S.contact_info(V()).alias("c"), S.contact_href(N()).alias("href"))
-    return info.select(
+    info = R.parsed(_contact_pages(spark, folder)).selectExpr(
+        "page_id", "url", f"{S.contact_info(V)} as c", f"{S.contact_href(N)} as href"
+    )
+    return info.selectExpr(
         "page_id",
-        F.array_join("c.emails", "|").alias("emails"),
-        F.array_join("c.phone_numbers", "|").alias("phone_numbers"),
-        F.array_join("c.addresses", "|").alias("addresses"),
-        U.absolute_url(F.col("url"), F.col("href")).alias("contact_form_url"),
+        "array_join(c.emails, '|') as emails",
+        "array_join(c.phone_numbers, '|') as phone_numbers",
+        "array_join(c.addresses, '|') as addresses",
+        f"{U.absolute_url('url', 'href')} as contact_form_url",
     )
 
 
 def social_handles(spark, folder):
     pages = R.parsed(_contact_pages(spark, folder), keep_html=True)
-    rows = pages.select("page_id", F.explode(T.social_handles(V(), F.col("html"))).alias("platform", "names"))
-    return rows.select("page_id", "platform", F.posexplode("names").alias("pos", "handle"))
+    rows = pages.selectExpr("page_id", f"explode({T.social_handles(V, 'html')}) as (platform, names)")
+    return rows.selectExpr("page_id", "platform", "posexplode(names) as (pos, handle)")
 
 
 def brand_context(spark, folder):
     """About text of document stores by host, and of supplier pages by their banners."""
-    docs = keyed(X.document_pages(_table(spark, folder, "documents")))
-    about = R.host_sections(candidate_pages(docs)).select("host", F.md5("about").alias("digest"))
-    homes = _home(keyed(_contact_pages(spark, folder)))
-    return about.unionByName(homes.select("host", F.md5(S.about_home_text(N(), V())).alias("digest")))
+    about = _document_sections(spark, folder).selectExpr("host", "md5(about) as digest")
+    homes = R.parsed(keyed(_contact_pages(spark, folder)))
+    return about.unionByName(homes.selectExpr("host", f"md5({S.about_home_text(N, V)}) as digest"))
+
+
+def _links(pages: DataFrame, base: str) -> DataFrame:
+    found = R.parsed(pages).selectExpr("page_id", f"{base} as base", f"{S.important_links(N, V)} as links")
+    rows = found.selectExpr("page_id", f"posexplode({S.resolve_links('links', 'base')}) as (pos, l)")
+    return rows.select("page_id", "pos", "l.*")
 
 
 def important_links(spark, folder):
-    pages = _home(_contact_pages(spark, folder))
-    links = S.resolve_links(S.important_links(N(), V()), F.col("url"))
-    return pages.select("page_id", F.posexplode(links).alias("pos", "l")).select("page_id", "pos", "l.*")
+    return _links(_contact_pages(spark, folder), "url")
 
 
 def important_links_pages(spark, folder):
     """Important links of the supplied pages, kept once per URL."""
-    base = F.concat(F.lit("https://"), U.extract_domain(F.col("url")))
-    links = S.resolve_links(S.important_links(N(), V()), base)
-    pages = _home(_pages(spark, folder))
-    return pages.select("page_id", F.explode(links).alias("l")).select("page_id", "l.*")
+    return _links(_pages(spark, folder), f"concat('https://', {U.extract_domain('url')})").drop("pos")
 
 
 # --- reports ---
 
 
+def _host_requests(pages: DataFrame) -> DataFrame:
+    hosts = pages.selectExpr(f"concat('https://', {U.extract_domain('url')}) as website_url").distinct()
+    return read_requests(hosts)[0]
+
+
 def host_reports(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: a full report for every host of the page table."""
     pages = _pages(spark, folder)
-    hosts = pages.select(F.concat(F.lit("https://"), U.extract_domain(F.col("url"))).alias("website_url")).distinct()
-    requests, _ = read_requests(hosts)
-    return R.store_reports(latest_pages(pages), requests, home="first", as_of=AS_OF)
-
-
-def _scalars(reports: DataFrame) -> DataFrame:
-    return reports.select(
-        "store_url", "store_name", "is_shopify_store", "success",
-        F.size("contact_info.emails").alias("n_emails"), F.size("contact_info.phone_numbers").alias("n_phones"),
-        F.size("important_links").alias("n_links"), F.array_join("errors", "|").alias("errors"),
-        F.array_join("warnings", "|").alias("warnings"),
-    )
+    return R.store_reports(latest_pages(pages), _host_requests(pages), home="first", as_of=AS_OF)
 
 
 def store_report(spark, folder):
-    return _scalars(host_reports(spark, folder))
-
-
-def _document_reports(spark, folder) -> DataFrame:
-    """Reports by exact home page: document stores, supplier stores and catalogue stores in one run."""
-    docs = _table(spark, folder, "documents")
-    pages = X.document_pages(docs).unionByName(_contact_pages(spark, folder))
-    suppliers = _contact_pages(spark, folder).select(
-        F.col("url").alias("website_url"), F.lit(False).alias("include_competitors")
-    )
-    lost = _catalogs(spark, folder).select(
-        F.concat("store_url", F.lit("/shop")).alias("website_url"), F.lit(True).alias("include_competitors")
+    return host_reports(spark, folder).selectExpr(
+        "store_url", "store_name", "is_shopify_store", "success", "size(contact_info.emails) as n_emails",
+        "size(contact_info.phone_numbers) as n_phones", "size(important_links) as n_links",
+        "array_join(errors, '|') as errors", "array_join(warnings, '|') as warnings",
+    )
+
+
+def _exact_reports(spark, folder) -> DataFrame:
+    """Reports by exact home page: document stores, supplier stores and stores nobody crawled, in one run."""
+    docs, suppliers = _table(spark, folder, "documents"), _contact_pages(spark, folder)
+    catalogs = _catalogs(spark, folder)
+    asked = X.document_requests(docs).unionByName(
+        suppliers.selectExpr("url as website_url", "false as include_competitors")
     )
-    requests, _ = read_requests(X.document_requests(docs).unionByName(suppliers).unionByName(lost))
-    parts = _catalogs(spark, folder).select(
-        F.regexp_replace("store_url", r"^https://p(\d+)", "https://s$1").alias("store_url"), "payload"
-    )
-    return R.store_reports(pages, requests, catalogs=parts, home="exact", as_of=AS_OF)
+    lost = catalogs.selectExpr("concat(store_url, '/shop') as website_url", "true as include_competitors")
+    requests, _ = read_requests(asked.unionByName(lost))
+    payloads = catalogs.selectExpr("replace(store_url, 'https://p', 'https://s') as store_url", "payload")
+    pages = X.document_pages(docs).unionByName(suppliers)
+    return R.store_reports(pages, requests, catalogs=payloads, home="exact", as_of=AS_OF)
 
 
 def report_summary(spark, folder):
-    return R.report_summary(_document_reports(spark, folder))
+    return R.report_summary(_exact_reports(spark, folder))
 
 
 def report_errors(spark, folder):
-    return _document_reports(spark, folder).select(
-        "store_url", "success", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings")
+    return _exact_reports(spark, folder).selectExpr(
+        "store_url", "success", "array_join(errors, '|') as errors", "array_join(warnings, '|') as warnings"
     )
 
 
 def competitor_profile(spark, folder):
     """Each part store against the store of the next part."""
-    parts = _table(spark, folder, "part").select(
-        F.concat(F.lit("https://p"), F.col("p_partkey").cast("string"), F.lit(".example.com")).alias("store_url"),
-        F.concat(F.lit("https://p"), (F.col("p_partkey") + 1).cast("string"), F.lit(".example.com")).alias(
-            "competitor_url"
-        ),
+    pairs = _table(spark, folder, "part").selectExpr(
+        "concat('https://p', p_partkey, '.example.com') as store_url",
+        "concat('https://p', p_partkey + 1, '.example.com') as competitor_url",
     )
-    rows = K.competitor_profiles(parts, K.store_profiles(_catalogs(spark, folder)))
+    rows = K.competitor_profiles(pairs, K.store_profiles(_catalogs(spark, folder)))
     return rows.select("store_url", "competitor_url", "estimated_products", "price_range")
 
 
@@ -428,24 +400,26 @@ def competitor_profile(spark, folder):
 
 def _requests(spark, folder) -> DataFrame:
     """One request per customer; stores of busy users are among them."""
-    url = F.concat(F.lit("store-"), F.col("c_custkey").cast("string"), F.lit(".example.com"))
-    valid, _ = read_requests(_table(spark, folder, "customer").select(url.alias("website_url")))
+    customers = _table(spark, folder, "customer")
+    valid, _ = read_requests(customers.selectExpr("concat('store-', c_custkey, '.example.com') as website_url"))
     return valid.select("store_url")
 
 
 def latest_record(spark, folder):
     rows = H.latest_records(_records(spark, folder))
-    return rows.select("store_url", "id", F.unix_micros("scraped_at").alias("scraped_us"), "processing_time")
+    return rows.selectExpr("store_url", "id", "unix_micros(scraped_at) as scraped_us", "processing_time")
 
 
 def cached_report(spark, folder):
     rows = H.cached_report(_records(spark, folder), " store-7.example.com")
-    return rows.select("store_url", "id", F.col("report.store_name").alias("store_name"), F.col("report.success").alias("success"))
+    return rows.selectExpr("store_url", "id", "report.store_name as store_name", "report.success as success")
 
 
 def history_page(spark, folder):
     rows = H.history_page(_records(spark, folder), limit=500, offset=20)
-    return rows.select("id", "store_url", "store_name", F.unix_micros("scraped_at").alias("scraped_us"), "processing_time", "success")
+    return rows.selectExpr(
+        "id", "store_url", "store_name", "unix_micros(scraped_at) as scraped_us", "processing_time", "success"
+    )
 
 
 def service_stats(spark, folder):
@@ -458,11 +432,11 @@ def stale_requests(spark, folder):
 
 def fresh_hits(spark, folder):
     rows = H.fresh_hits(_requests(spark, folder), _records(spark, folder), AS_OF)
-    return rows.select("store_url", "store_name", F.unix_micros("scraped_at").alias("scraped_us"))
+    return rows.selectExpr("store_url", "store_name", "unix_micros(scraped_at) as scraped_us")
 
 
 def _accepted(df: DataFrame) -> DataFrame:
-    return df.select("user_id", "event_id", F.unix_micros("ts").alias("ts_us"))
+    return df.selectExpr("user_id", "event_id", "unix_micros(ts) as ts_us")
 
 
 def cooldown_replay(spark, folder):
@@ -494,26 +468,23 @@ def stream_extract(spark, folder):
     out = scratch_path(spark, "insights")
 
     def reports(batch: DataFrame) -> DataFrame:
-        hosts = batch.select(F.concat(F.lit("https://"), U.extract_domain(F.col("url"))).alias("website_url")).distinct()
-        requests, _ = read_requests(hosts)
-        return R.store_reports(latest_pages(batch), requests, home="first", as_of=AS_OF)
+        return R.store_reports(latest_pages(batch), _host_requests(batch), home="first", as_of=AS_OF)
 
     extract_stream(pages, reports, out, scratch_path(spark, "progress")).awaitTermination()
-    doc = from_document(F.col("insights_data"))
-    return read_records(spark, out).select(
-        "store_url", "store_name", "success", F.size(doc["important_links"]).alias("n_links"),
-        F.array_join(doc["warnings"], "|").alias("warnings"),
-    )
+    rows = read_records(spark, out).withColumn("doc", from_document(F.col("insights_data")))
+    return rows.selectExpr(
+        "store_url", "store_name", "success", "size(doc.important_links) as n_links",
+        "array_join(doc.warnings, '|') as warnings",
+    )
 
 
 def records_written(spark, folder):
     """Reports become record rows; the key is a digest of store and time."""
-    rows = as_records(host_reports(spark, folder))
-    doc = from_document(F.col("insights_data"))
-    return rows.select(
-        "id", "store_url", "store_name", "success", "error_message",
-        F.unix_micros("scraped_at").alias("scraped_us"), F.size(doc["important_links"]).alias("n_links"),
-    )
+    rows = as_records(host_reports(spark, folder)).withColumn("doc", from_document(F.col("insights_data")))
+    return rows.selectExpr(
+        "id", "store_url", "store_name", "success", "error_message", "unix_micros(scraped_at) as scraped_us",
+        "size(doc.important_links) as n_links",
+    )
 
 
 QUERIES: dict[str, Query] = {

@@ -28,7 +28,7 @@ def stream_pages(spark: SparkSession, folder: str, glob: str = "*.parquet", file
 
 def keyed(pages: DataFrame) -> DataFrame:
     """Add ``host`` (lower-cased authority) and ``path`` (no query, fragment or trailing slash)."""
-    return pages.withColumns({"host": extract_domain(F.col("url")), "path": url_path(F.col("url"))})
+    return pages.withColumns({"host": F.expr(extract_domain("url")), "path": F.expr(url_path("url"))})
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def latest_pages(pages: DataFrame) -> DataFrame:
     Copies are counted on the narrow columns with partial aggregation, and only keys that do have copies
     are joined back, so the HTML stays where it was read unless copies are very many distinct URLs.
     """
-    key = page_key(F.col("url"))
+    key = F.expr(page_key("url"))
     newest = (
         pages.groupBy(key.alias("_key"))
         .agg(F.max("page_id").alias("_newest"), F.count(F.lit(1)).alias("_copies"))
@@ -50,4 +50,4 @@ def latest_pages(pages: DataFrame) -> DataFrame:
 
 def first_page_per_host(pages: DataFrame) -> DataFrame:
     """``(host, page_id)`` of the lowest page id per host: the home page of a crawl without root pages."""
-    return pages.groupBy(extract_domain(F.col("url")).alias("host")).agg(F.min("page_id").alias("page_id"))
+    return pages.groupBy(F.expr(extract_domain("url")).alias("host")).agg(F.min("page_id").alias("page_id"))

@@ -14,14 +14,14 @@ def read_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         requests = requests.withColumn("include_competitors", F.lit(False))
     checked = requests.withColumns(
         {
-            "include_competitors": F.coalesce("include_competitors", F.lit(False)),
-            "store_url": normalize_url(F.col("website_url")),
+            "include_competitors": F.expr("coalesce(include_competitors, false)"),
+            "store_url": F.expr(normalize_url("website_url")),
         }
     ).withColumn(
         "reason",
-        F.when(F.coalesce("website_url", F.lit("")) == "", F.lit("Website URL is required")).when(
-            ~is_valid_url(F.col("store_url")),
-            F.concat(F.lit("Invalid website URL: "), F.col("website_url")),
+        F.expr(
+            "case when coalesce(website_url, '') = '' then 'Website URL is required' "
+            f"when not {is_valid_url('store_url')} then concat('Invalid website URL: ', website_url) end"
         ),
     )
     return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
