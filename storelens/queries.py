@@ -171,6 +171,10 @@ def addresses(spark, folder):
     return R.parsed(_contact_pages(spark, folder)).selectExpr("page_id", f"explode({T.addresses(V)}) as address")
 
 
+def addresses_docs(spark, folder):
+    return _table(spark, folder, "documents").selectExpr("doc_id", f"explode({T.addresses('text')}) as address")
+
+
 def link_category(spark, folder):
     """Categories of the text and target of every navigation link of the supplied pages."""
     return nav_links(spark, folder).selectExpr("page_id", "pos", f"{T.link_category('title', 'href')} as category")
@@ -492,7 +496,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         pages_scan, catalog_status, records_scan, records_roundtrip, rejected_requests, url_normalize, url_validity,
         url_domain, platform_hint, url_absolute, clean_text, emails_docs, emails_pages, phones_docs, phones_pages,
-        addresses, link_category, policy_titles, node_counts, page_text_stats, titles, first_heading, priority_select,
+        addresses, addresses_docs, link_category, policy_titles, node_counts, page_text_stats, titles, first_heading, priority_select,
         nav_links, nav_links_table, contact_link, candidate_lookup, store_name, catalog_products, catalog_rollup,
         hero_products, policies, contact_info, social_handles, brand_context, important_links, important_links_pages,
         store_report, report_summary, report_errors, competitor_profile, latest_record, cached_report, history_page,
