@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import DataFrame
+
 NO_TEXT = "cast(array() as array<string>)"
 
 
@@ -29,3 +31,13 @@ def let(name: str, value: str, body: str) -> str:
 
 def either(conditions: Iterable[str]) -> str:
     return "(" + " or ".join(conditions) + ")"
+
+
+def rows_of(table: DataFrame, *keys: str, **value: str) -> DataFrame:
+    """One row per element of an array: ``keys``, its position ``pos`` and the element under the given name.
+
+    The outer form is used because the plain one makes the optimiser copy the array expression into a filter
+    below, which would compute it twice.
+    """
+    ((name, array),) = value.items()
+    return table.selectExpr(*keys, f"posexplode_outer({array}) as (pos, {name})").where("pos is not null")

@@ -6,10 +6,12 @@ parsing nor the roll-up shuffles. The rules say which malformed products are lef
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.sql import NO_TEXT, let, lit
+from storelens.functions.sql import NO_TEXT, let, lit, rows_of
 from storelens.functions.text import clean_text
 
 PAGE_LIMIT = 250  # a payload with this many raw products has a next page
@@ -19,142 +21,133 @@ WARN_MISSING = "Product catalog not accessible"
 WARN_BAD_JSON = "Could not parse product catalog JSON"
 ERROR_PREFIX = "Product catalog error: "
 
-_ISO = r"^\d{4}-\d{2}-\d{2}([Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?$"
-
-
-def _field(obj: str, name: str) -> str:
-    return f"try_variant_get({obj}, {lit('$.' + name)}, 'variant')"
-
-
-def _text(value: str) -> str:
-    return f"try_variant_get({value}, '$', 'string')"
-
-
-def _kind(value: str) -> str:
-    """Type name; NULL when absent, VOID for a JSON null."""
-    return f"schema_of_variant({value})"
+# Fields read from a product; each stays a VARIANT so that its JSON type can be checked.
+FIELDS = "id title handle body_html vendor product_type tags variants images created_at updated_at".split()
+_PRODUCTS = f"array<struct<{', '.join(f'{f}: variant' for f in FIELDS)}>>"
+_VARIANTS = "array<struct<price: variant, compare_at_price: variant, available: variant>>"
+_IMAGES = "array<struct<src: variant>>"
 
-
-def _absent(value: str) -> str:
-    return f"({value} is null or is_variant_null({value}))"
-
-
-def _empty(value: str) -> str:
-    """Absent, null, false, zero or an empty string, list or object."""
-    return f"({_absent(value)} or {_text(value)} in ('', 'false', '0', '0.0', '-0.0', '[]', '{{}}'))"
+_ISO = r"^\d{4}-\d{2}-\d{2}([Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?$"
+_EMPTY = "('false', '0', '0.0', '-0.0', '[]', '{}')"
 
 
-def _is_string(value: str) -> str:
-    return f"coalesce({_kind(value)} = 'STRING', false)"
+def _get(value: str, kind: str) -> str:
+    return f"try_variant_get({value}, '$', '{kind}')"
 
 
-def _is_object(value: str) -> str:
-    return f"coalesce(startswith({_kind(value)}, 'OBJECT'), false)"
+def _typed(values: dict[str, str]) -> str:
+    """Struct of ``(k, t)`` per value: JSON type (NULL when absent, VOID for null) and text (NULL for both)."""
+    return f"named_struct({', '.join(f'{lit(n)}, struct(schema_of_variant({v}) as k, {_get(v, "string")} as t)' for n, v in values.items())})"
 
 
-def _elements(value: str) -> str:
-    """Array elements; NULL when the value is no array."""
-    return f"if(startswith({_kind(value)}, 'ARRAY'), try_variant_get({value}, '$', 'array<variant>'), null)"
+def _present(v: str) -> str:
+    """Neither absent, null, false, zero nor an empty string, list or object."""
+    return f"({v}.t is not null and {v}.t <> '' and ({v}.k = 'STRING' or {v}.t not in {_EMPTY}))"
 
 
-def _all(items: str, test) -> str:
-    return f"coalesce(forall({items}, x -> {test('x')}), false)"
+def _string_or_none(v: str) -> str:
+    return f"({v}.t is null or {v}.k = 'STRING')"
 
 
-def scalar_text(value: str) -> str:
-    """Text of a JSON scalar: numbers keep a fraction (``30.0``), booleans are ``True``/``False``.
+def scalar_text(v: str) -> str:
+    """Text of a typed value: numbers keep a fraction (``30.0``), booleans are ``True``/``False``.
 
     A JSON null gives NULL. Lists and objects give their JSON text.
     """
-    number = f"try_variant_get({value}, '$', 'double')"
+    number = f"try_cast({v}.t as double)"
     plain = f"trim(trailing '0' from cast(cast({number} as decimal(38,10)) as string))"
-    text = _text(value)
     return (
-        f"case when startswith({_kind(value)}, 'DECIMAL') and not contains({text}, '.') and length({text}) < 19 "
-        f"then concat({text}, '.0') "
-        f"when {_kind(value)} = 'DOUBLE' and abs({number}) >= 1e7 and abs({number}) < 1e16 "
+        f"case when {v}.k = 'STRING' then {v}.t "
+        f"when startswith({v}.k, 'DECIMAL') and not contains({v}.t, '.') and length({v}.t) < 19 then concat({v}.t, '.0') "
+        f"when {v}.k = 'DOUBLE' and abs({number}) >= 1e7 and abs({number}) < 1e16 "
         f"then regexp_replace({plain}, '[.]$', '.0') "
-        f"when {_kind(value)} = 'BOOLEAN' then initcap({text}) else {text} end"
+        f"when {v}.k = 'BOOLEAN' then initcap({v}.t) else {v}.t end"
     )
 
 
-def _required_text(value: str) -> tuple[str, str]:
-    """(valid, cleaned text) of a field where anything empty counts as the empty string."""
-    return f"({_empty(value)} or {_is_string(value)})", f"if({_empty(value)}, '', {clean_text(_text(value))})"
+def _integer(v: str) -> tuple[str, str]:
+    """(valid, value) of a whole number, also as text, boolean or with a zero fraction."""
+    text = f"trim(if({v}.k = 'BOOLEAN', if({v}.t = 'true', '1', '0'), {v}.t))"
+    valid = f"({v}.t is null or {text} rlike {lit(r'^[+-]?\d+([.]0*)?(E\d+)?$')})"
+    return valid, f"try_cast(try_cast({text} as decimal(38,0)) as bigint)"
 
 
-def _optional_text(value: str) -> tuple[str, str]:
-    return f"({_absent(value)} or {_is_string(value)})", _text(value)
-
-
-def _integer(value: str) -> tuple[str, str]:
-    text = f"trim(case {_kind(value)} when 'BOOLEAN' then if({_text(value)} = 'true', '1', '0') else {_text(value)} end)"
-    whole = f"coalesce({text} rlike {lit(r'^[+-]?\d+([.]0*)?(E\d+)?$')}, false)"
-    return f"({_absent(value)} or {whole})", f"try_cast(try_cast({text} as decimal(38,0)) as bigint)"
+def _moment(v: str) -> str:
+    """Timestamp of ISO date-time text or epoch seconds (milliseconds when large)."""
+    number = f"try_cast(if({v}.k = 'BOOLEAN', null, {v}.t) as double)"
+    epoch = f"timestamp_seconds(if(abs({number}) > 2e10, {number} / 1000, {number}))"
+    return f"if({v}.t rlike {lit(_ISO)}, try_to_timestamp(translate({v}.t, '_,', 'T.')), {epoch})"
 
 
-def _moment(value: str) -> tuple[str, str]:
-    """ISO date-time text or epoch seconds (milliseconds when large)."""
-    text = _text(value)
-    iso = f"try_to_timestamp(translate({text}, '_,', 'T.'))"
-    number = f"try_cast(if({_kind(value)} = 'BOOLEAN', null, {text}) as double)"
-    epoch = f"timestamp_seconds(if(abs({number}) > 2e10, {number} / 1000, {number}))"
-    when = f"if({text} rlike {lit(_ISO)}, {iso}, {epoch})"
-    return f"({_absent(value)} or {when} is not null)", when
+def _list_of(field: str, kind: str) -> str:
+    """Array of a uniform JSON list; NULL for anything else."""
+    start = {"array<string>": "ARRAY<STRING>"}.get(kind, "ARRAY<OBJECT")
+    return f"if(startswith(v.{field}.k, '{start}') or v.{field}.t = '[]', {_get(f'o.{field}', kind)}, null)"
 
 
-_FIELDS = "id title handle body_html vendor product_type tags variants images created_at updated_at".split()
+def _whole(items: str) -> str:
+    """True for a list whose elements all have the expected type."""
+    return f"coalesce(not exists({items}, x -> x is null), false)"
 
 
-def _product(obj: str) -> str:
-    """Struct ``(ok, product)`` of one product object; NULL when it is no object."""
-    title_ok, title = _required_text("v.title")
-    body_ok, body = _required_text("v.body_html")
+def _product(fields: Sequence[str] | None) -> str:
+    """Struct of the wanted fields of product ``o`` (``true`` for none); NULL when the product is malformed."""
     id_ok, ident = _integer("v.id")
-    created_ok, created = _moment("v.created_at")
-    updated_ok, updated = _moment("v.updated_at")
-    handle_ok, handle = _optional_text("v.handle")
-    vendor_ok, vendor = _optional_text("v.vendor")
-    type_ok, kind = _optional_text("v.product_type")
+    cleaned = {f: f"if({_present(f'v.{f}')}, {clean_text(f'v.{f}.t')}, '')" for f in ("title", "body_html")}
+    available = f"exists(a.variants, x -> {let('c', _typed({'v': 'x.available'}), _present('c.v'))})"
+    columns = {
+        "id": ident,
+        "title": cleaned["title"],
+        "handle": "v.handle.t",
+        "description": cleaned["body_html"],
+        "vendor": "v.vendor.t",
+        "product_type": "v.product_type.t",
+        "tags": f"coalesce(a.tags, {NO_TEXT})",
+        "price": f"if(size(a.variants) > 0, if(b.price.k is null, '', {scalar_text('b.price')}), null)",
+        "compare_at_price": scalar_text("b.compare"),
+        "available": f"coalesce({available}, false)",
+        "images": "b.sources.t",
+        "variants": f"coalesce({_get('o.variants', 'array<string>')}, {NO_TEXT})",
+        "created_at": "b.created",
+        "updated_at": "b.updated",
+    }
     checks = [
-        title_ok, body_ok, id_ok, created_ok, updated_ok, handle_ok, vendor_ok, type_ok,
-        f"(v.tags is null or {_all('a.tags', _is_string)})",
-        f"(v.variants is null or {_all('a.variants', _is_object)})",
-        f"({_empty('v.images')} or ({_all('a.images', _is_object)} and {_all('b.sources', _is_string)}))",
-        f"({_absent('b.compare')} or {_is_string('b.compare')} or not {_empty('b.compare')})",
-    ]
-
-    def texts(items: str) -> str:
-        return f"coalesce(transform({items}, x -> {_text('x')}), {NO_TEXT})"
-
-    available = f"coalesce(exists(a.variants, x -> not {_empty(_field('x', 'available'))}), false)"
-    price = f"if(size(a.variants) > 0, if(b.price is null, '', {scalar_text('b.price')}), null)"
-    product = (
-        f"named_struct('id', {ident}, 'title', {title}, 'handle', {handle}, 'description', {body}, "
-        f"'vendor', {vendor}, 'product_type', {kind}, 'tags', {texts('a.tags')}, 'price', {price}, "
-        f"'compare_at_price', {scalar_text('b.compare')}, 'available', {available}, "
-        f"'images', {texts('b.sources')}, 'variants', {texts('a.variants')}, "
-        f"'created_at', {created}, 'updated_at', {updated})"
+        id_ok,
+        *[f"(not {_present(f'v.{f}')} or v.{f}.k = 'STRING')" for f in ("title", "body_html")],
+        *[_string_or_none(f"v.{f}") for f in ("handle", "vendor", "product_type")],
+        f"(v.tags.k is null or {_whole('a.tags')})",
+        f"(v.variants.k is null or {_whole('a.variants')})",
+        f"(not {_present('v.images')} or ({_whole('a.images')} and forall(b.sources, x -> x.k = 'STRING')))",
+        f"({_string_or_none('b.compare')} or {_present('b.compare')})",
+        *[f"(v.{f}_at.t is null or b.{f} is not null)" for f in ("created", "updated")],
+    ]
+    wanted = [c for c in columns if fields is None or c in fields]
+    product = f"named_struct({', '.join(f'{lit(c)}, {columns[c]}' for c in wanted)})" if wanted else "true"
+    sources = f"filter(transform(a.images, x -> {let('s', _typed({'v': 'x.src'}), 's.v')}), s -> {_present('s')})"
+    first = "get(a.variants, 0)"
+    b = (
+        f"named_struct('price', p.price, 'compare', p.compare, 'sources', coalesce({sources}, array()), "
+        f"'created', {_moment('v.created_at')}, 'updated', {_moment('v.updated_at')})"
     )
-    sources = f"filter(transform(a.images, x -> {_field('x', 'src')}), x -> not {_empty('x')})"
-    first = (
-        f"named_struct('price', {_field('get(a.variants, 0)', 'price')}, "
-        f"'compare', {_field('get(a.variants, 0)', 'compare_at_price')}, 'sources', {sources})"
+    prices = _typed({"price": f"{first}.price", "compare": f"{first}.compare_at_price"})
+    a = (
+        f"named_struct('tags', {_list_of('tags', 'array<string>')}, 'variants', {_list_of('variants', _VARIANTS)}, "
+        f"'images', {_list_of('images', _IMAGES)})"
     )
-    arrays = f"named_struct({', '.join(f'{lit(f)}, {_elements(f"v.{f}")}' for f in ('tags', 'variants', 'images'))})"
-    parts = f"named_struct({', '.join(f'{lit(f)}, {_field(obj, f)}' for f in _FIELDS)})"
-    result = f"if({' and '.join(checks)}, {product}, null)"
-    return f"if({_is_object(obj)}, {let('v', parts, let('a', arrays, let('b', first, result)))}, null)"
+    result = let("a", a, let("p", prices, let("b", b, f"if({' and '.join(checks)}, {product}, null)")))
+    return f"if(o is null, null, {let('v', _typed({f: f'o.{f}' for f in FIELDS}), result)})"
 
 
 def read_catalog(catalogs: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``catalog_status`` and the raw ``_products`` of each payload.
 
-    Status: ``parsed``, ``missing`` (NULL payload), ``bad_json``, or ``error`` (JSON of another shape).
+    Status: ``parsed``, ``missing`` (NULL payload), ``bad_json``, or ``error`` (JSON of another shape). A product
+    that is no object becomes NULL.
     """
-    listed = _field("_doc", "products")
     products = (
-        f"if({_is_object('_doc')}, if({listed} is null, cast(array() as array<variant>), {_elements(listed)}), null)"
+        f"case when not startswith(schema_of_variant(_doc), 'OBJECT') then null "
+        f"when try_variant_get(_doc, '$.products', 'variant') is null then cast(array() as {_PRODUCTS}) "
+        f"else try_variant_get(_doc, '$.products', '{_PRODUCTS}') end"
     )
     status = (
         f"case when {payload} is null then 'missing' when _doc is null then 'bad_json' "
@@ -168,14 +161,19 @@ def read_catalog(catalogs: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def parse_products(catalogs: DataFrame, payload: str = "payload", page_limit: int = PAGE_LIMIT) -> DataFrame:
+def parse_products(
+    catalogs: DataFrame,
+    payload: str = "payload",
+    page_limit: int = PAGE_LIMIT,
+    fields: Sequence[str] | None = None,
+) -> DataFrame:
     """Add ``products``, ``total_products``, ``has_more`` and ``catalog_status`` to a payload table.
 
     Totals count the products that survive, ``has_more`` looks at the raw number. The price is that of the first
     variant: absent gives ``''`` and a JSON null gives NULL; a product without variants has no price and is
-    unavailable.
+    unavailable. ``fields`` limits what is built of each product; all products are checked in full.
     """
-    kept = f"filter(transform(_products, o -> {_product('o')}), p -> p is not null)"
+    kept = f"filter(transform(_products, o -> {_product(fields)}), p -> p is not null)"
     return (
         read_catalog(catalogs, payload)
         .withColumn("products", F.expr(kept))
@@ -191,9 +189,9 @@ def parse_products(catalogs: DataFrame, payload: str = "payload", page_limit: in
 
 def catalog_products(catalogs: DataFrame, keys: tuple[str, ...] = ("store_url",)) -> DataFrame:
     """One row per surviving product with its position in the catalogue."""
-    return parse_products(catalogs).select(*keys, F.posexplode("products").alias("pos", "p")).select(*keys, "pos", "p.*")
+    return rows_of(parse_products(catalogs), *keys, p="products").select(*keys, "pos", "p.*")
 
 
 def catalog_rollup(catalogs: DataFrame, keys: tuple[str, ...] = ("store_url",)) -> DataFrame:
     """Status, surviving products and ``has_more`` per payload."""
-    return parse_products(catalogs).select(*keys, "catalog_status", "total_products", "has_more")
+    return parse_products(catalogs, fields=()).select(*keys, "catalog_status", "total_products", "has_more")

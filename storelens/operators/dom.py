@@ -230,4 +230,4 @@ def with_dom(pages: DataFrame, html: str = "html", keep_html: bool = False, **wa
 
 def to_nodes(parsed: DataFrame, *keys: str) -> DataFrame:
     """Node table: one row per node with the given page columns in front."""
-    return parsed.select(*keys, F.inline("nodes"))
+    return parsed.select(*keys, F.inline_outer("nodes")).where("id is not null")

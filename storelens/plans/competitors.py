@@ -16,7 +16,7 @@ def store_profiles(catalogs: DataFrame, social: DataFrame | None = None) -> Data
     """
     prices = "filter(transform(products, p -> try_cast(p.price as decimal(18,2))), p -> p is not null)"
     table = (
-        parse_products(catalogs)
+        parse_products(catalogs, fields=("price",))
         .selectExpr("store_url", "total_products as estimated_products", f"{prices} as _prices")
         .selectExpr(
             "store_url",

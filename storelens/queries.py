@@ -12,7 +12,7 @@ from storelens import fixtures as X
 from storelens.functions import select as Q
 from storelens.functions import text as T
 from storelens.functions import urls as U
-from storelens.functions.sql import let, lit, lits
+from storelens.functions.sql import let, lit, lits, rows_of
 from storelens.operators import catalog as C
 from storelens.operators import history as H
 from storelens.operators import sections as S
@@ -21,7 +21,7 @@ from storelens.operators.dom import to_nodes, with_dom
 from storelens.operators.lookup import candidate_pages, first_hit
 from storelens.plans import competitors as K
 from storelens.plans import report as R
-from storelens.session import prepare, scratch_path
+from storelens.session import prepare, scratch_path, spread
 from storelens.sources.pages import keyed, latest_pages, read_pages, stream_pages
 from storelens.sources.records import append_records, as_records, from_document, read_records
 from storelens.sources.requests import read_requests
@@ -41,6 +41,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are about to be parsed."""
+    return spread(_table(spark, folder, name))
+
+
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return read_pages(prepare(spark), f"{folder}/pages.parquet")
 
@@ -50,11 +55,11 @@ def _records(spark, folder) -> DataFrame:
 
 
 def _catalogs(spark, folder) -> DataFrame:
-    return X.catalogs(_table(spark, folder, "part"))
+    return X.catalogs(_texts(spark, folder, "part"))
 
 
 def _contact_pages(spark, folder) -> DataFrame:
-    return X.contact_pages(_table(spark, folder, "supplier"), _table(spark, folder, "nation"))
+    return X.contact_pages(_texts(spark, folder, "supplier"), _table(spark, folder, "nation"))
 
 
 # --- sources ---
@@ -147,32 +152,32 @@ def url_absolute(spark, folder):
 def clean_text(spark, folder):
     tail = lit("&amp;lt; &quot;x&quot;&nbsp; \x1c")
     text = T.clean_text(f"concat('  ', text, {tail})")
-    rows = _table(spark, folder, "documents").selectExpr("doc_id", f"{text} as t")
+    rows = _texts(spark, folder, "documents").selectExpr("doc_id", f"{text} as t")
     return rows.selectExpr("doc_id", "cast(length(t) as bigint) as chars", "md5(t) as digest")
 
 
 def emails_docs(spark, folder):
-    return _table(spark, folder, "documents").selectExpr("doc_id", f"explode({T.emails('text')}) as email")
+    return _texts(spark, folder, "documents").transform(rows_of, "doc_id", email=T.emails('text')).drop("pos")
 
 
 def emails_pages(spark, folder):
-    return _pages(spark, folder).selectExpr("page_id", f"explode({T.emails('html')}) as email")
+    return _pages(spark, folder).transform(rows_of, "page_id", email=T.emails('html')).drop("pos")
 
 
 def phones_docs(spark, folder):
-    return _table(spark, folder, "documents").selectExpr("doc_id", f"explode({T.phones('text')}) as phone")
+    return _texts(spark, folder, "documents").transform(rows_of, "doc_id", phone=T.phones('text')).drop("pos")
 
 
 def phones_pages(spark, folder):
-    return _pages(spark, folder).selectExpr("page_id", f"explode({T.phones('html')}) as phone")
+    return _pages(spark, folder).transform(rows_of, "page_id", phone=T.phones('html')).drop("pos")
 
 
 def addresses(spark, folder):
-    return R.parsed(_contact_pages(spark, folder)).selectExpr("page_id", f"explode({T.addresses(V)}) as address")
+    return R.parsed(_contact_pages(spark, folder)).transform(rows_of, "page_id", address=T.addresses(V)).drop("pos")
 
 
 def addresses_docs(spark, folder):
-    return _table(spark, folder, "documents").selectExpr("doc_id", f"explode({T.addresses('text')}) as address")
+    return _texts(spark, folder, "documents").transform(rows_of, "doc_id", address=T.addresses('text')).drop("pos")
 
 
 def link_category(spark, folder):
@@ -227,13 +232,13 @@ def _with_nav(spark, folder) -> DataFrame:
 
 
 def nav_links(spark, folder):
-    rows = _with_nav(spark, folder).selectExpr("page_id", f"posexplode({S.nav_links(N, V)}) as (pos, l)")
+    rows = rows_of(_with_nav(spark, folder), "page_id", l=S.nav_links(N, V))
     return rows.select("page_id", "pos", "l.title", "l.href")
 
 
 def nav_links_table(spark, folder):
     """The same links from the node table: one window per page instead of arrays."""
-    nodes = _with_nav(spark, folder).selectExpr("page_id", "visible_text", "explode(nodes) as n")
+    nodes = rows_of(_with_nav(spark, folder), "page_id", "visible_text", n=N)
     title = T.clean_text(Q.node_text("visible_text", "n"))
     links = Q.select_nodes(nodes.selectExpr("page_id", "n.*", f"{title} as title"), S.NAV_LINKS)
     return links.selectExpr("page_id", "title", "attrs['href'] as href")
@@ -277,27 +282,24 @@ def catalog_rollup(spark, folder):
 
 
 def hero_products(spark, folder):
-    pages = R.parsed(X.hero_pages(_table(spark, folder, "part")))
+    pages = R.parsed(X.hero_pages(_texts(spark, folder, "part")))
     heroes = pages.selectExpr("page_id", "url", f"{S.hero_products(N, V)} as heroes")
-    rows = heroes.selectExpr("page_id", f"posexplode({S.resolve_heroes('heroes', 'url')}) as (pos, h)")
-    return rows.select("page_id", "pos", "h.*")
+    return rows_of(heroes, "page_id", h=S.resolve_heroes("heroes", "url")).select("page_id", "pos", "h.*")
 
 
 def _document_sections(spark, folder) -> DataFrame:
-    return R.host_sections(candidate_pages(keyed(X.document_pages(_table(spark, folder, "documents")))))
+    return R.host_sections(candidate_pages(keyed(X.document_pages(_texts(spark, folder, "documents")))))
 
 
 def policies(spark, folder):
-    rows = _document_sections(spark, folder).selectExpr(
-        "host", f"explode(array_compact(array({', '.join(R.POLICY_PATHS)}))) as p"
-    )
+    rows = rows_of(_document_sections(spark, folder), "host", p=f"array_compact(array({', '.join(R.POLICY_PATHS)}))")
     return rows.selectExpr("host", "p.type", "p.title", "p.url as path", "md5(p.content) as digest")
 
 
 def _faq(extract):
     def query(spark, folder):
-        pages = with_dom(X.faq_pages(_table(spark, folder, "conversations")))
-        return pages.selectExpr("page_id", f"posexplode({extract(N, V)}) as (pos, f)").select("page_id", "pos", "f.*")
+        pages = with_dom(X.faq_pages(_texts(spark, folder, "conversations")))
+        return rows_of(pages, "page_id", f=extract(N, V)).select("page_id", "pos", "f.*")
 
     return query
 
@@ -317,8 +319,8 @@ def contact_info(spark, folder):
 
 def social_handles(spark, folder):
     pages = R.parsed(_contact_pages(spark, folder), keep_html=True)
-    rows = pages.selectExpr("page_id", f"explode({T.social_handles(V, 'html')}) as (platform, names)")
-    return rows.selectExpr("page_id", "platform", "posexplode(names) as (pos, handle)")
+    found = pages.selectExpr("page_id", f"explode_outer({T.social_handles(V, 'html')}) as (platform, names)")
+    return rows_of(found, "page_id", "platform", handle="names")
 
 
 def brand_context(spark, folder):
@@ -330,8 +332,7 @@ def brand_context(spark, folder):
 
 def _links(pages: DataFrame, base: str) -> DataFrame:
     found = R.parsed(pages).selectExpr("page_id", f"{base} as base", f"{S.important_links(N, V)} as links")
-    rows = found.selectExpr("page_id", f"posexplode({S.resolve_links('links', 'base')}) as (pos, l)")
-    return rows.select("page_id", "pos", "l.*")
+    return rows_of(found, "page_id", l=S.resolve_links("links", "base")).select("page_id", "pos", "l.*")
 
 
 def important_links(spark, folder):
@@ -367,7 +368,7 @@ def store_report(spark, folder):
 
 def _exact_reports(spark, folder) -> DataFrame:
     """Reports by exact home page: document stores, supplier stores and stores nobody crawled, in one run."""
-    docs, suppliers = _table(spark, folder, "documents"), _contact_pages(spark, folder)
+    docs, suppliers = _texts(spark, folder, "documents"), _contact_pages(spark, folder)
     catalogs = _catalogs(spark, folder)
     asked = X.document_requests(docs).unionByName(
         suppliers.selectExpr("url as website_url", "false as include_competitors")

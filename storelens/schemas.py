@@ -3,11 +3,23 @@
 Fixed values: field names and nesting of a stored report, so that stored reports stay readable.
 """
 
-PRODUCT = (
-    "struct<id:bigint,title:string,handle:string,description:string,vendor:string,product_type:string,"
-    "tags:array<string>,price:string,compare_at_price:string,available:boolean,images:array<string>,"
-    "variants:array<string>,created_at:timestamp,updated_at:timestamp>"
-)
+PRODUCT_FIELDS = {
+    "id": "bigint",
+    "title": "string",
+    "handle": "string",
+    "description": "string",
+    "vendor": "string",
+    "product_type": "string",
+    "tags": "array<string>",
+    "price": "string",
+    "compare_at_price": "string",
+    "available": "boolean",
+    "images": "array<string>",
+    "variants": "array<string>",
+    "created_at": "timestamp",
+    "updated_at": "timestamp",
+}
+PRODUCT = "struct<" + ",".join(f"{k}:{v}" for k, v in PRODUCT_FIELDS.items()) + ">"
 CATALOG = f"struct<total_products:bigint,products:array<{PRODUCT}>,has_more:boolean,next_page_url:string>"
 HERO = (
     "struct<title:string,description:string,image_url:string,product_url:string,price:string,"

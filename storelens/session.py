@@ -62,3 +62,12 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, max_rows: int =
     if right.limit(max_rows + 1).count() <= max_rows:
         right = F.broadcast(right)
     return left.join(right, on, how)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores when it has fewer splits than the session has cores.
+
+    For inputs headed for CPU-bound parsing. Large tables have more splits than cores and stay as read.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.urls import extract_domain, page_key, url_path
-from storelens.session import sized_join
+from storelens.session import sized_join, spread
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Crawled pages; a failed fetch is an absent row or NULL html."""
-    return spark.read.schema(PAGE_SCHEMA).parquet(path)
+    return spread(spark.read.schema(PAGE_SCHEMA).parquet(path))
 
 
 def stream_pages(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
