@@ -82,7 +82,7 @@ def _merge_paths(base: str, path: str) -> str:
         "then slice(acc, 1, greatest(size(acc) - 1, 0)) when s = '.' then acc else concat(acc, array(s)) end)"
     )
     tail = f"if({path} rlike {lit('(?:^|/)[.][.]?$')}, array(''), {NO_TEXT})"
-    return f"coalesce(nullif(array_join(concat({walked}, {tail}), '/'), ''), '/')"
+    return f"regexp_replace(array_join(concat({walked}, {tail}), '/'), '^/?', '/')"
 
 
 def absolute_url(base: str, ref: str) -> str:
@@ -97,17 +97,17 @@ def absolute_url(base: str, ref: str) -> str:
     src, root = _tidy(ref), _tidy(base)
     fields = (
         f"named_struct('base', {base}, 'ref', {ref}, 's', lower({part(src, 1)}), 'a', {part(src, 2)}, "
-        f"'p', {part(src, 3)}, 'q', {part(src, 4)}, 'f', {part(src, 5)}, 'bs', lower({part(root, 1)}), "
+        f"'p', regexp_replace({part(src, 3)}, ';[^/]*$', ''), 'x', regexp_extract({part(src, 3)}, ';[^/]+$', 0), 'q', {part(src, 4)}, 'f', {part(src, 5)}, 'bs', lower({part(root, 1)}), "
         f"'ba', {part(root, 2)}, 'bp', {part(root, 3)}, 'bq', {part(root, 4)})"
     )
     body = (
         "case when coalesce(u.base, '') = '' then u.ref when coalesce(u.ref, '') = '' then u.base "
         f"when {_bad_brackets('u.a')} then u.ref "
         "when u.s <> '' and u.s <> u.bs then u.ref "
-        f"when u.a <> '' then concat(u.bs, '://', u.a, u.p, {suffix('u.q')}) "
-        f"when u.p = '' then concat(u.bs, '://', u.ba, u.bp, {suffix('if(u.q = \'\', u.bq, u.q)')}) "
+        f"when u.a <> '' then concat(u.bs, '://', u.a, u.p, u.x, {suffix('u.q')}) "
+        f"when u.p = '' and u.x = '' then concat(u.bs, '://', u.ba, u.bp, {suffix('if(u.q = \'\', u.bq, u.q)')}) "
         f"when startswith(u.p, '/') and not u.p rlike {lit('(?:^|/)[.][.]?(?:/|$)')} "
-        f"then concat(u.bs, '://', u.ba, u.p, {suffix('u.q')}) "
-        f"else concat(u.bs, '://', u.ba, {_merge_paths('u.bp', 'u.p')}, {suffix('u.q')}) end"
+        f"then concat(u.bs, '://', u.ba, u.p, u.x, {suffix('u.q')}) "
+        f"else concat(u.bs, '://', u.ba, {_merge_paths('u.bp', 'u.p')}, u.x, {suffix('u.q')}) end"
     )
     return let("u", fields, body)

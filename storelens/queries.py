@@ -42,7 +42,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose rows are about to be parsed."""
+    """A table whose every row is about to be parsed."""
     return spread(_table(spark, folder, name))
 
 
@@ -196,38 +196,38 @@ def policy_titles(spark, folder):
 
 
 def node_counts(spark, folder):
-    nodes = to_nodes(with_dom(_pages(spark, folder), attrs=[]), "page_id")
+    nodes = to_nodes(with_dom(_texts(spark, folder, "pages"), attrs=[]), "page_id")
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def page_text_stats(spark, folder):
-    return with_dom(_pages(spark, folder), tags=[]).selectExpr(
+    return with_dom(_texts(spark, folder, "pages"), tags=[]).selectExpr(
         "page_id", "cast(length(visible_text) as bigint) as chars", "md5(visible_text) as digest"
     )
 
 
 def titles(spark, folder):
     title = let("hit", Q.select_first(N, Q.tag("title")), Q.node_text(V, "hit"))
-    return with_dom(_pages(spark, folder), tags=["title"], attrs=[]).selectExpr("page_id", f"{title} as title")
+    return with_dom(_texts(spark, folder, "pages"), tags=["title"], attrs=[]).selectExpr("page_id", f"{title} as title")
 
 
 def first_heading(spark, folder):
     """First of ``p, h1`` in document order, whatever the order of the group."""
     first = Q.select_first(N, Q.any_of(Q.tag("p"), Q.tag("h1")))
-    return with_dom(_pages(spark, folder), tags=["h1", "p"], attrs=[]).selectExpr("page_id", f"{first}.tag as tag")
+    return with_dom(_texts(spark, folder, "pages"), tags=["h1", "p"], attrs=[]).selectExpr("page_id", f"{first}.tag as tag")
 
 
 def priority_select(spark, folder):
     """``h1`` wins over the earlier ``.ad`` because it comes first in the list; ``aside`` never matches."""
     hit = Q.select_priority(N, [Q.tag("aside"), Q.tag("h1"), Q.cls("ad")])
     text = let("hit", hit, f"struct(hit.tag, {T.clean_text(Q.node_text(V, 'hit'))} as t)")
-    parsed = with_dom(_pages(spark, folder), tags=["h1", "aside"], classes=["ad"], attrs=[])
+    parsed = with_dom(_texts(spark, folder, "pages"), tags=["h1", "aside"], classes=["ad"], attrs=[])
     return parsed.selectExpr("page_id", f"{text} as h").selectExpr("page_id", "h.tag as tag", "md5(h.t) as digest")
 
 
 def _with_nav(spark, folder) -> DataFrame:
     return with_dom(
-        _pages(spark, folder), tags=["nav", "footer", "a"], classes=["navigation", "menu"], attrs=["href"]
+        _texts(spark, folder, "pages"), tags=["nav", "footer", "a"], classes=["navigation", "menu"], attrs=["href"]
     )
 
 
@@ -263,7 +263,7 @@ def candidate_lookup(spark, folder):
 
 def store_name(spark, folder):
     """Names of the supplied pages (title) and of supplier pages (title, then logo text)."""
-    both = _pages(spark, folder).unionByName(_contact_pages(spark, folder))
+    both = _texts(spark, folder, "pages").unionByName(_contact_pages(spark, folder))
     return R.parsed(both).selectExpr("page_id", "url", f"{S.store_name(N, V)} as store_name")
 
 
@@ -341,7 +341,7 @@ def important_links(spark, folder):
 
 def important_links_pages(spark, folder):
     """Important links of the supplied pages, kept once per URL."""
-    return _links(_pages(spark, folder), f"concat('https://', {U.extract_domain('url')})").drop("pos")
+    return _links(_texts(spark, folder, "pages"), f"concat('https://', {U.extract_domain('url')})").drop("pos")
 
 
 # --- reports ---

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     return prepare(spark)
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="storelens-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh folder below ``spark.checkpoint.dir``, the place all executors share.
 
@@ -48,20 +54,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="storelens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a wide ``left`` with a narrow ``right``, broadcasting ``right`` only after counting it.
 
-    Without the count the planner would shuffle the wide side before it learns that the
-    narrow one is tiny. Above the bound it stays an ordinary shuffle join, which AQE may split on skew.
+    ``right`` is written as a table in the shared scratch folder first, so it is computed once, survives lost
+    executors and its rows are counted from file footers. Without the count the planner would shuffle the wide
+    side before it learns that the narrow one is tiny. Above the bound it stays an ordinary shuffle join,
+    which AQE may split on skew.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+    spark = right.sparkSession
+    path = scratch_path(spark, "narrow")
+    right.write.parquet(path)
+    stored = spark.read.schema(right.schema).parquet(path)
+    return left.join(F.broadcast(stored) if stored.count() <= max_rows else stored, on, how)
 
 
 def spread(table: DataFrame) -> DataFrame:
