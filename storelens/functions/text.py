@@ -96,7 +96,8 @@ def phones(text: str) -> str:
     The US shape yields its ten digits alone, the others the matched text, so one number can appear twice.
     """
     digits = f"right(regexp_replace(m, {lit('(?U)\\D')}, ''), 10)"
-    ten = f"transform({_find_all(text, f'(?dU){PHONE_US}')}, m -> {digits})"
+    likely = f"{text} rlike {lit(rf'(?U)\d{{3}}{_GAP}\d{{4}}')}"
+    ten = f"if({likely}, transform({_find_all(text, f'(?dU){PHONE_US}')}, m -> {digits}), {NO_TEXT})"
     intl = f"if(contains({text}, '+'), {_find_all(text, f'(?dU){PHONE_INTL}')}, {NO_TEXT})"
     bracket = f"if(contains({text}, '('), {_find_all(text, f'(?dU){PHONE_BRACKET}')}, {NO_TEXT})"
     return _tidy_set(f"if({text} is null, {NO_TEXT}, concat({ten}, {intl}, {bracket}))")

@@ -29,9 +29,7 @@ HIDDEN_TAGS = frozenset(("script", "style", "template", "rt", "rp"))
 PRESERVED_TAGS = frozenset(("pre", "textarea"))
 
 # What the section rules look at; other nodes and attributes need not leave the Python worker.
-SECTION_TAGS = (
-    "title img nav footer a main h1 h2 h3 h4 h5 p div dt dd".split()
-)
+SECTION_TAGS = "title img nav footer a main h1 h2 h3 h4 h5 p div dt dd".split()
 SECTION_ATTRS = ("href", "src", "data-src", "alt")
 
 
@@ -49,6 +47,10 @@ class _Outline(HTMLParser):
         self.open: dict[str, int] = {}
         self.hidden = self.preserved = self.serial = 0
 
+    def updatepos(self, i, j):
+        """Line numbers are not needed."""
+        return j
+
     def flush(self):
         if not self.pending:
             return

@@ -109,6 +109,11 @@ _PRODUCTS = f"select * from ({_RAW_PRODUCTS}) where kind > 5"
 _PRICE = "(cents // 100) || '.' || lpad((cents % 100)::varchar, 2, '0')"
 _STATUS = "case p_size when 46 then 'error' when 47 then 'missing' when 48 then 'bad_json' else 'parsed' end"
 _PART_URL = "'https://p' || p_partkey || '.example.com'"
+_PROFILES = (
+    "select p_partkey, coalesce(n, 0)::bigint as n, price_range from part left join "
+    "(select p_partkey, count(*) as n, min(price) || ' - ' || max(price) as price_range from (select p_partkey, "
+    f"case when kind not in (6, 8) then (cents / 100.0)::decimal(18, 2) end as price from ({_PRODUCTS})) group by 1) using (p_partkey)"
+)
 
 _HERO_ROWS = """
 select p_partkey, 0 as pos, 'Grid' as title, null as description, null as image_url, null as product_url, null as price
@@ -374,11 +379,14 @@ ORACLE: dict[str, str] = {
         "'Product catalog error: products is not a list' else '' end else 'Failed to fetch the main page' end as errors, warnings "
         f"from ({_EXACT})"
     ),
+    "report_competitors": (
+        "select 'https://s' || s_suppkey || '.example.com' as store_url, pos, 'https://p' || k || '.example.com' as website_url, "
+        "n as estimated_products, price_range from (select s_suppkey, pos, s_suppkey + 1 - pos as k from supplier, (select unnest([0, 1])::int as pos)) "
+        f"left join ({_PROFILES}) on k = p_partkey where s_suppkey % 2 = 0 and s_suppkey % 5 > 0"
+    ),
     "competitor_profile": (
         f"select {_PART_URL} as store_url, 'https://p' || (p_partkey + 1) || '.example.com' as competitor_url, n as estimated_products, "
-        f"price_range from part left join (select p_partkey - 1 as p_partkey, coalesce(n, 0)::bigint as n, price_range from part left join "
-        f"(select p_partkey, count(*) as n, min(price) || ' - ' || max(price) as price_range from (select p_partkey, "
-        f"case when kind not in (6, 8) then (cents / 100.0)::decimal(18, 2) end as price from ({_PRODUCTS})) group by 1) using (p_partkey)) using (p_partkey)"
+        f"price_range from part left join (select p_partkey - 1 as p_partkey, n, price_range from ({_PROFILES})) using (p_partkey)"
     ),
     "latest_record": (
         f"select {_STORE} as store_url, event_id as id, epoch_us(ts) as scraped_us, {_TIME} as processing_time from (select *, row_number() over "

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.functions.sql import rows_of
 from storelens.operators.catalog import parse_products
 from storelens.schemas import REPORT_FIELDS
 
@@ -31,42 +32,25 @@ def store_profiles(catalogs: DataFrame, social: DataFrame | None = None) -> Data
 
 
 def competitor_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Profile columns for ``(store_url, competitor_url, name?, description?)``; unknown competitors keep NULLs."""
-    named = pairs
-    for column in ("name", "description"):
-        if column not in named.columns:
-            named = named.withColumn(column, F.lit(None).cast("string"))
-    return named.join(profiles.withColumnRenamed("store_url", "competitor_url"), "competitor_url", "left")
+    """Profile columns for ``(store_url, competitor_url, ...)``; unknown competitors keep NULLs."""
+    return pairs.join(profiles.withColumnRenamed("store_url", "competitor_url"), "competitor_url", "left")
 
 
-def attach_competitors(reports: DataFrame, profiles: DataFrame) -> DataFrame:
+def attach_competitors(reports: DataFrame, wanted: DataFrame, profiles: DataFrame) -> DataFrame:
     """Fill ``competitors`` of the reports that asked for them and have a name.
 
-    ``profiles`` comes from ``competitor_profiles``. A report is one document, so its competitors meet in one row.
+    ``wanted`` holds one row ``(store_url, competitor_urls array)`` per store, so what meets in one row again is no
+    more than came from one row. The order of that array is kept.
     """
-    entry = F.struct(
-        F.coalesce("name", "competitor_url").alias("name"),
-        F.col("competitor_url").alias("website_url"),
-        "description",
-        "estimated_products",
-        "price_range",
-        "social_presence",
-    )
-    kind = REPORT_FIELDS["competitors"]
-    listed = profiles.groupBy("store_url").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("competitor_url", F.to_json(entry).alias("doc")))),
-            lambda c: F.from_json(c["doc"], kind[len("array<") : -1]),
-        ).alias("_competitors")
-    )
-    wanted = F.col("include_competitors") & F.col("store_name").isNotNull() & (F.col("store_name") != "")
-    return reports.join(listed, "store_url", "left").select(
-        *[
-            F.when(wanted & F.col("_competitors").isNotNull(), F.col("_competitors").cast(kind))
-            .otherwise(F.col("competitors"))
-            .alias(c)
-            if c == "competitors"
-            else F.col(c)
-            for c in reports.columns
-        ]
+    pairs = rows_of(wanted, "store_url", competitor_url="competitor_urls")
+    entry = (
+        "named_struct('pos', pos, 'c', named_struct('name', competitor_url, 'website_url', competitor_url, "
+        "'description', cast(null as string), 'estimated_products', estimated_products, "
+        "'price_range', price_range, 'social_presence', social_presence))"
     )
+    listed = competitor_profiles(pairs, profiles).groupBy("store_url").agg(F.collect_list(F.expr(entry)).alias("_found"))
+    by_pos = "(x, y) -> case when x.pos < y.pos then -1 when x.pos > y.pos then 1 else 0 end"
+    asked = "include_competitors and coalesce(store_name, '') <> '' and _found is not null"
+    filled = f"if({asked}, cast(array_sort(_found, {by_pos}).c as {REPORT_FIELDS['competitors']}), competitors)"
+    joined = reports.join(listed, "store_url", "left")
+    return joined.selectExpr(*[f"{filled} as competitors" if c == "competitors" else c for c in reports.columns])

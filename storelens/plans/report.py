@@ -1,8 +1,8 @@
 """The full report: one row per requested store, from one pass over the pages it needs.
 
 Order of work: filter the page scan to home and candidate pages, parse, take every section of a page in the same
-projection, combine the small section rows per host, join them to the requests. Raw HTML never crosses a
-shuffle unless the requested home pages are themselves too many to broadcast.
+projection, store those small rows, combine them per host and join them to the requests. Raw HTML does not
+cross a shuffle unless the home pages that need a join are themselves too many to broadcast.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from storelens.functions.urls import absolute_url, extract_domain, page_key, pla
 from storelens.operators import sections as S
 from storelens.operators.catalog import ERROR_PREFIX, WARN_BAD_JSON, WARN_MISSING, parse_products
 from storelens.operators.dom import SECTION_ATTRS, SECTION_TAGS, with_dom
-from storelens.operators.lookup import POLICY_PATHS, SECTION_PATHS, candidate_pages, first_hit
+from storelens.operators.lookup import POLICY_PATHS, first_hit, section_of
 from storelens.schemas import REPORT_FIELDS
-from storelens.session import sized_join
+from storelens.session import sized_join, stored
 from storelens.sources.pages import first_page_per_host, keyed
 
 NO_HOME = "Failed to fetch the main page"
@@ -33,10 +33,13 @@ def parsed(pages: DataFrame, keep_html: bool = False) -> DataFrame:
     )
 
 
-def home_sections(homes: DataFrame) -> DataFrame:
-    """All home-page sections, one row per page; URLs as written."""
+def page_sections(pages: DataFrame) -> DataFrame:
+    """Every section a page serves, from one parse and one projection; pages that serve none are left out.
+
+    ``pages`` carries ``is_home`` and the ``section`` and ``rank`` of a candidate page. URLs stay as written.
+    """
     n, t = "nodes", "visible_text"
-    columns = {
+    home = {
         "store_name": S.store_name(n, t),
         "heroes": S.hero_products(n, t),
         "contact": S.contact_info(t),
@@ -45,33 +48,21 @@ def home_sections(homes: DataFrame) -> DataFrame:
         "about_home": S.about_home_text(n, t),
         "links": S.important_links(n, t),
     }
-    dom = parsed(homes.where("html is not null"), keep_html=True).where("parse_error is null")
+    fields = ", ".join(f"{lit(name)}, {text}" for name, text in home.items())
+    dom = parsed(pages.where("html is not null"), keep_html=True).where("parse_error is null")
     return dom.selectExpr(
-        *[c for c in homes.columns if c != "html"], *[f"{text} as {name}" for name, text in columns.items()]
-    )
-
-
-def candidate_sections(candidates: DataFrame) -> DataFrame:
-    """Policy, FAQ and about content of candidate pages, misses left out."""
-    n, t = "nodes", "visible_text"
-    dom = parsed(candidates.where("html is not null")).where("parse_error is null")
-    return dom.selectExpr(
-        "host",
-        "section",
-        "rank",
-        "page_id",
-        "path",
+        *[c for c in pages.columns if c != "html"],
+        f"if(is_home, named_struct({fields}), null) as home",
         f"if(section in ({lits(POLICY_PATHS)}), {S.policy(n, t)}, null) as policy",
         f"if(section = 'faq', {S.faqs(n, t)}, null) as faqs",
         f"if(section = 'about', {S.about_text(n, t)}, null) as about",
-    ).where("policy is not null or faqs is not null or about is not null")
+    ).where("home is not null or policy is not null or faqs is not null or about is not null")
 
 
-def host_sections(candidates: DataFrame) -> DataFrame:
-    """One row per host: the first hit of every section."""
-    hits = first_hit(
-        candidate_sections(candidates), ["host", "section"], ["rank", "page_id"], ["path", "policy", "faqs", "about"]
-    )
+def host_sections(sections: DataFrame) -> DataFrame:
+    """One row per host: the first hit of every section among its candidate pages."""
+    found = sections.where("policy is not null or faqs is not null or about is not null")
+    hits = first_hit(found, ["host", "section"], ["rank", "page_id"], ["path", "policy", "faqs", "about"])
     full = (
         f"named_struct('title', coalesce(policy.title, {title_from_key('section')}), 'content', policy.content, "
         "'url', path, 'last_updated', cast(null as timestamp), 'type', section)"
@@ -138,11 +129,24 @@ def _report_columns(as_of: dt.datetime) -> dict[str, str]:
     }
 
 
-def _exact_homes(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pages whose key is a requested one. Root pages are told by their path alone, so they need no join."""
-    deep = wanted.where(f"{url_path('store_url')} <> ''").select("page_key").distinct()
-    other = sized_join(pages.where("path <> ''"), deep, "page_key", "left_semi")
-    return pages.where("path = ''").unionByName(other.select(*pages.columns))
+def _needed_pages(pages: DataFrame, wanted: DataFrame, home: str) -> DataFrame:
+    """Pages that are the home page of a requested store or one of its candidate pages, flagged as such.
+
+    Candidates and root pages are told by their path alone. Only home pages named by a longer URL, or by their
+    id, need a join, and its narrow side is broadcast when small, so that the HTML is not shuffled.
+    """
+    table = sized_join(keyed(pages), wanted.select("host").distinct(), "host", "left_semi")
+    table = table.selectExpr("page_id", "host", "path", f"{page_key('url')} as page_key", "html")
+    if home == "first":
+        homes = first_page_per_host(pages).selectExpr("page_id", "true as _named")
+        table, is_home = sized_join(table, homes, "page_id", "left"), "_named is not null"
+    else:
+        deep = wanted.where(f"{url_path('store_url')} <> ''").selectExpr("page_key", "true as _named").distinct()
+        table, is_home = sized_join(table, deep, "page_key", "left"), "path = '' or _named is not null"
+    role = section_of("path")
+    return table.selectExpr(
+        "page_id", "host", "path", "page_key", f"{is_home} as is_home", f"{role}.section as section", f"{role}.rank as rank", "html"
+    ).where("is_home or section is not null")
 
 
 def store_reports(
@@ -155,22 +159,17 @@ def store_reports(
     """Report rows for valid requests ``(store_url, include_competitors)``.
 
     ``pages`` holds one version per URL (see ``latest_pages``); ``catalogs`` is ``(store_url, payload)``. ``home`` is
-    ``exact`` (page with the requested key) or ``first`` (lowest page id of the host).
+    ``exact`` (page with the requested key) or ``first`` (lowest page id of the host). The section rows are stored
+    before assembly, so that pages are read and parsed once.
     """
     as_of = as_of or dt.datetime.now(dt.timezone.utc)
     wanted = requests.selectExpr(
         "store_url", "include_competitors", f"{extract_domain('store_url')} as host", f"{page_key('store_url')} as page_key"
     ).distinct()
-    table = sized_join(keyed(pages), wanted.select("host").distinct(), "host", "left_semi")
-    table = table.selectExpr("page_id", "host", "path", f"{page_key('url')} as page_key", "html")
-    if home == "first":
-        ids = first_page_per_host(pages).select("page_id")
-        homes, on = sized_join(table, ids, "page_id", "left_semi"), "host"
-    else:
-        homes, on = _exact_homes(table, wanted), "page_key"
-    per_home = home_sections(homes.select(on, "html")).withColumn("_found", F.lit(True))
-    per_host = host_sections(candidate_pages(table.select("page_id", "host", "path", "html"), SECTION_PATHS))
-    joined = wanted.join(per_home, on, "left").join(per_host, "host", "left")
+    sections = stored(page_sections(_needed_pages(pages, wanted, home)), "sections")
+    on = "host" if home == "first" else "page_key"
+    per_home = sections.where("is_home").selectExpr(on, "home.*", "true as _found")
+    joined = wanted.join(per_home, on, "left").join(host_sections(sections), "host", "left")
     catalog_columns = ("catalog_status", "total_products", "products", "has_more")
     if catalogs is None:
         joined = joined.selectExpr("*", *[f"null as {c}" for c in catalog_columns])

@@ -288,7 +288,8 @@ def hero_products(spark, folder):
 
 
 def _document_sections(spark, folder) -> DataFrame:
-    return R.host_sections(candidate_pages(keyed(X.document_pages(_texts(spark, folder, "documents")))))
+    pages = candidate_pages(keyed(X.document_pages(_texts(spark, folder, "documents"))))
+    return R.host_sections(R.page_sections(pages.withColumn("is_home", F.lit(False))))
 
 
 def policies(spark, folder):
@@ -400,6 +401,19 @@ def competitor_profile(spark, folder):
     return rows.select("store_url", "competitor_url", "estimated_products", "price_range")
 
 
+def report_competitors(spark, folder):
+    """Supplier stores of which every other one asks for its two neighbours among the part stores."""
+    suppliers = _contact_pages(spark, folder)
+    asked = suppliers.selectExpr("url as website_url", "page_id % 2 = 0 as include_competitors")
+    reports = R.store_reports(suppliers, read_requests(asked)[0], as_of=AS_OF)
+    named = "concat('https://p', k, '.example.com')"
+    wanted = suppliers.selectExpr("url as store_url", f"transform(array(page_id + 1, page_id), k -> {named}) as competitor_urls")
+    rows = K.attach_competitors(reports, wanted, K.store_profiles(_catalogs(spark, folder)))
+    return rows_of(rows, "store_url", c="competitors").selectExpr(
+        "store_url", "pos", "c.website_url", "c.estimated_products", "c.price_range"
+    )
+
+
 # --- records ---
 
 
@@ -500,7 +514,7 @@ QUERIES: dict[str, Query] = {
         addresses, addresses_docs, link_category, policy_titles, node_counts, page_text_stats, titles, first_heading, priority_select,
         nav_links, nav_links_table, contact_link, candidate_lookup, store_name, catalog_products, catalog_rollup,
         hero_products, policies, contact_info, social_handles, brand_context, important_links, important_links_pages,
-        store_report, report_summary, report_errors, competitor_profile, latest_record, cached_report, history_page,
+        store_report, report_summary, report_errors, report_competitors, competitor_profile, latest_record, cached_report, history_page,
         service_stats, stale_requests, fresh_hits, cooldown_replay, cooldown_failures, cooldown_stream,
         stream_extract, records_written,
     )

@@ -9,18 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of raw HTML are wide, so Arrow batches are kept short; everything else is Spark's default.
-JOB_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
-}
+# Timestamps are UTC. Everything else is Spark's default; Arrow batches of wide pages are bounded by bytes.
+JOB_CONF = {"spark.sql.session.timeZone": "UTC"}
 
 # A side may be broadcast only when it was counted and holds at most this many narrow rows.
 BROADCAST_ROWS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every job here assumes (UTC, short Arrow batches)."""
+    """Apply the runtime settings every job here assumes (UTC)."""
     for key, value in JOB_CONF.items():
         spark.conf.set(key, value)
     return spark
@@ -58,19 +55,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(table: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back.
+
+    It is then computed once however often it is used, and losing executors does not bring its lineage back.
+    """
+    path = scratch_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a wide ``left`` with a narrow ``right``, broadcasting ``right`` only after counting it.
 
-    ``right`` is written as a table in the shared scratch folder first, so it is computed once, survives lost
-    executors and its rows are counted from file footers. Without the count the planner would shuffle the wide
-    side before it learns that the narrow one is tiny. Above the bound it stays an ordinary shuffle join,
-    which AQE may split on skew.
+    ``right`` is stored first and its rows are counted from file footers. Without the count the planner would
+    shuffle the wide side before it learns that the narrow one is tiny. Above the bound it stays an
+    ordinary shuffle join, which AQE may split on skew.
     """
-    spark = right.sparkSession
-    path = scratch_path(spark, "narrow")
-    right.write.parquet(path)
-    stored = spark.read.schema(right.schema).parquet(path)
-    return left.join(F.broadcast(stored) if stored.count() <= max_rows else stored, on, how)
+    right = stored(right, "narrow")
+    return left.join(F.broadcast(right) if right.count() <= max_rows else right, on, how)
 
 
 def spread(table: DataFrame) -> DataFrame:

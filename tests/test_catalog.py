@@ -113,8 +113,8 @@ def test_competitors(spark):
         "store_url string, competitor_url string",
     )
     social = spark.createDataFrame([("https://c.com", {"twitter": ["c"]})], "store_url string, social_handles map<string,array<string>>")
-    profiles = competitor_profiles(pairs, store_profiles(catalogs, social))
-    row = profiles.where("store_url = 'https://b.com'").first()
+    profiles = store_profiles(catalogs, social)
+    row = competitor_profiles(pairs, profiles).where("store_url = 'https://b.com'").first()
     assert (row.estimated_products, row.price_range, row.social_presence) == (5, "9.50 - 10.00", {"twitter": ["c"]})
     from storelens.schemas import REPORT_FIELDS
 
@@ -122,7 +122,11 @@ def test_competitors(spark):
         [("https://a.com", "A", True, []), ("https://b.com", "B", False, []), ("https://c.com", None, True, [])],
         f"store_url string, store_name string, include_competitors boolean, competitors {REPORT_FIELDS['competitors']}",
     )
-    rows = {r.store_url: r.competitors for r in attach_competitors(reports, profiles).collect()}
-    assert [c.website_url for c in rows["https://a.com"]] == ["https://c.com", "https://x.com"]
-    assert rows["https://a.com"][0].social_presence == {"twitter": ["c"]} and rows["https://a.com"][1].estimated_products is None
+    wanted = spark.createDataFrame(
+        [("https://a.com", ["https://x.com", "https://c.com"]), ("https://b.com", ["https://c.com"]), ("https://c.com", ["https://a.com"])],
+        "store_url string, competitor_urls array<string>",
+    )
+    rows = {r.store_url: r.competitors for r in attach_competitors(reports, wanted, profiles).collect()}
+    assert [c.website_url for c in rows["https://a.com"]] == ["https://x.com", "https://c.com"]
+    assert rows["https://a.com"][1].social_presence == {"twitter": ["c"]} and rows["https://a.com"][0].estimated_products is None
     assert rows["https://b.com"] == [] and rows["https://c.com"] == []
