@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.session import sized_join
+from storelens.session import sized_join, stored
 
 DAY = 24 * 3600
 CHUNK_ROWS = 2_000_000
@@ -118,17 +118,11 @@ def _chain_steps(gap: int):
     return run
 
 
-def _chunk_starts(narrow: DataFrame, busy: DataFrame, chunk_rows: int) -> DataFrame:
-    """Per busy store the hours at which a new chunk begins, from an hourly histogram."""
+def _hour_chunks(narrow: DataFrame, busy: DataFrame, chunk_rows: int) -> DataFrame:
+    """Chunk of every hour of every busy store, numbered in time order from 1, from an hourly histogram."""
     hours = sized_join(narrow, busy, "_key", "left_semi").groupBy("_key", "_hour").agg(F.count("*").alias("n"))
-    by_hour = F.expr("sum(n) over (partition by _key order by _hour)") - F.col("n")
-    return (
-        hours.withColumn("c", F.floor(by_hour / chunk_rows))
-        .groupBy("_key", "c")
-        .agg(F.min("_hour").alias("h"))
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_list("h")).alias("_starts"))
-    )
+    before = F.expr("sum(n) over (partition by _key order by _hour) - n")
+    return hours.select("_key", "_hour", (F.floor(before / chunk_rows) + 1).cast("int").alias("_chunk"))
 
 
 def cooldown_replay(
@@ -159,27 +153,17 @@ def cooldown_replay(
     if busy.isEmpty():
         states = narrow.withColumns({"_chunk": F.lit(0), "_entry": F.lit(NEVER)})
     else:
-        starts = _chunk_starts(narrow, busy, chunk_rows)
-        chunk = F.coalesce(F.size(F.filter("_starts", lambda h: h <= F.col("_hour"))), F.lit(0))
-        chunked = sized_join(narrow, starts, "_key", "left").withColumn(
-            "_chunk", F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(chunk)
-        )
+        chunks = stored(_hour_chunks(narrow, busy, chunk_rows), "chunks")
+        chunked = sized_join(narrow, chunks, ["_key", "_hour"], "left").fillna(0, ["_chunk"])
         steps = (
             chunked.where("_chunk > 0 and _ok")
             .select("_key", "_chunk", "_us")
-            .distinct()
             .groupBy("_key", "_chunk")
-            .applyInPandas(
-                _chunk_steps(gap), f"_key {types[key]}, _chunk int, _upto bigint, _exit bigint"
-            )
+            .applyInPandas(_chunk_steps(gap), f"_key {types[key]}, _chunk int, _upto bigint, _exit bigint")
         )
         # Every chunk needs a state, also one without successes: a step no start can reach stands for it.
-        blank = starts.select("_key", F.posexplode("_starts").alias("pos", "h")).select(
-            "_key",
-            (F.col("pos") + 1).alias("_chunk"),
-            F.lit(NEVER).alias("_upto"),
-            F.lit(NEVER).alias("_exit"),
-        )
+        blank = chunks.select("_key", "_chunk").distinct()
+        blank = blank.withColumns({"_upto": F.lit(NEVER), "_exit": F.lit(NEVER)})
         entries = (
             steps.unionByName(blank)
             .repartition("_key")

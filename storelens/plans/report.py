@@ -165,7 +165,8 @@ def store_reports(
     as_of = as_of or dt.datetime.now(dt.timezone.utc)
     wanted = requests.selectExpr(
         "store_url", "include_competitors", f"{extract_domain('store_url')} as host", f"{page_key('store_url')} as page_key"
-    ).distinct()
+    )
+    wanted = stored(wanted.distinct(), "wanted")
     sections = stored(page_sections(_needed_pages(pages, wanted, home)), "sections")
     on = "host" if home == "first" else "page_key"
     per_home = sections.where("is_home").selectExpr(on, "home.*", "true as _found")

@@ -15,7 +15,8 @@ def extract_stream(
 ) -> StreamingQuery:
     """Run ``to_reports`` on every micro-batch of pages and store the records, then stop.
 
-    Each micro-batch owns a folder below ``path`` named after its number, overwritten when the batch is
+    The pages of a store should arrive together; where they do not, ``to_reports`` should look the hosts of the batch
+    up in the whole page table. Each micro-batch owns a folder below ``path`` named after its number, overwritten when the batch is
     retried, so a lost driver neither loses nor doubles records.
     """
 
