@@ -7,7 +7,7 @@ import pytest
 
 from storelens.operators.lookup import SECTION_PATHS, candidate_pages, first_hit
 from storelens.plans.report import page_sections, report_summary, store_reports
-from storelens.queries import QUERIES, host_reports
+from storelens.queries import QUERIES, _host_requests, _pages, host_reports
 from storelens.session import scratch_path
 from storelens.sources.pages import keyed, latest_pages, read_pages, stream_pages
 from storelens.sources.records import read_records
@@ -134,7 +134,7 @@ def test_report_parses_once_and_prunes(spark, folder):
     assert plan(page_sections(pages)).count("ArrowEvalPython") == 1
     text = plan(host_reports(spark, folder))
     assert not any(word in text for word in ("EvalPython", "html", "CartesianProduct", "NestedLoop"))
-    assert "ReadSchema: struct<url:string>" in text
+    assert "ReadSchema: struct<url:string>" in plan(_host_requests(_pages(spark, folder)))
 
 
 NO_PYTHON = (
