@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import packing, quality, token_counts, toxicity, training_order
+from storelens.llm import embedding_dedup, packing, quality, secrets, simhash, token_counts, toxicity, training_order
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return embedding_dedup.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Unigram tokens of every document."""
     return token_counts.token_counts(table(spark, folder, "documents"))
@@ -30,6 +40,11 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.summarised(secrets.find_secrets(table(spark, folder, "documents")))
+
+
 def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
     """Manifest of the shards that hold all documents in training order."""
     return training_order.write_shards(table(spark, folder, "documents"))
@@ -47,10 +62,31 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_quality_outliers": op5_quality_outliers,
     "op6_packing": op6_packing,
+    "op7_secrets": op7_secrets,
     "op8_training_order": op8_training_order,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_embedding_dedup": """
+        with recursive clean as (
+            select vec_id, embedding::double[] as v from embeddings
+            where vec_id is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs as (
+            select a.vec_id as a, b.vec_id as b from clean a join clean b on a.vec_id <> b.vec_id
+            and list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.95),
+        reach as (
+            select vec_id as node, vec_id as root from embeddings
+            union
+            select p.b, r.root from reach r join pairs p on p.a = r.node)
+        select node as vec_id, coalesce(n, 0) as n_links, min(root) as component_id, min(root) = node as kept
+        from reach left join (select a, count(*) as n from pairs group by a) on a = node
+        group by node, n
+    """,
+}
