@@ -187,7 +187,8 @@ def write_shards(
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counts.select(F.col("part"), F.coalesce(before, F.lit(0)).alias("before"))
     total = found.count()
-    numbered = found.join(firsts, "part").select(
+    # One row per task of the tokenising job, so the side sent to all tasks is bounded by the number of tasks.
+    numbered = found.join(F.broadcast(firsts), "part").select(
         slots(F.col("before") + F.col("seq"), max(total, 1), key).alias("slot"), "first_id", "n_ids", "ids"
     )
     shards = -(-total // shard_sequences)
