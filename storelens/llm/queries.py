@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import embedding_dedup, packing, quality, secrets, simhash, token_counts, toxicity, training_order
+from storelens.llm import embedding_dedup, packing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity, training_order
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that lie in a 200-byte string found elsewhere, removed."""
+    return suffix_dedup.without_repeats(table(spark, folder, "documents"))
+
+
 def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every embedding."""
     return embedding_dedup.near_duplicate_vectors(table(spark, folder, "embeddings"))
@@ -62,6 +67,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
