@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import embedding_dedup, packing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity, training_order
+from storelens.llm import embedding_dedup, mixing, packing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity, training_order
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +55,19 @@ def op8_training_order(spark: SparkSession, folder: str) -> DataFrame:
     return training_order.write_shards(table(spark, folder, "documents"))
 
 
+#: Domains are the combinations of both labels; weights are shares of the token total.
+DOMAIN = "concat('quality', quality, '-toxic', toxic)"
+TARGETS = {"quality0-toxic0": 0.10, "quality0-toxic1": 0.02, "quality1-toxic0": 0.85, "quality1-toxic1": 0.03}
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Chances and rate of every document for the target weights."""
+    labels = table(spark, folder, "labels").selectExpr("doc_id", f"{DOMAIN} as domain")
+    rated, domains = mixing.mixing_rates(table(spark, folder, "documents"), labels, TARGETS)
+    chances = [F.expr(f"chances[{k}]").alias(f"p_{name.replace('-', '_')}") for k, name in enumerate(domains)]
+    return rated.select("doc_id", "n_tokens", *chances, "rate")
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learnt from the rows that are not held out."""
     docs = table(spark, folder, "documents")
@@ -75,6 +88,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_training_order": op8_training_order,
+    "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE = {
