@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.session import sized_join, stored
+from storelens.session import narrow_join, stored
 
 DAY = 24 * 3600
 CHUNK_ROWS = 2_000_000
@@ -120,7 +120,7 @@ def _chain_steps(gap: int):
 
 def _hour_chunks(narrow: DataFrame, busy: DataFrame, chunk_rows: int) -> DataFrame:
     """Chunk of every hour of every busy store, numbered in time order from 1, from an hourly histogram."""
-    hours = sized_join(narrow, busy, "_key", "left_semi").groupBy("_key", "_hour").agg(F.count("*").alias("n"))
+    hours = narrow_join(narrow, busy, "_key", "left_semi").groupBy("_key", "_hour").agg(F.count("*").alias("n"))
     before = F.expr("sum(n) over (partition by _key order by _hour) - n")
     return hours.select("_key", "_hour", (F.floor(before / chunk_rows) + 1).cast("int").alias("_chunk"))
 
@@ -154,7 +154,7 @@ def cooldown_replay(
         states = narrow.withColumns({"_chunk": F.lit(0), "_entry": F.lit(NEVER)})
     else:
         chunks = stored(_hour_chunks(narrow, busy, chunk_rows), "chunks")
-        chunked = sized_join(narrow, chunks, ["_key", "_hour"], "left").fillna(0, ["_chunk"])
+        chunked = narrow_join(narrow, chunks, ["_key", "_hour"], "left").fillna(0, ["_chunk"])
         steps = (
             chunked.where("_chunk > 0 and _ok")
             .select("_key", "_chunk", "_us")
@@ -170,7 +170,7 @@ def cooldown_replay(
             .sortWithinPartitions("_key", "_chunk", "_upto")
             .mapInPandas(_chain_steps(gap), f"_key {types[key]}, _chunk int, _entry bigint")
         )
-        states = sized_join(chunked, entries, ["_key", "_chunk"], "left").withColumn(
+        states = narrow_join(chunked, entries, ["_key", "_chunk"], "left").withColumn(
             "_entry", F.coalesce("_entry", F.lit(NEVER))
         )
     accepted = (

@@ -19,11 +19,12 @@ STATS_ROWS = 1000
 def latest_records(records: DataFrame) -> DataFrame:
     """Newest successful record of every store; equal times are settled by ``id``.
 
-    ``max_by`` combines before the shuffle, so a store with very many records sends one row per task.
+    The newest key of every store is found on narrow columns, combined before the shuffle; documents are read by
+    that key afterwards. A record that was appended twice counts once.
     """
-    rest = [c for c in records.columns if c != "store_url"]
-    newest = F.max_by(F.struct(*rest), F.struct("scraped_at", "id")).alias("r")
-    return records.where("success").groupBy("store_url").agg(newest).select("store_url", "r.*")
+    good = records.where("success")
+    newest = good.groupBy("store_url").agg(F.max(F.struct("scraped_at", "id")).alias("r")).select("store_url", "r.*")
+    return good.join(newest, ["store_url", "scraped_at", "id"], "left_semi").dropDuplicates(["store_url"])
 
 
 def cached_report(records: DataFrame, url: str) -> DataFrame:
@@ -34,11 +35,7 @@ def cached_report(records: DataFrame, url: str) -> DataFrame:
 
 def page_bounds(limit: int = 50, offset: int = 0) -> tuple[int, int]:
     """Limit and offset as served: at most 100 rows, 10 for a limit below 1, no negative offset."""
-    if limit > 100:
-        limit = 100
-    if limit < 1:
-        limit = 10
-    return limit, max(offset, 0)
+    return 10 if limit < 1 else min(limit, 100), max(offset, 0)
 
 
 def history_page(records: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -106,8 +106,10 @@ def store_name(nodes: str, page_text: str, selectors: Sequence[Selector] = NAME_
     return let("name", name, f"if(name is null, {title}, {T.clean_text('name')})")
 
 
-def hero_products(nodes: str, page_text: str, selectors: Sequence[Selector] = HERO_SELECTORS) -> str:
-    """Up to five featured products from the first selector that matches, URLs unresolved."""
+def hero_products(
+    nodes: str, page_text: str, selectors: Sequence[Selector] = HERO_SELECTORS, limit: int = HERO_LIMIT
+) -> str:
+    """Up to ``limit`` featured products from the first selector that matches, URLs unresolved."""
     image = let("hit", select_first("sub", tag("img")), attr("hit", "src", "data-src"))
     link = let("hit", select_first("sub", tag("a")), attr("hit", "href"))
     product = (
@@ -115,7 +117,7 @@ def hero_products(nodes: str, page_text: str, selectors: Sequence[Selector] = HE
         f"'description', {_first_text('sub', page_text, HERO_TEXT)}, 'image_url', {image}, 'product_url', {link}, "
         f"'price', {_first_text('sub', page_text, HERO_PRICE)}, 'featured_section', 'homepage')"
     )
-    blocks = f"slice({_first_nonempty(*(select(nodes, s) for s in selectors))}, 1, {HERO_LIMIT})"
+    blocks = f"slice({_first_nonempty(*(select(nodes, s) for s in selectors))}, 1, {limit})"
     return f"transform({blocks}, block -> {let('sub', inner(nodes, 'block'), product)})"
 
 
@@ -214,10 +216,12 @@ def important_links(
 
 
 def resolve_links(links: str, base: str) -> str:
-    """Absolute URLs, then the first link per URL."""
+    """Absolute URLs, then the first link per URL: equal URLs meet in sorted order, where the first place counts."""
     fields = f"named_struct('title', l.title, 'url', {absolute_url(base, 'l.url')}, 'category', l.category)"
-    first = "filter(links, (l, i) -> array_position(links.url, l.url) = i + 1)"
-    return let("links", f"transform({links}, l -> {fields})", first)
+    placed = f"array_sort(transform({links}, (l, i) -> named_struct('u', {absolute_url(base, 'l.url')}, 'i', i, 'l', {fields})))"
+    first = "filter(placed, (x, k) -> k = 0 or get(placed, k - 1).u <> x.u)"
+    ordered = "array_sort(transform(kept, x -> named_struct('i', x.i, 'l', x.l)))"
+    return let("placed", placed, let("kept", first, f"transform({ordered}, x -> x.l)"))
 
 
 def contact_info(page_text: str) -> str:

@@ -1,8 +1,7 @@
 """The full report: one row per requested store, from one pass over the pages it needs.
 
-Order of work: filter the page scan to home and candidate pages, parse, take every section of a page in the same
-projection, store those small rows, combine them per host and join them to the requests. Raw HTML does not
-cross a shuffle unless the home pages that need a join are themselves too many to broadcast.
+Order of work: decide on ids and URLs which pages are needed, join those keys to the HTML once, parse, take every
+section of a page in the same projection, store those small rows, combine them per host and join them to the requests.
 """
 
 from __future__ import annotations
@@ -20,10 +19,11 @@ from storelens.operators.catalog import ERROR_PREFIX, WARN_BAD_JSON, WARN_MISSIN
 from storelens.operators.dom import SECTION_ATTRS, SECTION_TAGS, with_dom
 from storelens.operators.lookup import POLICY_PATHS, first_hit, section_of
 from storelens.schemas import REPORT_FIELDS
-from storelens.session import sized_join, stored
-from storelens.sources.pages import first_page_per_host, keyed
+from storelens.session import narrow_join, stored
+from storelens.sources.pages import keyed
 
 NO_HOME = "Failed to fetch the main page"
+PARSE_PREFIX = "Error parsing "
 
 
 def parsed(pages: DataFrame, keep_html: bool = False) -> DataFrame:
@@ -49,14 +49,15 @@ def page_sections(pages: DataFrame) -> DataFrame:
         "links": S.important_links(n, t),
     }
     fields = ", ".join(f"{lit(name)}, {text}" for name, text in home.items())
-    dom = parsed(pages.where("html is not null"), keep_html=True).where("parse_error is null")
+    dom = parsed(pages.where("html is not null"), keep_html=True)
     return dom.selectExpr(
         *[c for c in pages.columns if c != "html"],
-        f"if(is_home, named_struct({fields}), null) as home",
+        "parse_error",
+        f"if(is_home and parse_error is null, named_struct({fields}), null) as home",
         f"if(section in ({lits(POLICY_PATHS)}), {S.policy(n, t)}, null) as policy",
         f"if(section = 'faq', {S.faqs(n, t)}, null) as faqs",
         f"if(section = 'about', {S.about_text(n, t)}, null) as about",
-    ).where("home is not null or policy is not null or faqs is not null or about is not null")
+    ).where("home is not null or policy is not null or faqs is not null or about is not null or parse_error is not null")
 
 
 def host_sections(sections: DataFrame) -> DataFrame:
@@ -71,11 +72,16 @@ def host_sections(sections: DataFrame) -> DataFrame:
     def of(section: str, value: str) -> Column:
         return F.expr(f"any_value(case when section = {lit(section)} then {value} end, true)")
 
-    return hits.groupBy("host").agg(
+    found = hits.groupBy("host").agg(
         *[of(name, full).alias(name) for name in POLICY_PATHS],
         of("faq", "faqs").alias("faqs"),
         of("about", "about").alias("about"),
     )
+    # A host has one page per path and a few candidate paths, so its errors are few.
+    broken = sections.where("parse_error is not null").groupBy("host").agg(
+        F.array_sort(F.collect_set(F.concat(F.lit(PARSE_PREFIX), "path", F.lit(": "), "parse_error"))).alias("parse_errors")
+    )
+    return found.join(broken, "host", "full")
 
 
 def _report_columns(as_of: dt.datetime) -> dict[str, str]:
@@ -95,8 +101,9 @@ def _report_columns(as_of: dt.datetime) -> dict[str, str]:
     about = "if(_found, coalesce(nullif(about, ''), about_home, about), null)"
     name = "if(_found, store_name, null)"
     errors = (
-        f"case when not _found then array({lit(NO_HOME)}) "
-        f"when catalog_status = 'error' then array({lit(ERROR_PREFIX + 'products is not a list')}) else array() end"
+        f"concat(case when not _found then array({lit(NO_HOME)}) "
+        f"when catalog_status = 'error' then array({lit(ERROR_PREFIX + 'products is not a list')}) else array() end, "
+        f"coalesce(parse_errors, {NO_TEXT}))"
     )
     warnings = (
         f"case when _found and coalesce(catalog_status, 'missing') = 'missing' then array({lit(WARN_MISSING)}) "
@@ -132,21 +139,39 @@ def _report_columns(as_of: dt.datetime) -> dict[str, str]:
 def _needed_pages(pages: DataFrame, wanted: DataFrame, home: str) -> DataFrame:
     """Pages that are the home page of a requested store or one of its candidate pages, flagged as such.
 
-    Candidates and root pages are told by their path alone. Only home pages named by a longer URL, or by their
-    id, need a join, and its narrow side is broadcast when small, so that the HTML is not shuffled.
+    Which pages are needed, and in which role, is decided on id and URL alone: newest good copy of its URL, on a
+    requested host, home or candidate path. That table of keys is stored and meets the HTML in one join; Spark
+    broadcasts it by its size in bytes, or prunes the HTML with a Bloom filter before it shuffles.
     """
-    table = sized_join(keyed(pages), wanted.select("host").distinct(), "host", "left_semi")
-    table = table.selectExpr("page_id", "host", "path", f"{page_key('url')} as page_key", "html")
+    good = pages.where("html is not null").select("page_id", "url")
+    table = keyed(good).withColumn("page_key", F.expr(page_key("url")))
+    table = table.join(wanted.select("host").distinct(), "host", "left_semi")
+    newest = table.groupBy("page_key").agg(F.max("page_id").alias("page_id"))
+    table = table.join(newest, ["page_key", "page_id"], "left_semi")
     if home == "first":
-        homes = first_page_per_host(pages).selectExpr("page_id", "true as _named")
-        table, is_home = sized_join(table, homes, "page_id", "left"), "_named is not null"
+        homes = table.groupBy("host").agg(F.min("page_id").alias("_home"))
+        table, is_home = table.join(homes, "host"), "page_id = _home"
     else:
         deep = wanted.where(f"{url_path('store_url')} <> ''").selectExpr("page_key", "true as _named").distinct()
-        table, is_home = sized_join(table, deep, "page_key", "left"), "path = '' or _named is not null"
+        table, is_home = table.join(deep, "page_key", "left"), "path = '' or _named is not null"
     role = section_of("path")
-    return table.selectExpr(
-        "page_id", "host", "path", "page_key", f"{is_home} as is_home", f"{role}.section as section", f"{role}.rank as rank", "html"
+    needed = table.selectExpr(
+        "page_id", "host", "path", "page_key", f"{is_home} as is_home", f"{role}.section as section", f"{role}.rank as rank"
     ).where("is_home or section is not null")
+    return narrow_join(pages.where("html is not null").select("page_id", "html"), needed, "page_id", "inner")
+
+
+def _one_payload(catalogs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One catalogue per requested host, as ``(host, payload)``: ``/products.json`` belongs to the host.
+
+    Of several payloads that of the smallest store URL counts, then that of least hash. Payloads nobody asked for
+    are left out before they are parsed.
+    """
+    keyed_rows = catalogs.withColumns({"host": F.expr(extract_domain("store_url")), "_hash": F.xxhash64("payload")})
+    asked = keyed_rows.join(wanted.select("host").distinct(), "host", "left_semi")
+    first = asked.groupBy("host").agg(F.min(F.struct("store_url", "_hash")).alias("_first"))
+    first = first.select("host", "_first.store_url", "_first._hash")
+    return asked.join(first, ["host", "store_url", "_hash"], "left_semi").select("host", "payload")
 
 
 def store_reports(
@@ -158,7 +183,8 @@ def store_reports(
 ) -> DataFrame:
     """Report rows for valid requests ``(store_url, include_competitors)``.
 
-    ``pages`` holds one version per URL (see ``latest_pages``); ``catalogs`` is ``(store_url, payload)``. ``home`` is
+    Of several copies of a URL in ``pages`` the newest good one counts; ``catalogs`` is ``(store_url, payload)`` and
+    belongs to the host. There is one report per store, however often it was requested. ``home`` is
     ``exact`` (page with the requested key) or ``first`` (lowest page id of the host). The section rows are stored
     before assembly, so that pages are read and parsed once.
     """
@@ -166,16 +192,19 @@ def store_reports(
     wanted = requests.selectExpr(
         "store_url", "include_competitors", f"{extract_domain('store_url')} as host", f"{page_key('store_url')} as page_key"
     )
-    wanted = stored(wanted.distinct(), "wanted")
+    # One report per store, with competitors if any of its requests asked for them.
+    wanted = wanted.groupBy("store_url", "host", "page_key").agg(F.bool_or("include_competitors").alias("include_competitors"))
+    wanted = stored(wanted, "wanted")
     sections = stored(page_sections(_needed_pages(pages, wanted, home)), "sections")
     on = "host" if home == "first" else "page_key"
-    per_home = sections.where("is_home").selectExpr(on, "home.*", "true as _found")
+    per_home = sections.where("is_home and home is not null").selectExpr(on, "home.*", "true as _found")
     joined = wanted.join(per_home, on, "left").join(host_sections(sections), "host", "left")
     catalog_columns = ("catalog_status", "total_products", "products", "has_more")
     if catalogs is None:
         joined = joined.selectExpr("*", *[f"null as {c}" for c in catalog_columns])
     else:
-        joined = joined.join(parse_products(catalogs).select("store_url", *catalog_columns), "store_url", "left")
+        products = parse_products(_one_payload(catalogs, wanted)).select("host", *catalog_columns).dropDuplicates(["host"])
+        joined = joined.join(products, "host", "left")
     joined = joined.withColumn("_found", F.expr("coalesce(_found, false)"))
     return joined.selectExpr(
         "include_competitors",

@@ -7,13 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Timestamps are UTC. Everything else is Spark's default; Arrow batches of wide pages are bounded by bytes.
 JOB_CONF = {"spark.sql.session.timeZone": "UTC"}
 
-# A side may be broadcast only when it was counted and holds at most this many narrow rows.
-BROADCAST_ROWS = 1_000_000
+# Bytes of one default split of a scan.
+ONE_SPLIT = 128 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -65,21 +64,20 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a wide ``left`` with a narrow ``right``, broadcasting ``right`` only after counting it.
+def narrow_join(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
+    """Join a wide ``left`` with a narrow ``right`` that is stored first.
 
-    ``right`` is stored first and its rows are counted from file footers. Without the count the planner would
-    shuffle the wide side before it learns that the narrow one is tiny. Above the bound it stays an
+    Its size in bytes is then known from the files, so Spark's own threshold decides between broadcasting it and an
     ordinary shuffle join, which AQE may split on skew.
     """
-    right = stored(right, "narrow")
-    return left.join(F.broadcast(right) if right.count() <= max_rows else right, on, how)
+    return left.join(stored(right, "narrow"), on, how)
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores when it has fewer splits than the session has cores.
+    """Deal the rows of a small scan out to all cores.
 
-    For inputs headed for CPU-bound parsing. Large tables have more splits than cores and stay as read.
+    For inputs headed for CPU-bound parsing. Only a table that fits in one default split is dealt out; whatever is
+    larger stays in its own splits and is never shuffled for this.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size <= ONE_SPLIT else table

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.urls import extract_domain, page_key, url_path
-from storelens.session import sized_join
+from storelens.session import narrow_join
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
@@ -31,23 +31,25 @@ def keyed(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"host": F.expr(extract_domain("url")), "path": F.expr(url_path("url"))})
 
 
+def newest_ids(pages: DataFrame) -> DataFrame:
+    """``page_id`` of the newest good copy (highest id with HTML) of every URL, from narrow columns alone."""
+    good = pages.where("html is not null").select("page_id", F.expr(page_key("url")).alias("_key"))
+    return good.groupBy("_key").agg(F.max("page_id").alias("page_id")).select("page_id")
+
+
 def latest_pages(pages: DataFrame) -> DataFrame:
-    """Keep the newest copy (highest ``page_id``) of every URL.
+    """Keep the newest good copy of every URL; a failed fetch (NULL html) is no copy.
 
-    Copies are counted on the narrow columns with partial aggregation, and only keys that do have copies
-    are joined back, so the HTML stays where it was read unless copies are very many distinct URLs.
+    What is joined to the HTML are the ids of older copies, which are few unless the crawl repeats itself.
     """
-    key = F.expr(page_key("url"))
-    newest = (
-        pages.groupBy(key.alias("_key"))
-        .agg(F.max("page_id").alias("_newest"), F.count(F.lit(1)).alias("_copies"))
-        .where("_copies > 1")
-        .select("_key", "_newest")
-    )
-    joined = sized_join(pages.withColumn("_key", key), newest, "_key", "left")
-    return joined.where("_newest is null or _newest = page_id").drop("_key", "_newest")
+    good = pages.where("html is not null")
+    key = F.expr(page_key("url")).alias("_key")
+    copies = good.groupBy(key).agg(F.max("page_id").alias("_newest"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    older = good.select("page_id", key).join(copies, "_key").where("page_id < _newest").select("page_id")
+    return narrow_join(good, older, "page_id", "left_anti")
 
 
 def first_page_per_host(pages: DataFrame) -> DataFrame:
-    """``(host, page_id)`` of the lowest page id per host: the home page of a crawl without root pages."""
-    return pages.groupBy(F.expr(extract_domain("url")).alias("host")).agg(F.min("page_id").alias("page_id"))
+    """``(host, page_id)`` of the lowest good page id per host: the home page of a crawl without root pages."""
+    good = pages.where("html is not null")
+    return good.groupBy(F.expr(extract_domain("url")).alias("host")).agg(F.min("page_id").alias("page_id"))

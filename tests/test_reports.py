@@ -6,7 +6,7 @@ import json
 import pytest
 
 from storelens.operators.lookup import SECTION_PATHS, candidate_pages, first_hit
-from storelens.plans.report import page_sections, report_summary, store_reports
+from storelens.plans.report import _needed_pages, page_sections, report_summary, store_reports
 from storelens.queries import QUERIES, _host_requests, _pages, host_reports
 from storelens.session import scratch_path
 from storelens.sources.pages import keyed, latest_pages, read_pages, stream_pages
@@ -77,7 +77,7 @@ def test_full_report(reports):
 def test_scheme_of_the_request_decides_the_urls(reports):
     r = reports["http://a.com"]
     assert r.important_links[0].url == "http://a.com/contact-us" and r.privacy_policy.url == "http://a.com/privacy-policy"
-    assert r.warnings == ["Product catalog not accessible"]
+    assert r.warnings == [] and r.product_catalog.total_products == 1  # the catalogue belongs to the host
 
 
 def test_home_page_is_the_requested_page(reports):
@@ -174,3 +174,58 @@ def test_stream_of_pages_equals_batch(spark):
     direct = store_reports(read_pages(spark, folder), requests, as_of=AS_OF).orderBy("store_url").collect()
     assert [(r.store_url, r.store_name, r.success) for r in stored] == [(r.store_url, r.store_name, r.success) for r in direct]
     assert json.loads(stored[0].insights_data)["privacy_policy"]["content"] == direct[0].privacy_policy.content
+
+
+def test_failed_fetch_is_no_copy(spark):
+    crawl = [(1, "https://n.com/", "<title>N</title>"), (2, "https://n.com", None), (3, "https://n.com/faq", None)]
+    pages = spark.createDataFrame(crawl, "page_id long, url string, html string")
+    assert [r.page_id for r in latest_pages(pages).collect()] == [1]
+    requests, _ = read_requests(spark.createDataFrame([("n.com",)], "website_url string"))
+    row = store_reports(pages, requests, as_of=AS_OF).first()
+    assert row.success and row.store_name == "N"
+
+
+def test_one_report_per_store(spark):
+    pages = spark.createDataFrame([(1, "https://o.com/", "<title>O</title>")], "page_id long, url string, html string")
+    asked = spark.createDataFrame([("o.com", False), ("o.com", True)], "website_url string, include_competitors boolean")
+    payloads = spark.createDataFrame(
+        [("https://o.com", '{"products": [{}]}'), ("https://o.com", "{bad"), ("http://o.com/x", '{"products": []}')],
+        "store_url string, payload string",
+    )
+    rows = store_reports(pages, read_requests(asked)[0], payloads, as_of=AS_OF).collect()
+    assert len(rows) == 1 and rows[0].include_competitors and rows[0].product_catalog.total_products == 0
+
+
+def test_parse_errors_are_told(spark, monkeypatch):
+    from storelens.operators import dom
+
+    plain = dom._Outline.handle_starttag
+
+    def strict(self, tag, attrs):
+        if tag == "bad":
+            raise ValueError("no")
+        plain(self, tag, attrs)
+
+    monkeypatch.setattr(dom._Outline, "handle_starttag", strict)
+    crawl = [(1, "https://e.com/", "<title>E</title>"), (2, "https://e.com/faq", "<bad>"), (3, "https://f.com", "<bad>")]
+    pages = spark.createDataFrame(crawl, "page_id long, url string, html string")
+    requests, _ = read_requests(spark.createDataFrame([("e.com",), ("f.com",)], "website_url string"))
+    rows = {r.store_url: r for r in store_reports(pages, requests, as_of=AS_OF).collect()}
+    assert rows["https://e.com"].success and rows["https://e.com"].errors == ["Error parsing /faq: ValueError: no"]
+    assert not rows["https://f.com"].success
+    assert rows["https://f.com"].errors == ["Failed to fetch the main page", "Error parsing : ValueError: no"]
+
+
+def test_html_meets_keys_once(spark):
+    """Without broadcasting, HTML enters one exchange only: that of the join with the needed pages."""
+    pages = spark.createDataFrame(CRAWL, "page_id long, url string, html string")
+    requests, _ = read_requests(spark.createDataFrame([("a.com",)], "website_url string"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = requests.selectExpr("store_url", "'a.com' as host", "'a.com' as page_key")
+        plan = _needed_pages(pages, wanted, "exact")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "page_id" in joins[0]
