@@ -156,9 +156,10 @@ def _needed_pages(pages: DataFrame, wanted: DataFrame, home: str) -> DataFrame:
         table, is_home = table.join(deep, "page_key", "left"), "path = '' or _named is not null"
     role = section_of("path")
     needed = table.selectExpr(
-        "page_id", "host", "path", "page_key", f"{is_home} as is_home", f"{role}.section as section", f"{role}.rank as rank"
+        "page_id", "url", "host", "path", "page_key", f"{is_home} as is_home", f"{role}.section as section", f"{role}.rank as rank"
     ).where("is_home or section is not null")
-    return narrow_join(pages.where("html is not null").select("page_id", "html"), needed, "page_id", "inner")
+    html = pages.where("html is not null").select("page_id", "url", "html")
+    return narrow_join(html, needed, ["page_id", "url"], "inner").drop("url")
 
 
 def _one_payload(catalogs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -31,12 +31,6 @@ def keyed(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"host": F.expr(extract_domain("url")), "path": F.expr(url_path("url"))})
 
 
-def newest_ids(pages: DataFrame) -> DataFrame:
-    """``page_id`` of the newest good copy (highest id with HTML) of every URL, from narrow columns alone."""
-    good = pages.where("html is not null").select("page_id", F.expr(page_key("url")).alias("_key"))
-    return good.groupBy("_key").agg(F.max("page_id").alias("page_id")).select("page_id")
-
-
 def latest_pages(pages: DataFrame) -> DataFrame:
     """Keep the newest good copy of every URL; a failed fetch (NULL html) is no copy.
 
@@ -45,8 +39,8 @@ def latest_pages(pages: DataFrame) -> DataFrame:
     good = pages.where("html is not null")
     key = F.expr(page_key("url")).alias("_key")
     copies = good.groupBy(key).agg(F.max("page_id").alias("_newest"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    older = good.select("page_id", key).join(copies, "_key").where("page_id < _newest").select("page_id")
-    return narrow_join(good, older, "page_id", "left_anti")
+    older = good.select("page_id", "url", key).join(copies, "_key").where("page_id < _newest").select("page_id", "url")
+    return narrow_join(good, older, ["page_id", "url"], "left_anti")
 
 
 def first_page_per_host(pages: DataFrame) -> DataFrame:

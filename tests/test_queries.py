@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as contract
 from oracle_check import compare, connect
-
-SQL = contract.oracle_sql()
+from storelens.oracle import ORACLE as SQL
+from storelens.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,9 +13,9 @@ def con(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folder, con, name):
-    left, right, difference = compare(spark, con, contract.queries()[name], SQL[name], folder)
+    left, right, difference = compare(spark, con, QUERIES[name], SQL[name], folder)
     assert difference is None
     assert left == right
 
@@ -23,3 +23,7 @@ def test_query(spark, folder, con, name):
 def test_entry(spark):
     rows = contract.entry(spark)
     assert rows.count() > 0 and "store_url" in rows.columns
+
+
+def test_contract_holds_all_queries():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
