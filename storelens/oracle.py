@@ -82,12 +82,20 @@ _NAV = (
 )
 
 
-def _category(title: str, href: str) -> str:
-    words = {
-        "order tracking": ("track", "order"), "contact": ("contact", "support", "help"),
-        "blog": ("blog", "news", "articles"), "support": ("faq",), "shipping": ("shipping", "delivery"),
-        "returns": ("return", "refund"), "size guide": ("size", "guide", "fitting"),
-    }
+_LETTERS = {"early": ("a", "b", "c"), "late": ("u", "w", "y")}
+# Keywords of the link categories, in order.
+_KEYWORDS = {
+    "order tracking": ("track", "order", "tracking"),
+    "contact": ("contact", "support", "help"),
+    "blog": ("blog", "news", "articles"),
+    "support": ("support", "help", "faq"),
+    "shipping": ("shipping", "delivery"),
+    "returns": ("return", "refund"),
+    "size guide": ("size", "guide", "fitting"),
+}
+
+
+def _category(title: str, href: str, words: dict = _KEYWORDS) -> str:
     cases = [
         f"when regexp_matches(lower({title}) || chr(10) || lower({href}), '{'|'.join(w)}') then '{name}'"
         for name, w in words.items()
@@ -303,9 +311,16 @@ ORACLE: dict[str, str] = {
     "addresses": f"select s_suppkey as page_id, unnest({_ADDRESSES}) as address from ({_SUPPLIER})",
     "addresses_docs": (
         f"select doc_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '{_STREET}'), regexp_extract_all(text, '{_TOWN}')))) "
-        "as address from documents"
+        "as address from (select doc_id, text || '. ' || doc_id || ' Main Street, Town ' || lpad(doc_id::varchar, 5, '0') || "
+        "'; New ' || source || ', CA ' || lpad(doc_id::varchar, 5, '0') as text from documents)"
+    ),
+    "link_category": (
+        f"select page_id, pos, {_category('title', 'href')} as category from (select page_id, pos, "
+        "case when page_id % 2 = 0 then title || ' ' || word else title end as title, "
+        "case when page_id % 2 = 0 then href else href || '/' || word end as href from (select *, list_extract(["
+        "'Track', 'orders', 'Contact', 'support', 'HELP', 'Blog', 'news', 'Articles', 'FAQ', 'Shipping', 'delivery', "
+        f"'Returns', 'refund', 'Size', 'guide', 'fitting', 'plain', 'border', 'x'], (page_id + pos) % 19 + 1) as word from ({_NAV})))"
     ),
-    "link_category": f"select page_id, pos, {_category('title', 'href')} as category from ({_NAV})",
     "policy_titles": "select distinct source, upper(source[1]) || lower(source[2:]) || ' Policy Page' as title from documents",
     "node_counts": (
         "select page_id, tag, count(*) as n from (select page_id, unnest(regexp_extract_all(regexp_replace(html, "
@@ -362,7 +377,8 @@ ORACLE: dict[str, str] = {
     "important_links": _LINKS,
     "important_links_pages": (
         f"select page_id, title, 'https://' || {_HOST} || href as url, category from pages join (select *, row_number() over "
-        f"(partition by page_id, href order by pos) as rn from ({_PAGE_LINKS}) where category is not null) using (page_id) where rn = 1"
+        f"(partition by page_id, href order by pos) as rn from (select page_id, pos, title, href, {_category('title', 'href', _LETTERS)} as category "
+        f"from ({_NAV}) where href <> '' and title <> '') where category is not null) using (page_id) where rn = 1"
     ),
     "store_report": (
         "select 'https://' || host as store_url, store_name, false as is_shopify_store, true as success, "

@@ -33,6 +33,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = dt.datetime(2024, 1, 30, 12, tzinfo=dt.timezone.utc)
 N, V = "nodes", "visible_text"
 
+# Words put into links, so that every category occurs, and categories told by letters.
+LINK_WORDS = (
+    "Track", "orders", "Contact", "support", "HELP", "Blog", "news", "Articles", "FAQ", "Shipping", "delivery", "Returns",
+    "refund", "Size", "guide", "fitting", "plain", "border", "x",
+)
+PAGE_CATEGORIES = {"early": ("a", "b", "c"), "late": ("u", "w", "y")}
+
 # References resolved against every page, next to the page's own links.
 SAMPLE_REFS = ("/x", "y/z?q=1", "//cdn.example.com/a", "?p=2", "#f", "../up", "mailto:a@b.c", "https://o.example.com/x")
 
@@ -177,12 +184,22 @@ def addresses(spark, folder):
 
 
 def addresses_docs(spark, folder):
-    return _texts(spark, folder, "documents").transform(rows_of, "doc_id", address=T.addresses('text')).drop("pos")
+    """Addresses in every document, to which one of each shape is added from its own values."""
+    number = "lpad(doc_id, 5, '0')"
+    text = f"concat(text, '. ', doc_id, ' Main Street, Town ', {number}, '; New ', source, ', CA ', {number})"
+    docs = _texts(spark, folder, "documents").selectExpr("doc_id", f"{text} as text")
+    return docs.transform(rows_of, "doc_id", address=T.addresses("text")).drop("pos")
 
 
 def link_category(spark, folder):
-    """Categories of the text and target of every navigation link of the supplied pages."""
-    return nav_links(spark, folder).selectExpr("page_id", "pos", f"{T.link_category('title', 'href')} as category")
+    """Categories of every navigation link of the supplied pages, a word of the vocabulary put into text or target."""
+    word = f"element_at(array({lits(LINK_WORDS)}), cast((page_id + pos) % {len(LINK_WORDS)} as int) + 1)"
+    links = nav_links(spark, folder).selectExpr("page_id", "pos", "title", "href", f"{word} as word")
+    worded = links.selectExpr(
+        "page_id", "pos", "if(page_id % 2 = 0, concat(title, ' ', word), title) as title",
+        "if(page_id % 2 = 0, href, concat(href, '/', word)) as href",
+    )
+    return worded.selectExpr("page_id", "pos", f"{T.link_category('title', 'href')} as category")
 
 
 def policy_titles(spark, folder):
@@ -331,8 +348,8 @@ def brand_context(spark, folder):
     return about.unionByName(homes.selectExpr("host", f"md5({S.about_home_text(N, V)}) as digest"))
 
 
-def _links(pages: DataFrame, base: str) -> DataFrame:
-    found = R.parsed(pages).selectExpr("page_id", f"{base} as base", f"{S.important_links(N, V)} as links")
+def _links(pages: DataFrame, base: str, categories=T.LINK_CATEGORIES) -> DataFrame:
+    found = R.parsed(pages).selectExpr("page_id", f"{base} as base", f"{S.important_links(N, V, categories)} as links")
     return rows_of(found, "page_id", l=S.resolve_links("links", "base")).select("page_id", "pos", "l.*")
 
 
@@ -341,8 +358,9 @@ def important_links(spark, folder):
 
 
 def important_links_pages(spark, folder):
-    """Important links of the supplied pages, kept once per URL."""
-    return _links(_texts(spark, folder, "pages"), f"concat('https://', {U.extract_domain('url')})").drop("pos")
+    """Links of the supplied pages in categories of our own, kept once per URL."""
+    base = f"concat('https://', {U.extract_domain('url')})"
+    return _links(_texts(spark, folder, "pages"), base, PAGE_CATEGORIES).drop("pos")
 
 
 # --- reports ---
@@ -482,14 +500,16 @@ def cooldown_stream(spark, folder):
 
 
 def stream_extract(spark, folder):
-    """Pages arrive as files; each micro-batch becomes records of its hosts."""
-    pages = stream_pages(prepare(spark), folder, "pages.parquet")
-    out = scratch_path(spark, "insights")
+    """Pages arrive in four files that cut through the stores, one file per micro-batch."""
+    parts, out = scratch_path(spark, "page-files"), scratch_path(spark, "insights")
+    _pages(spark, folder).repartition(4, "page_id").write.parquet(parts)
+    pages = stream_pages(prepare(spark), parts, files_per_batch=1)
 
     def reports(batch: DataFrame) -> DataFrame:
         return R.store_reports(latest_pages(batch), _host_requests(batch), home="first", as_of=AS_OF)
 
-    extract_stream(pages, reports, out, scratch_path(spark, "progress")).awaitTermination()
+    everything = lambda: read_pages(spark, parts)
+    extract_stream(pages, reports, out, scratch_path(spark, "progress"), everything).awaitTermination()
     rows = read_records(spark, out).withColumn("doc", from_document(F.col("insights_data")))
     return rows.selectExpr(
         "store_url", "store_name", "success", "size(doc.important_links) as n_links",

@@ -15,8 +15,7 @@ def to_document(columns: DataFrame) -> Column:
 
 def from_document(doc: Column) -> Column:
     """Report struct of a stored JSON text; NULL when it cannot be read as an object."""
-    parsed = F.from_json(doc, REPORT)
-    return F.when(F.schema_of_variant(F.try_parse_json(doc)).startswith("OBJECT"), parsed)
+    return F.when(doc.rlike(r"^[ \t\r\n]*\{"), F.from_json(doc, REPORT))
 
 
 def as_records(reports: DataFrame) -> DataFrame:
@@ -36,16 +35,28 @@ def as_records(reports: DataFrame) -> DataFrame:
     )
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    """Append records to the table; files are sorted by store so that lookups by store skip row groups."""
-    (
-        records.sortWithinPartitions("scraped_date", "store_url")
-        .write.mode("append")
-        .partitionBy("scraped_date")
-        .parquet(path)
-    )
+def append_records(records: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append records to the table; files are sorted by store so that lookups by store skip row groups.
+
+    Batch jobs and streams share one layout, day then batch (-1 outside streams). A stream's micro-batch replaces
+    only its own folders when it is retried.
+    """
+    ordered = records.withColumn("batch", F.lit(-1 if batch is None else batch).cast("bigint"))
+    writer = ordered.sortWithinPartitions("scraped_date", "store_url").write.partitionBy("scraped_date", "batch")
+    if batch is None:
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The record table; ``insights_data`` stays text until ``from_document`` is applied."""
-    return spark.read.schema(RECORD).parquet(path)
+    """The record table; ``insights_data`` stays text until ``from_document`` is applied.
+
+    Of several records with one id (a store whose pages came in several micro-batches) the latest batch counts. It is
+    found on narrow columns; documents are read by it afterwards.
+    """
+    rows = spark.read.schema(f"{RECORD}, batch bigint").parquet(path)
+    latest = rows.groupBy("id").agg(F.max("batch").alias("batch"), F.count(F.lit(1)).alias("_n"))
+    older = rows.select("id", "batch").join(latest.where("_n > 1").drop("_n").withColumnRenamed("batch", "_last"), "id")
+    older = older.where("batch < _last").select("id", "batch").distinct()
+    return rows.join(older, ["id", "batch"], "left_anti").drop("batch")

@@ -5,29 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from storelens.sources.records import as_records
+from storelens.functions.urls import extract_domain
+from storelens.sources.records import append_records, as_records
 
 
 def extract_stream(
-    pages: DataFrame, to_reports: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    pages: DataFrame,
+    to_reports: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    all_pages: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Run ``to_reports`` on every micro-batch of pages and store the records, then stop.
+    """Run ``to_reports`` for the hosts of every micro-batch of pages and store the records, then stop.
 
-    The pages of a store should arrive together; where they do not, ``to_reports`` should look the hosts of the batch
-    up in the whole page table. Each micro-batch owns a folder below ``path`` named after its number, overwritten when the batch is
-    retried, so a lost driver neither loses nor doubles records.
+    The pages of a store may arrive in pieces: with ``all_pages``, the whole page table as of now, a batch only names
+    the hosts that changed and their reports are made from all their pages. The latest batch of a record counts
+    when the table is read, and a retried batch replaces its own records, so a lost driver neither loses nor
+    doubles any.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        records = as_records(to_reports(batch))
-        (
-            records.sortWithinPartitions("scraped_date", "store_url")
-            .write.mode("overwrite")
-            .partitionBy("scraped_date")
-            .parquet(f"{path}/batch={number}")
-        )
+        rows = batch
+        if all_pages is not None:
+            host = F.expr(extract_domain("url"))
+            touched = batch.select(host.alias("_host")).distinct()
+            rows = all_pages().withColumn("_host", host).join(touched, "_host", "left_semi").drop("_host")
+        append_records(as_records(to_reports(rows)), path, batch=number)
 
     return (
         pages.writeStream.foreachBatch(store)

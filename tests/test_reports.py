@@ -10,7 +10,7 @@ from storelens.plans.report import _needed_pages, page_sections, report_summary,
 from storelens.queries import QUERIES, _host_requests, _pages, host_reports
 from storelens.session import scratch_path
 from storelens.sources.pages import keyed, latest_pages, read_pages, stream_pages
-from storelens.sources.records import read_records
+from storelens.sources.records import append_records, as_records, read_records
 from storelens.sources.requests import read_requests
 from storelens.streaming.extract import extract_stream
 
@@ -157,10 +157,9 @@ def test_history_reads_narrow_columns_first(spark, folder):
 def test_stream_of_pages_equals_batch(spark):
     folder = scratch_path(spark, "crawl")
     schema = "page_id long, url string, html string"
-    # One store per file, as a crawler that finishes stores would write them.
-    for host in ("a.com", "b.com"):
-        rows = [r for r in CRAWL if f"/{host}" in r[1].lower()]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    # Files that cut through the stores.
+    for k in range(3):
+        spark.createDataFrame(CRAWL[k::3], schema).coalesce(1).write.mode("append").parquet(folder)
     requests, _ = read_requests(spark.createDataFrame([("a.com",), ("b.com/shop",)], "website_url string"))
 
     def to_reports(pages):
@@ -169,7 +168,8 @@ def test_stream_of_pages_equals_batch(spark):
         return store_reports(pages, asked, as_of=AS_OF)
 
     out = scratch_path(spark, "insights")
-    extract_stream(stream_pages(spark, folder, files_per_batch=1), to_reports, out, scratch_path(spark, "progress")).awaitTermination()
+    extract_stream(stream_pages(spark, folder, files_per_batch=1), to_reports, out, scratch_path(spark, "progress"), lambda: read_pages(spark, folder)).awaitTermination()
+    append_records(as_records(store_reports(read_pages(spark, folder), requests.limit(0), as_of=AS_OF)), out)  # one layout
     stored = read_records(spark, out).orderBy("store_url").collect()
     direct = store_reports(read_pages(spark, folder), requests, as_of=AS_OF).orderBy("store_url").collect()
     assert [(r.store_url, r.store_name, r.success) for r in stored] == [(r.store_url, r.store_name, r.success) for r in direct]
