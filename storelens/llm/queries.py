@@ -92,6 +92,31 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLE = {
+    "op1_suffix_dedup": """
+        with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        windows as (
+            select doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) as k
+            from (select doc_id, h, unnest(range(0, len(h) // 2 - 199)) as i from texts)),
+        repeated as (
+            select doc_id, i from windows where k in (select k from windows group by k having count(*) > 1)),
+        marked as (
+            select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 200, true) as fresh
+            from repeated),
+        numbered as (
+            select doc_id, i, sum(fresh::int) over (partition by doc_id order by i rows unbounded preceding) as span from marked),
+        spans as (select doc_id, min(i) as a, max(i) + 200 as e from numbered group by doc_id, span),
+        pieces as (
+            select doc_id, coalesce(lag(e) over (partition by doc_id order by a), 0) as first, a as last from spans
+            union all
+            select doc_id, coalesce(max(e), 0), any_value(len(h)) // 2 from texts left join spans using (doc_id) group by doc_id),
+        kept as (
+            select doc_id, string_agg(substr(h, 2 * first + 1, 2 * (last - first)), '' order by first, last) as rest
+            from pieces join texts using (doc_id) group by doc_id),
+        gone as (select doc_id, count(*) as n_spans, sum(e - a) as n_removed from spans group by doc_id)
+        select doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+               sha256(unhex(rest)) as kept_sha256
+        from texts join kept using (doc_id) left join gone using (doc_id)
+    """,
     "op2_embedding_dedup": """
         with recursive clean as (
             select vec_id, embedding::double[] as v from embeddings
