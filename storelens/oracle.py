@@ -435,6 +435,15 @@ ORACLE: dict[str, str] = {
     "stream_extract": (
         f"select 'https://' || host as store_url, store_name, true as success, n_links, {_WARN} as warnings from ({_REPORT})"
     ),
+    "fetch_insights": (
+        "select 'store-' || c_custkey || '.example.com' as website_url, case when us is null then 'extracted' else 'reused' end as outcome, "
+        "case when us is not null then 'Store ' || c_custkey end as store_name, us is not null as success, "
+        "case when us is null then '[\"Failed to fetch the main page\"]' end as message "
+        f"from customer left join ({_FRESH}) on user_id = c_custkey where c_custkey % 4 <> 3 "
+        "union all select 'not-a-url-' || c_custkey, 'rejected', null, false, 'Invalid website URL: not-a-url-' || c_custkey "
+        "from customer where c_custkey % 4 = 3 "
+        f"union all select 'https://' || host, 'extracted', store_name, true, null from ({_REPORT})"
+    ),
     "records_written": (
         f"select sha256('https://' || host || '|' || {_AS_OF_US}) as id, 'https://' || host as store_url, store_name, true as success, "
         f"null::varchar as error_message, {_AS_OF_US} as scraped_us, n_links from ({_REPORT})"

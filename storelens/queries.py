@@ -21,6 +21,7 @@ from storelens.operators.dom import to_nodes, with_dom
 from storelens.operators.lookup import candidate_pages, first_hit
 from storelens.plans import competitors as K
 from storelens.plans import report as R
+from storelens.plans.fetch import fetch_insights as fetch
 from storelens.session import prepare, scratch_path, spread
 from storelens.sources.pages import keyed, latest_pages, read_pages, stream_pages
 from storelens.sources.records import append_records, as_records, from_document, read_records
@@ -517,6 +518,19 @@ def stream_extract(spark, folder):
     )
 
 
+def fetch_insights(spark, folder):
+    """The main flow over customers (some of whom have fresh records, some a broken URL) and crawled hosts."""
+    store = "case when c_custkey % 4 = 3 then concat('not-a-url-', c_custkey) else concat('store-', c_custkey, '.example.com') end"
+    pages = _pages(spark, folder)
+    asked = _table(spark, folder, "customer").selectExpr(f"{store} as website_url")
+    asked = asked.unionByName(_host_requests(pages).select("website_url"))
+    out = scratch_path(spark, "records")
+    answers = fetch(asked, _records(spark, folder), pages, AS_OF, out, home="first")
+    return answers.withColumn("doc", from_document(F.col("insights_data"))).selectExpr(
+        "website_url", "outcome", "doc.store_name as store_name", "success", "message"
+    )
+
+
 def records_written(spark, folder):
     """Reports become record rows; the key is a digest of store and time."""
     rows = as_records(host_reports(spark, folder)).withColumn("doc", from_document(F.col("insights_data")))
@@ -536,7 +550,7 @@ QUERIES: dict[str, Query] = {
         hero_products, policies, contact_info, social_handles, brand_context, important_links, important_links_pages,
         store_report, report_summary, report_errors, report_competitors, competitor_profile, latest_record, cached_report, history_page,
         service_stats, stale_requests, fresh_hits, cooldown_replay, cooldown_failures, cooldown_stream,
-        stream_extract, records_written,
+        stream_extract, records_written, fetch_insights,
     )
 } | {
     "faq_items": _faq(S.faq_items),
