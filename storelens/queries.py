@@ -26,7 +26,7 @@ from storelens.session import prepare, scratch_path, spread
 from storelens.sources.pages import keyed, latest_pages, read_pages, stream_pages
 from storelens.sources.records import append_records, as_records, from_document, read_records
 from storelens.sources.requests import read_requests
-from storelens.streaming.cooldown import accepted_requests, use_rocksdb, write_accepted
+from storelens.streaming.cooldown import accepted_requests, rocksdb_state, write_accepted
 from storelens.streaming.extract import extract_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -491,12 +491,13 @@ def cooldown_failures(spark, folder):
 
 
 def cooldown_stream(spark, folder):
-    use_rocksdb(prepare(spark))
+    prepare(spark)
     source = spark.read.parquet(f"{folder}/events.parquet").schema
     events = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(folder)
     out = scratch_path(spark, "accepted")
     accepted = accepted_requests(events, key="user_id", id="event_id")
-    write_accepted(accepted, out, scratch_path(spark, "state")).awaitTermination()
+    with rocksdb_state(spark):
+        write_accepted(accepted, out, scratch_path(spark, "state")).awaitTermination()
     return _accepted(spark.read.schema(accepted.schema).parquet(out))
 
 

@@ -11,7 +11,7 @@ from storelens.operators.cooldown import cooldown_replay
 from storelens.session import scratch_path
 from storelens.sources.records import append_records, as_records, from_document, read_records
 from storelens.sources.requests import read_requests
-from storelens.streaming.cooldown import accepted_requests, use_rocksdb, write_accepted
+from storelens.streaming.cooldown import accepted_requests, rocksdb_state, write_accepted
 
 NOW = dt.datetime(2024, 5, 2, 12, tzinfo=dt.timezone.utc)
 SCHEMA = "id long, store_url string, store_name string, scraped_at timestamp, processing_time double, success boolean, insights_data string"
@@ -121,7 +121,6 @@ def test_cooldown_is_greedy_for_any_chunking(spark, chunk_rows, success):
 @pytest.mark.parametrize("success", [None, "ok"])
 def test_cooldown_stream_agrees(spark, success):
     rows = sorted(log(9), key=lambda r: r[2])
-    use_rocksdb(spark)
     folder = scratch_path(spark, "log")
     schema = "id int, store_url string, ts timestamp, ok boolean"
     for i in range(4):
@@ -129,6 +128,8 @@ def test_cooldown_stream_agrees(spark, success):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = scratch_path(spark, "accepted")
     accepted = accepted_requests(source, success=success)
-    query = write_accepted(accepted, out, scratch_path(spark, "state"))
-    query.awaitTermination()
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with rocksdb_state(spark):
+        write_accepted(accepted, out, scratch_path(spark, "state")).awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
     assert {(r.store_url, r.id) for r in spark.read.parquet(out).collect()} == greedy(rows, success is not None)
