@@ -27,14 +27,16 @@ from storelens.llm import buffers
 BUCKETS = 1 << 18
 NGRAMS = (3, 4, 5, 6)
 #: Bound of the labelled sample the driver fits on: rows per class, and bytes of text in all.
-TRAINING_ROWS = 1500
-TRAINING_BYTES = 12 << 20
+TRAINING_ROWS = 1200
+TRAINING_BYTES = 8 << 20
 #: Pull of the embeddings towards zero.
 DECAY = 1e-6
 #: Words averaged at a time; a shorter window counts as filled up with words of no meaning.
 WINDOW = 4
 #: Stretch of the averages.
 SCALE = np.float32(30.0)
+#: Share of the subwords left out at each step on windows.
+DROPOUT = 0.4
 LOW, HIGH = ord("<"), ord(">")
 
 WORD_BYTE = np.zeros(256, bool)
@@ -59,8 +61,14 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.searchsorted(bounds, starts, "right") - 1, code, names
 
 
-def subwords(names: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def subwords(names: pa.Array, buckets: int, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all subwords of each word, one word after the other, and the bounds of the words."""
+    parts = [_subwords(names.slice(k, step), buckets) for k in range(0, max(len(names), 1), step)]
+    sizes = np.concatenate([np.diff(at) for _, at in parts])
+    return np.concatenate([b for b, _ in parts]), np.append(0, np.cumsum(sizes))
+
+
+def _subwords(names: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     data, at = buffers.text_bytes(names)
     size = np.diff(at) + 2
     bounds = np.append(0, np.cumsum(size))
@@ -95,7 +103,7 @@ def subwords(names: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(who, kind="stable")
     mixed = np.concatenate(found_hash)[order] * HASH_MIX
     bucket = (mixed >> np.uint64(40)) % np.uint64(buckets)
-    return bucket.astype(np.int64), np.append(0, np.cumsum(np.bincount(who, minlength=len(names)))).astype(np.int64)
+    return bucket.astype(np.int32), np.append(0, np.cumsum(np.bincount(who, minlength=len(names)))).astype(np.int64)
 
 
 def lowered(texts: pa.Array) -> pa.Array:
@@ -108,8 +116,10 @@ class _Fit:
     """Embedding table and softmax under training, on bags of words (row, word, weight)."""
 
     def __init__(self, bucket: np.ndarray, bounds: np.ndarray, keep: np.ndarray, buckets: int, dim: int):
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[keep]
-        self.used, self.bucket = np.unique(bucket[keep], return_inverse=True)
+        owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))[keep]
+        there = np.bincount(bucket[keep], minlength=buckets) > 0
+        self.used = np.flatnonzero(there)
+        self.bucket = (np.cumsum(there, dtype=np.int32) - 1)[bucket[keep]]
         self.at = np.append(0, np.cumsum(np.bincount(owner, minlength=len(bounds) - 1)))
         self.length = np.maximum(np.diff(bounds), 1).astype(np.float32)
         self.buckets = buckets
@@ -124,8 +134,12 @@ class _Fit:
         total = np.append(0, np.cumsum(value[:-1], dtype=np.float64))
         return (total[self.at[1:]] - total[self.at[:-1]]) / self.length * SCALE
 
-    def learn(self, row, word, weight, target: np.ndarray, steps: int, rate: float = 0.05) -> None:
-        """Adam steps over all bags at once. Rows without a word count through the bias alone."""
+    def learn(self, row, word, weight, target: np.ndarray, steps: int, dropout: float = 0, rate: float = 0.05) -> None:
+        """Adam steps over all bags at once. Rows without a word count through the bias alone.
+
+        With ``dropout`` every step leaves out that share of the subwords, so that no word depends on a few of them:
+        a misspelt word has lost some.
+        """
         present, word = np.unique(word, return_inverse=True)
         sizes = (self.at[1:] - self.at[:-1])[present]
         present, kept = present[sizes > 0], np.flatnonzero(sizes > 0)
@@ -148,12 +162,16 @@ class _Fit:
         by_bucket = np.argsort(flat, kind="stable")
         bucket_at = np.flatnonzero(np.append(True, np.diff(flat[by_bucket]) > 0))
         touched = flat[by_bucket][bucket_at]
-        owner = np.repeat(np.arange(len(present)), sizes)[by_bucket]
+        owner = np.repeat(np.arange(len(present), dtype=np.int32), sizes)[by_bucket]
         hit = target.astype(int)
         share = np.where(target == 1, 0.5 / max(target.sum(), 1), 0.5 / max(len(target) - target.sum(), 1))[:, None]
         state = [[np.zeros_like(x), np.zeros_like(x)] for x in (self.table[touched], self.soft, self.bias)]
+        random = np.random.default_rng(len(flat))
         for step in range(1, steps + 1):
-            vectors = np.add.reduceat(self.table[flat], word_at) / length
+            heard = (random.random((len(flat), 1), np.float32) >= dropout).astype(np.float32)
+            chosen = self.table[flat]
+            chosen *= heard
+            vectors = np.add.reduceat(chosen, word_at) / length
             doc = np.zeros((len(target), self.table.shape[1]), np.float32)
             doc[row[row_at]] = np.add.reduceat(vectors[word] * weight, row_at)
             logits = doc @ self.soft + self.bias
@@ -164,8 +182,10 @@ class _Fit:
             delta = (chance * share).astype(np.float32)
             back = delta @ self.soft.T
             word_grad = np.add.reduceat(back[back_row] * back_weight, back_at) / length
+            chosen = word_grad[owner]
+            chosen *= heard[by_bucket]
             grads = (
-                np.add.reduceat(word_grad[owner], bucket_at) + DECAY * self.table[touched],
+                np.add.reduceat(chosen, bucket_at) + DECAY * self.table[touched],
                 doc.T @ delta + 1e-4 * self.soft,
                 delta.sum(0),
             )
@@ -203,7 +223,8 @@ def train(
     """Fit table and softmax together on labelled texts; the same input gives the same model.
 
     The first round learns on whole texts, the others on the windows that speak most for label 1: one of every
-    text of label 1 and four of every other. A subword is learnt if enough texts hold it.
+    text of label 1 and four of every other. A subword is learnt if enough texts hold it. The constant is set last, so
+    that the strongest windows of both classes lie on its two sides.
     """
     target = np.array(labels, np.float64)
     blank = np.zeros(buckets, np.float32)
@@ -215,11 +236,12 @@ def train(
     bucket, bounds = subwords(names, buckets)
     pair, count = np.unique(rows * len(names) + code, return_counts=True)
     row, word = np.divmod(pair, len(names))
-    owner = np.repeat(np.arange(len(names)), np.diff(bounds))
-    held = np.bincount(bucket, weights=np.bincount(word, minlength=len(names))[owner], minlength=buckets)
+    texts_of = np.bincount(word, minlength=len(names)).astype(np.float32)
+    held = np.bincount(bucket, weights=np.repeat(texts_of, np.diff(bounds)), minlength=buckets)
     fit = _Fit(bucket, bounds, held[bucket] >= min(8, 2 + int(target.sum()) // 20), buckets, dim)
     size = np.bincount(row, weights=count, minlength=len(texts))
-    fit.learn(row, word, count / size[row], target, steps // 2)
+    common = texts_of[word] >= min(2, len(texts) // 50)  # a word of one text says nothing about others
+    fit.learn(row[common], word[common], (count / size[row])[common], target, steps // 2)
     window, window_row = windows(rows)
     fresh = fresh_words(window, code)
     for _ in range(rounds):
@@ -237,9 +259,28 @@ def train(
             np.full(int(inside.sum()), 1 / WINDOW),
             target[window_row[picked]],
             steps,
+            DROPOUT,
         )
     blank[fit.used] = fit.table @ (fit.soft[:, 1] - fit.soft[:, 0]) * SCALE
-    return Model(blank, float(fit.bias[1] - fit.bias[0]))
+    value = np.bincount(window, weights=fit.word_values()[code] * fresh) / WINDOW
+    best = np.zeros(len(texts))
+    head = np.flatnonzero(np.append(True, np.diff(window_row) > 0))
+    best[window_row[head]] = np.maximum.reduceat(value, head)
+    return Model(blank, -boundary(best, target))
+
+
+def boundary(values: np.ndarray, target: np.ndarray) -> float:
+    """Value that parts the two classes with the fewest errors, in the middle of the widest such gap."""
+    order = np.argsort(values, kind="stable")
+    values, target = values[order], target[order]
+    # Errors if everything from place k on is called 1; runs of equal values are not parted.
+    errors = np.append(0, np.cumsum(target)) + np.append(np.cumsum((1 - target)[::-1])[::-1], 0)
+    gap = np.concatenate([[1.0], np.diff(values), [1.0]])
+    errors = np.where(gap > 0, errors, np.inf)
+    k = int(np.lexsort((-gap, errors))[0])
+    if k == 0 or k == len(values):
+        return float(values[0] - 1 if k == 0 else values[-1] + 1)
+    return float((values[k - 1] + values[k]) / 2)
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
