@@ -39,7 +39,7 @@ ANCHOR = 64
 GROUP_RUNS = 20_000
 #: Bits of the map of documents to look at (a fixed size: 1 MB).
 MAP_BITS = 1 << 23
-SLICE = 2 << 20
+SLICE = 1 << 20
 PLACE_BITS = 24
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -335,7 +335,8 @@ def repeated_windows(
     strings = runs.groupBy("digit").agg(
         F.count(F.lit(1)).alias("n"), F.min("run").alias("low"), F.max("run").alias("high")
     )
-    strings = strings.where("n > 1").selectExpr("digit", "low <> high as mixed")
+    # Stored, so that the join deals both sides anew and may split a string that very many runs share.
+    strings = stored(strings.where("n > 1").selectExpr("digit", "low <> high as mixed"), "strings")
     hits = stored(runs.join(strings, "digit"), "hits")
     # Second digit: contents of the runs around strings of more than one content.
     classes = stored(
