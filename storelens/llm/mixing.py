@@ -21,6 +21,7 @@ what the targets say of a single domain). Targets of domains nobody labelled are
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -50,13 +51,13 @@ def word_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, d
     """Domains in order, log priors, and log chances of every bucket per domain."""
     named = labels.select(F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("_domain"))
     named = named.where("_id is not null and _domain is not null").groupBy("_id").agg(F.min("_domain").alias("_domain"))
-    order = F.expr("row_number() over (partition by _domain order by xxhash64(_id), _id)")
-    # A top-k per domain: Spark keeps the first rows of every partition before it shuffles.
-    sample = named.withColumn("_rank", order).where(f"_rank <= {rows}").select("_id", "_domain")
     domains = {r["_domain"]: r["n"] for r in named.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(domains)
     if not names:
         return [], [], []
+    # A top-k per domain: tasks hand on their own first rows, so no domain is brought together.
+    firsts = [named.where(F.col("_domain") == k).orderBy(F.xxhash64("_id"), "_id").limit(rows) for k in names]
+    sample = functools.reduce(DataFrame.unionByName, firsts)
     texts = docs.select(F.col(id_col).alias("_id"), F.expr(_buckets(f"`{text_col}`")).alias("b"))
     # The sample has at most `rows` narrow rows per domain.
     counted = (
