@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from storelens.llm import components, embedding_dedup, simhash, suffix_dedup
+from storelens.llm import components, embedding_dedup, shingle_dedup, simhash, suffix_dedup
 
 
 def smallest_reachable(nodes, links):
@@ -175,3 +175,59 @@ def test_near_duplicate_vectors(spark, monkeypatch, bucket_rows):
     assert all(r.kept == (k == root[k]) for k, r in got.items())
     assert embedding_dedup.near_duplicate_vectors(table.where("false")).count() == 0
     assert embedding_dedup.near_duplicate_vectors(table.where("vec_id = 500")).first().n_links == 0
+
+
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(rows):
+    sets = {k: plain_shingles(t) for k, t in rows}
+    near = [
+        (a, b)
+        for a, b in itertools.combinations(sets, 2)
+        if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    ]
+    return smallest_reachable(sets, near)
+
+
+@pytest.mark.parametrize("group_rows", [512, 8])
+def test_lightly_edited_copies_are_one_group(spark, monkeypatch, group_rows):
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingle_dedup, "GROUP_ROWS", group_rows)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    rows = []
+    for k in range(90):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 40, 100, 300]))]
+        for j in range(rng.choice([1, 2, 3, 12])):
+            words = [rng.choice(vocabulary) if rng.random() < rng.choice([0, 0.01, 0.02, 0.04]) else w for w in base]
+            rows.append((k * 20 + j, " ".join(words)))
+    rows += [(5000, None), (5001, ""), (5002, " \t"), (5003, "Short text"), (5004, "short  TEXT")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = plain_groups(rows)
+    got = {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(docs).collect()}
+    assert got == want
+    full = docs.selectExpr("*", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars")
+    kept = corpus_pipeline.drop_near_duplicates(spark, full, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+
+
+def test_sketches_find_pairs_at_the_threshold():
+    rng = np.random.default_rng(12)
+    missed = 0
+    for _ in range(2000):  # sets of 180 with 160 in common: Jaccard 0.8
+        values = rng.integers(0, 1 << 63, 200, np.uint64)
+        _, sketch = shingle_dedup.sketches(np.concatenate([np.sort(values[:180]), np.sort(values[20:])]), np.array([0, 180, 360]))
+        bands = sketch.reshape(2, shingle_dedup.BANDS, shingle_dedup.BAND)
+        missed += not ((bands[0] == bands[1]).all(1).any() and shingle_dedup.sketch_links([s.tobytes() for s in sketch]))
+    assert missed <= 2
+
+
+def test_shingles_of_odd_rows(odd, nothing):
+    rows = shingle_dedup.near_duplicates(odd).collect()
+    assert len(rows) == 9 and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}
+    assert {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
+    assert shingle_dedup.near_duplicates(nothing).count() == 0
