@@ -7,12 +7,17 @@ The classifier is naive Bayes over hashed words. It learns from a bounded sample
 has a fixed size (buckets times domains) and travels as constants. Evidence is the mean over all words of a text,
 counted as ``EVIDENCE`` words at most, so that long texts keep soft chances.
 
-Rates solve a weighted least-squares problem by projected gradient: with totals A_k = sum of p_dk n_d r_d and
-targets T_k, minimise sum of (A_k - T_k)^2 / (2 T c_k) + RIDGE / 2 * sum of n_d (r_d - 1)^2 over r_d >= least rate,
-where n_d are tokens, c_k is the present share of domain k and T the total. Chances of a document add up to one, so
-a step of length one (in the metric of n_d) never overshoots. A step needs K totals, one aggregate
-over a narrow stored table; the rate of a document is a fold over the few residual vectors so far, so no rates are
-written between steps and only K numbers per step reach the driver.
+Rates solve a weighted least-squares problem: with totals A_k = sum of p_dk n_d r_d and targets T_k, minimise sum of
+(A_k - T_k)^2 / (2 T c_k) + RIDGE / 2 * sum of n_d (r_d - 1)^2 over least <= r_d <= most, where n_d are tokens, c_k is
+the present share of domain k and T the total. RIDGE is so small that targets are met wherever rates exist that meet
+them; it picks the rates nearest to one among those. The optimum is r_d = 1 - sum of p_dk x_k, cut to the bounds, for K
+numbers x that minimise a convex piecewise quadratic function (the dual). They are found by Newton steps with
+halving: one aggregate over a narrow stored table gives the value, K totals and K^2 second moments, so no rates are
+written between steps. Steps end when the optimum's equations hold to ``TOLERANCE`` of all tokens; ``STEPS`` passes
+without that are an error. Targets that no rates within the bounds meet are reported by a warning.
+
+With ``growth=None`` the sum of the totals is free: the optimum over it too needs x . targets = 0, a plane in which the
+same steps run. With rates of at least one this is the growth the data need to reach the targets by repeating alone.
 
 Null and empty texts have no tokens and the chances of the prior; their rate counts like any other. Repeated rows
 get equal rates. Without labelled texts, or with one domain only, all chances are equal and every rate is 1 (or
@@ -22,8 +27,10 @@ what the targets say of a single domain). Targets of domains nobody labelled are
 from __future__ import annotations
 
 import functools
+import warnings
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +40,12 @@ BUCKETS = 2048
 #: Bound of the labelled sample, rows per domain.
 LABELLED_ROWS = 4000
 EVIDENCE = 40
-RIDGE = 0.01
-STEPS = 24
+RIDGE = 1e-6
+#: Passes over the documents, at most; beyond them the fit is an error.
+STEPS = 200
+#: What is left of the optimum's equations, and of the targets without a warning, as shares of all tokens.
+TOLERANCE = 1e-8
+REPORTED = 1e-4
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,16 +106,14 @@ def with_posteriors(docs: DataFrame, text_col: str, model) -> DataFrame:
     return odds.withColumn("chances", F.expr("transform(_s, x -> x / aggregate(_s, 0d, (a, y) -> a + y))")).drop("_s")
 
 
-def rate_sql(residuals: list[list[float]], least: float) -> str:
-    """SQL for the rate of a document after the given steps, from its ``chances``."""
-    if not residuals:
-        return f"cast(greatest(1d, {least}D) as double)"
-    steps = "array(" + ", ".join(_constants(e) for e in residuals) + ")"
-    slope = "aggregate(zip_with(chances, e, (p, x) -> p * x), 0d, (a, x) -> a + x)"
-    return (
-        f"aggregate({steps}, cast(greatest(1d, {least}D) as double), "
-        f"(r, e) -> greatest({least}D, r - {slope} - {RIDGE}D * (r - 1d)))"
-    )
+def slope_sql(weights: list[float]) -> str:
+    return "(" + " + ".join(f"chances[{k}] * {float(w)!r}D" for k, w in enumerate(weights)) + ")"
+
+
+def rate_sql(weights: list[float], least: float, most: float | None = None) -> str:
+    """SQL for the rate of a document from its ``chances``."""
+    rate = f"greatest({float(least)!r}D, 1d - {slope_sql(weights)})"
+    return rate if most is None else f"least({float(most)!r}D, {rate})"
 
 
 def mixing_rates(
@@ -116,39 +125,87 @@ def mixing_rates(
     domain_col: str = "domain",
     labelled_rows: int = LABELLED_ROWS,
     least_rate: float = 0.0,
-    growth: float = 1.0,
+    growth: float | None = 1.0,
     steps: int = STEPS,
+    most_rate: float | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """``(id_col, text_hash, n_tokens, chances, rate)``, one row per input row, and the order of the domains.
 
-    The totals add up to ``growth`` times the tokens there are. With ``least_rate=1`` nothing is thinned out:
-    domains are only repeated.
+    The totals add up to ``growth`` times the tokens there are, or to whatever the targets need with None. With
+    ``least_rate=1`` nothing is thinned out: domains are only repeated.
     """
     model = word_model(docs, labels, id_col, text_col, domain_col, labelled_rows)
     text = f"coalesce(cast(`{text_col}` as string), '')"
     narrow = docs.selectExpr(f"`{id_col}` as _id", f"xxhash64({text}) as text_hash", f"{text} as _t")
     narrow = stored(with_posteriors(narrow, "_t", model).drop("_t"), "posteriors")
     size = max(len(model[0]), 1)
-    weights = [max(targets.get(k, 0.0), 0.0) for k in model[0]] or [1.0]
-    whole = sum(weights)
-    residuals: list[list[float]] = []
-    if whole > 0 and narrow.limit(1).count():
-        shares = _totals(narrow, "1d", size)
-        tokens = sum(shares) or 1.0
-        present = [max(s / tokens, 1e-6) for s in shares]
-        goal = [growth * w / whole for w in weights]
-        for _ in range(steps):
-            totals = _totals(narrow, rate_sql(residuals, least_rate), size)
-            residuals.append([(a / tokens - g) / c for a, g, c in zip(totals, goal, present, strict=True)])
-    rated = narrow.withColumn("rate", F.expr(rate_sql(residuals, least_rate)))
+    goal = np.array([max(targets.get(k, 0.0), 0.0) for k in model[0]] or [1.0])
+    weights = np.zeros(size)
+    if goal.sum() > 0 and narrow.limit(1).count():
+        weights = fitted(narrow, goal / goal.sum(), model[0], least_rate, most_rate, growth, steps)
+    rated = narrow.withColumn("rate", F.expr(rate_sql(weights.tolist(), least_rate, most_rate)))
     return rated.withColumnRenamed("_id", id_col), model[0]
 
 
-def _totals(narrow: DataFrame, rate: str, size: int) -> list[float]:
-    """Expected tokens of every domain at the given rates."""
-    rated = narrow.selectExpr("n_tokens", "chances", f"{rate} as rate")
-    sums = [F.expr(f"coalesce(sum(chances[{k}] * n_tokens * rate), 0d)") for k in range(size)]
-    return list(rated.agg(*sums).first())
+def _moments(narrow: DataFrame, weights: np.ndarray, least: float, most: float | None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Value, totals per domain and second moments of the documents within the bounds, at the given weights."""
+    size = len(weights)
+    top = float("inf") if most is None else most
+    rated = narrow.selectExpr(
+        "n_tokens", "chances", f"1d - {slope_sql(weights.tolist())} as free", f"{rate_sql(weights.tolist(), least, most)} as rate"
+    )
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    inside = f"free > {float(least)!r}D" + ("" if most is None else f" and free < {float(top)!r}D")
+    sums = [
+        # Half the square of the rate, and beyond a bound on along the tangent.
+        "n_tokens * (rate * free - rate * rate / 2)",
+        *[f"n_tokens * chances[{k}] * rate" for k in range(size)],
+        *[f"case when {inside} then n_tokens * chances[{i}] * chances[{j}] end" for i, j in pairs],
+    ]
+    row = list(rated.agg(*[F.expr(f"coalesce(sum({x}), 0d)") for x in sums]).first())
+    second = np.zeros((size, size))
+    for (i, j), v in zip(pairs, row[1 + size :], strict=True):
+        second[i, j] = second[j, i] = v
+    return row[0], np.array(row[1 : 1 + size]), second
+
+
+def fitted(narrow: DataFrame, goal: np.ndarray, names: list[str], least: float, most: float | None, growth: float | None, steps: int) -> np.ndarray:
+    """Weights ``x`` of the optimal rates; ``goal`` are the target shares, adding up to one."""
+    size = len(goal)
+    tokens, shares = (lambda r: (r[0] or 1, np.array(r[1:])))(
+        list(narrow.selectExpr("coalesce(sum(n_tokens), 0)", *[f"coalesce(sum(chances[{k}] * n_tokens), 0d)" for k in range(size)]).first())
+    )
+    ridge = RIDGE * np.maximum(shares / tokens, 1e-6)
+    aim = goal * (growth or 0.0)
+    # Directions the weights may take: all, or those at right angles to the targets.
+    plane = np.eye(size) if growth is not None else np.linalg.svd(goal[None, :])[2][1:].T
+    weights = np.zeros(size)
+
+    def at(x: np.ndarray):
+        value, totals, second = _moments(narrow, x, least, most)
+        slope = aim - totals / tokens + ridge * x
+        return value / tokens + aim @ x + x @ (ridge * x) / 2, plane.T @ slope, plane.T @ (second / tokens + np.diag(ridge)) @ plane, totals
+
+    value, slope, curve, totals = at(weights)
+    passes = 1
+    while np.abs(slope).max(initial=0.0) > TOLERANCE:
+        move, length = plane @ np.linalg.solve(curve, slope), 1.0
+        gain = slope @ np.linalg.solve(curve, slope)
+        while True:
+            if passes >= steps:
+                raise RuntimeError(f"mixing rates still off by {np.abs(slope).max():.2e} of all tokens after {passes} passes")
+            tried = at(weights - length * move)
+            passes += 1
+            if tried[0] <= value - 1e-4 * length * gain + 1e-12 * max(1.0, abs(value)):
+                break
+            length /= 2
+        weights = weights - length * move
+        value, slope, curve, totals = tried
+    reached = totals / max(totals.sum(), 1e-300) if growth is None else totals / tokens / growth
+    if np.abs(reached - goal).max() > REPORTED:
+        told = ", ".join(f"{k} {g:.4f} reached {r:.4f}" for k, g, r in zip(names or ["all"], goal, reached, strict=True))
+        warnings.warn(f"no rates within the bounds meet the mixing targets: {told}", stacklevel=3)
+    return weights
 
 
 def copies_sql(rate: str, seed: int = 17, keys: str = "text_hash") -> str:

@@ -206,3 +206,29 @@ def test_mixing_of_odd_rows(spark, odd, nothing, labelled):
     rated, _ = mixing.mixing_rates(odd, table, {"a": 1.0, "b": 1.0})
     assert rated.where("rate >= 0 and abs(aggregate(chances, 0d, (a, x) -> a + x) - 1) < 1e-9").count() == 9
     assert mixing.mixing_rates(nothing, table, {"a": 1.0})[0].count() == 0
+
+
+def test_mixing_meets_targets_of_domains_that_share_words(spark):
+    rng = random.Random(10)
+    rows, labels = [], []
+    for k in range(900):
+        domain = "a" if k % 20 else "b"  # one in twenty
+        words = [rng.choice(["x", "y", "z", f"w{rng.randrange(40)}"]) if rng.random() < 0.9 else domain for _ in range(rng.randint(5, 60))]
+        rows.append((k, " ".join(words)))
+        labels.append((k, domain))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = spark.createDataFrame(labels, "doc_id bigint, domain string")
+    want = {"a": 0.98, "b": 0.02}
+    rated, names = mixing.mixing_rates(docs, table, want)
+    shares = [f"sum(chances[{k}] * n_tokens * rate) / (select sum(n_tokens) from t)" for k in range(2)]
+    rated.createOrReplaceTempView("t")
+    got = spark.sql(f"select {', '.join(shares)} from t").first()
+    assert np.abs(np.array(got) - [want[k] for k in names]).max() < 1e-6
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    docs = spark.createDataFrame([(k, "same words here") for k in range(50)], "doc_id bigint, text string")
+    table = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(50)], "doc_id bigint, domain string")
+    with pytest.warns(UserWarning, match="a 0.9000 reached 0.5000"):
+        rated, _ = mixing.mixing_rates(docs, table, {"a": 0.9, "b": 0.1}, least_rate=1.0, growth=None, most_rate=3.0)
+    assert rated.where("rate between 1 and 3").count() == 50
