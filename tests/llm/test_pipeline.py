@@ -1,5 +1,7 @@
 """Registered queries with SQL twins, and the pipeline stage by stage."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -39,3 +41,19 @@ def test_secrets_are_masked(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.mask_secrets(spark, docs, folder).collect()}
     assert got == {1: ("a [SECRET] b", 12), 2: ("clean", 5)}
+
+
+def test_mixing_repeats_skewed_corpora_up_to_the_targets(spark, tmp_path):
+    rng = random.Random(13)
+    rows, labels = [], []
+    for k in range(600):
+        quality = k % 2  # half of the corpus, a tenth asked
+        text = " ".join(rng.choice([f"q{quality}w{j}" for j in range(30)]) for _ in range(rng.randint(30, 60)))
+        rows.append((k, text, "en", "s", len(text)))
+        labels.append((k, quality, int(k % 10 == 9)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    words = "size(split(text, ' '))"
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    got = mixed.selectExpr(f"sum(if(doc_id % 2 = 0, {words}, 0)) / sum({words}) as low", "count(distinct doc_id) as n").first()
+    assert got.n == 600 and abs(got.low - corpus_pipeline.TARGETS["quality0"]) < 0.01
