@@ -3,8 +3,8 @@
 Base spans follow fixed patterns: assigned values, access keys and long hexadecimal runs. Beside them the method
 collects opaque candidates (long runs of mixed letters and digits outside base spans). All values are hashed and
 counted over the whole corpus by distinct repositories and owners: a value that many owners hold is a copied
-example, one held by a single owner looks like a live credential. Opaque candidates of a single owner become
-spans of kind ``live``; base spans stay whatever their frequency.
+example, one that fewer hold looks like a live credential (leaked, and perhaps mirrored). Opaque candidates of fewer
+owners than an example has become spans of kind ``live``; base spans stay whatever their frequency.
 
 Texts are searched where they are read; what is shuffled are hashes and offsets. Counting distinct owners combines
 before the shuffle, so a value that a third of all rows hold is a few rows per task.
@@ -31,8 +31,7 @@ OPAQUE = (
 )
 #: Kinds in the order they are listed.
 KINDS = ("assign", "access", "hex", "live")
-#: A value of at most so many owners looks live; one of at least so many is a copied example.
-LIVE_OWNERS = 1
+#: A value of at least so many owners is a copied example; any other looks live.
 EXAMPLE_OWNERS = 3
 SPANS = "array<struct<s:int,e:int,v:string>>"
 
@@ -72,7 +71,7 @@ def find_secrets(
     """``(id_col, text_hash, base, live, n_live, n_example)``, one row per input row.
 
     ``base`` and ``live`` are arrays of ``(s, k, e)``: start, place of the kind in ``KINDS``, end, in order of start
-    and kind. ``n_live`` counts the values of any kind that one owner holds, ``n_example`` those that many hold.
+    and kind. ``n_live`` counts the values of any kind that fewer than ``EXAMPLE_OWNERS`` owners hold, ``n_example`` the others.
     """
     repository = ", ".join(f"cast(`{c}` as string)" for c in repository_cols)
     read = docs.selectExpr(
@@ -108,8 +107,8 @@ def find_secrets(
     )
     told = values.join(held, values["x.d"] == held["d"]).select("row_key", "x", "owners", "repositories")
     per_row = told.groupBy("row_key").agg(
-        F.expr(f"array_sort(collect_set(case when x.k = 3 and owners <= {LIVE_OWNERS} then x end)) as live"),
-        F.expr(f"count(distinct case when owners <= {LIVE_OWNERS} then x end) as n_live"),
+        F.expr(f"array_sort(collect_set(case when x.k = 3 and owners < {EXAMPLE_OWNERS} then x end)) as live"),
+        F.expr(f"count(distinct case when owners < {EXAMPLE_OWNERS} then x end) as n_live"),
         F.expr(f"count(distinct case when owners >= {EXAMPLE_OWNERS} then x end) as n_example"),
     )
     plain = "transform({0}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"

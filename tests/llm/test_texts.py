@@ -232,3 +232,11 @@ def test_mixing_reports_targets_out_of_reach(spark):
     with pytest.warns(UserWarning, match="a 0.9000 reached 0.5000"):
         rated, _ = mixing.mixing_rates(docs, table, {"a": 0.9, "b": 0.1}, least_rate=1.0, growth=None, most_rate=3.0)
     assert rated.where("rate between 1 and 3").count() == 50
+
+
+@pytest.mark.parametrize("owners", [1, 2, 3])
+def test_every_opaque_value_is_live_or_an_example(spark, owners):
+    rows = [(k, f"see {'Qw7' * 8} there", f"s{k}", "en") for k in range(owners)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    got = {(r.spans, r.n_live, r.n_example) for r in secrets.summarised(secrets.find_secrets(docs)).collect()}
+    assert got == {("live:4:28", 1, 0) if owners < 3 else ("", 0, 1)}
