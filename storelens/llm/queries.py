@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import embedding_dedup, mixing, packing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity, training_order
+from storelens.llm import decontamination, embedding_dedup, mixing, packing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity, training_order
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", F.expr("cast(score >= 0.5 as int)"))
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside occurrences of benchmark windows, and the items they come from."""
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontamination.summarised(decontamination.find_contamination(docs, benchmark))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -90,6 +96,7 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_decontamination": op11_decontamination,
 }
 ORACLE = {
     "op1_suffix_dedup": """
@@ -134,4 +141,30 @@ ORACLE = {
         from reach left join (select a, count(*) as n from pairs group by a) on a = node
         group by node, n
     """,
+    "op11_decontamination": r"""
+        with d as (
+            select doc_id, row_number() over () as r,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from documents),
+        b as (
+            select item_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from benchmark),
+        starts as (select item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) as i from b where len(w) > 0),
+        win as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') as g from starts),
+        lens as (select distinct n from win),
+        placed as (select r, n, w, unnest(range(0, len(w) - n + 1)) as p from d, lens),
+        grams as (select r, n, p, array_to_string(w[p + 1 : p + n], ' ') as g from placed),
+        found as (select distinct r, p, n, item_id from grams join win using (n, g)),
+        hit as (select r, count(distinct p + k) as n_hit from (select r, p, unnest(range(0, n)) as k from found) group by r),
+        items as (
+            select r, count(distinct item_id) as n_items,
+                   array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as s
+            from found where item_id is not null group by r)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+               sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (r) left join items using (r)
+    """,
 }
