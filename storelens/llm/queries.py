@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import decontamination, embedding_dedup, mixing, packing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity, training_order
+from storelens.llm import decontamination, embedding_dedup, mixing, packing, quality, resampling, secrets, simhash, suffix_dedup, token_counts, toxicity, training_order
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,6 +85,12 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.summarised(decontamination.find_contamination(docs, benchmark))
 
 
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weights of every document towards the benchmark's n-gram buckets, and the drawn ranks."""
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return resampling.resample(docs, benchmark)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -97,6 +103,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
     "op11_decontamination": op11_decontamination,
+    "op12_resampling": op12_resampling,
 }
 ORACLE = {
     "op1_suffix_dedup": """
