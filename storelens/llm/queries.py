@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import decontamination, embedding_dedup, mixing, packing, quality, resampling, secrets, simhash, suffix_dedup, token_counts, toxicity, training_order
+from storelens.llm import decontamination, embedding_dedup, mixing, packing, quality, resampling, secrets, simhash, suffix_dedup, token_counts, toxicity, training_order, vector_codes
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +91,11 @@ def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(docs, benchmark)
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product-quantisation code of every embedding, its error, and the digest of the trained codebooks."""
+    return vector_codes.compressed(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -104,6 +109,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_decontamination": op11_decontamination,
     "op12_resampling": op12_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE = {
     "op1_suffix_dedup": """
