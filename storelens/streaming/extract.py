@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -22,10 +24,11 @@ def extract_stream(
     """Run ``to_reports`` for the hosts of every micro-batch of pages and store the records, then stop.
 
     The pages of a store may arrive in pieces: with ``all_pages``, the whole page table as of now, a batch only names
-    the hosts that changed and their reports are made from all their pages. The latest batch of a record counts
-    when the table is read, and a retried batch replaces its own records, so a lost driver neither loses nor
-    doubles any.
+    the hosts that changed and their reports are made from all their pages. The stream writes as one writer named
+    after its checkpoint: a retried micro-batch replaces its own attempt, a record made again in a later batch is
+    read from the latest commit, and other streams or jobs writing the same table are never touched.
     """
+    writer = "stream-" + hashlib.sha256(checkpoint.encode()).hexdigest()[:20]
 
     def store(batch: DataFrame, number: int) -> None:
         rows = batch
@@ -33,7 +36,7 @@ def extract_stream(
             host = F.expr(extract_domain("url"))
             touched = batch.select(host.alias("_host")).distinct()
             rows = all_pages().withColumn("_host", host).join(touched, "_host", "left_semi").drop("_host")
-        append_records(as_records(to_reports(rows)), path, batch=number)
+        append_records(as_records(to_reports(rows)), path, batch=number, writer=writer)
 
     return (
         pages.writeStream.foreachBatch(store)

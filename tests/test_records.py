@@ -133,3 +133,47 @@ def test_cooldown_stream_agrees(spark, success):
         write_accepted(accepted, out, scratch_path(spark, "state")).awaitTermination()
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
     assert {(r.store_url, r.id) for r in spark.read.parquet(out).collect()} == greedy(rows, success is not None)
+
+
+def _reports(spark, *rows):
+    return spark.createDataFrame(
+        [(u, n, at, 1.0, True, []) for u, n, at in rows],
+        "store_url string, store_name string, scraped_at double, processing_time double, success boolean, errors array<string>",
+    )
+
+
+def test_rerun_of_a_batch_job_does_not_double(spark):
+    path = scratch_path(spark, "records")
+    reports = _reports(spark, ("https://a.com", "A", 1714651200.0), ("https://b.com", "B", 1714651200.0))
+    append_records(as_records(reports), path)
+    append_records(as_records(reports), path)  # the same job again, another writer
+    rows = read_records(spark, path).collect()
+    assert sorted(r.store_url for r in rows) == ["https://a.com", "https://b.com"]
+
+
+def test_retry_past_midnight_replaces_its_own_attempt(spark):
+    path = scratch_path(spark, "records")
+    first = _reports(spark, ("https://a.com", "A", 1714694399.0))  # 23:59:59
+    again = _reports(spark, ("https://a.com", "A2", 1714694401.0))  # 00:00:01 of the next day, another id
+    append_records(as_records(first), path, batch=7, writer="nightly")
+    append_records(as_records(again), path, batch=7, writer="nightly")
+    rows = read_records(spark, path).collect()
+    assert [(r.store_name, str(r.scraped_date)) for r in rows] == [("A2", "2024-05-03")]
+
+
+def test_two_streams_keep_each_others_records(spark):
+    path = scratch_path(spark, "records")
+    append_records(as_records(_reports(spark, ("https://a.com", "A", 1714651200.0))), path, batch=0, writer="stream-1")
+    append_records(as_records(_reports(spark, ("https://b.com", "B", 1714651200.0))), path, batch=0, writer="stream-2")
+    later = _reports(spark, ("https://a.com", "A-more-pages", 1714651200.0))  # same id, made again later
+    append_records(as_records(later), path, batch=1, writer="stream-1")
+    rows = sorted((r.store_url, r.store_name) for r in read_records(spark, path).collect())
+    assert rows == [("https://a.com", "A-more-pages"), ("https://b.com", "B")]
+
+
+def test_an_attempt_without_commit_is_not_read(spark):
+    path = scratch_path(spark, "records")
+    append_records(as_records(_reports(spark, ("https://a.com", "A", 1714651200.0))), path, writer="w")
+    lost = as_records(_reports(spark, ("https://z.com", "Z", 1714651200.0)))
+    lost.write.partitionBy("scraped_date").parquet(f"{path}/data/attempt=died-before-commit")
+    assert [r.store_url for r in read_records(spark, path).collect()] == ["https://a.com"]
