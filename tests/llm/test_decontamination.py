@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from storelens.llm import decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -41,7 +43,10 @@ def run(spark, docs, items):
     return sorted((tuple(r) for r in got), key=repr)
 
 
-def test_against_plain_scan(spark):
+@pytest.mark.parametrize("probe_bytes", [decontamination.PROBE_BYTES, 0])
+def test_against_plain_scan(spark, monkeypatch, probe_bytes):
+    """Both ways: verification in the scan (probes broadcast) and candidates shuffled to their texts."""
+    monkeypatch.setattr(decontamination, "PROBE_BYTES", probe_bytes)
     rng = random.Random(3)
     vocabulary = ["alpha", "beta", "Gamma", "delta", "épée", "x1", "the", "of", "42"]
 
