@@ -510,8 +510,8 @@ def stream_extract(spark, folder):
     def reports(batch: DataFrame) -> DataFrame:
         return R.store_reports(latest_pages(batch), _host_requests(batch), home="first", as_of=AS_OF)
 
-    everything = lambda: read_pages(spark, parts)
-    extract_stream(pages, reports, out, scratch_path(spark, "progress"), everything).awaitTermination()
+    store = scratch_path(spark, "page-store")
+    extract_stream(pages, reports, out, scratch_path(spark, "progress"), page_store=store).awaitTermination()
     rows = read_records(spark, out).withColumn("doc", from_document(F.col("insights_data")))
     return rows.selectExpr(
         "store_url", "store_name", "success", "size(doc.important_links) as n_links",

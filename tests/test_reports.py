@@ -12,7 +12,7 @@ from storelens.session import scratch_path
 from storelens.sources.pages import keyed, latest_pages, read_pages, stream_pages
 from storelens.sources.records import append_records, as_records, read_records
 from storelens.sources.requests import read_requests
-from storelens.streaming.extract import extract_stream
+from storelens.streaming.extract import add_to_store, extract_stream, pages_of_hosts
 
 AS_OF = dt.datetime(2024, 5, 2, 12, tzinfo=dt.timezone.utc)
 HOME = (
@@ -176,6 +176,45 @@ def test_stream_of_pages_equals_batch(spark):
     assert json.loads(stored[0].insights_data)["privacy_policy"]["content"] == direct[0].privacy_policy.content
 
 
+def test_stream_with_page_store_equals_batch(spark):
+    """Pages of a store in several micro-batches; each batch reads only its hosts' buckets of the page store."""
+    folder = scratch_path(spark, "crawl")
+    schema = "page_id long, url string, html string"
+    for k in range(3):
+        spark.createDataFrame(CRAWL[k::3], schema).coalesce(1).write.mode("append").parquet(folder)
+    requests, _ = read_requests(spark.createDataFrame([("a.com",), ("b.com/shop",)], "website_url string"))
+
+    def to_reports(pages):
+        hosts = keyed(pages).select("host").distinct()
+        asked = requests.where("true").join(hosts, requests["store_url"].contains(hosts["host"]), "left_semi")
+        return store_reports(pages, asked, as_of=AS_OF)
+
+    out, store = scratch_path(spark, "insights"), scratch_path(spark, "page-store")
+    pages = stream_pages(spark, folder, files_per_batch=1)
+    extract_stream(pages, to_reports, out, scratch_path(spark, "progress"), page_store=store).awaitTermination()
+    stored = read_records(spark, out).orderBy("store_url").collect()
+    direct = store_reports(read_pages(spark, folder), requests, as_of=AS_OF).orderBy("store_url").collect()
+    assert [(r.store_url, r.store_name, r.success) for r in stored] == [(r.store_url, r.store_name, r.success) for r in direct]
+    assert json.loads(stored[0].insights_data)["privacy_policy"]["content"] == direct[0].privacy_policy.content
+
+
+def test_page_store_reads_the_buckets_of_a_batch(spark):
+    """Bytes a micro-batch reads follow the batch: files of other buckets are not listed for it."""
+    store = scratch_path(spark, "page-store")
+    schema = "page_id long, url string, html string"
+    crawl = [(i, f"https://h{i % 40}.com/p{i}", "<p>x</p>") for i in range(400)]
+    add_to_store(spark.createDataFrame(crawl, schema), store, 0, buckets=32)
+    batch = spark.createDataFrame([(1000, "https://h7.com/new", "<p>y</p>")], schema)
+    touched = add_to_store(batch, store, 1, buckets=32)
+    hosts = spark.createDataFrame([("h7.com",)], "_host string")
+    table = pages_of_hosts(spark, store, hosts, touched)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.split("\n") if "PartitionFilters" in line]
+    assert len(touched) == 1 and len(scan) == 1 and f"= {touched[0]})]" in scan[0].split("PartitionFilters: ")[1]
+    assert sorted(r.page_id for r in table.collect()) == sorted([i for i in range(400) if i % 40 == 7] + [1000])
+    add_to_store(batch.limit(0), store, 2, buckets=32)  # an empty batch touches nothing
+
+
 def test_failed_fetch_is_no_copy(spark):
     crawl = [(1, "https://n.com/", "<title>N</title>"), (2, "https://n.com", None), (3, "https://n.com/faq", None)]
     pages = spark.createDataFrame(crawl, "page_id long, url string, html string")
