@@ -4,9 +4,9 @@ A request is accepted when the last accepted *successful* one of its store lies
 The rule is greedy, so it is a walk in time order per store and no window function. Walks run over
 sorted Arrow batches with the state carried along; no store is collected.
 
-A store with very many requests is cut into time chunks of bounded size. Each chunk is first reduced to a step
-function "earliest time the next success may count -> last counted success"; the functions of a store
-are chained to get the state at the start of each chunk; then all chunks are walked at once.
+A store with more than ``chunk_rows`` requests is never walked by one task: its successes point to the next
+success a cool-down later, the counted chain is marked by pointer doubling, and requests are judged by a forward
+fill of the last counted success (``busy_accepted``); all of it is range sorts and joins on unique places.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.operators.scans import fill_forward, positions
 from storelens.session import narrow_join, stored
 
 DAY = 24 * 3600
 CHUNK_ROWS = 2_000_000
-HOUR = 3_600_000_000
 NEVER = -(2**62)
 
 
@@ -68,61 +68,41 @@ def _replay(gap: int):
     return run
 
 
-def _chunk_steps(gap: int):
-    """Step function of one chunk of a busy store: rows (upto, exit) in rising order."""
-
-    def run(chunk: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(chunk["_us"].to_numpy())
-        n = len(times)
-        jump = np.searchsorted(times, times + gap)
-        end = np.where(jump < n, np.minimum(jump, n - 1), np.arange(n))
-        while True:
-            further = end[end]
-            if np.array_equal(further, end):
-                break
-            end = further
-        exits = times[end]
-        # The state before the chunk is older than its first request, so later starts cannot occur.
-        starts = min(np.searchsorted(times, times[0] + gap) + 1, n)
-        final = np.append(exits[1:starts] != exits[: starts - 1], True)
-        return pd.DataFrame(
-            {
-                "_key": chunk["_key"].iat[0],
-                "_chunk": chunk["_chunk"].iat[0],
-                "_upto": times[:starts][final],
-                "_exit": exits[:starts][final],
-            }
-        )
+def busy_accepted(rows: DataFrame, gap: int) -> DataFrame:
+    """Accepted rows ``(_key, _us, _id)`` of busy stores, without any task that holds a whole store.
 
-    return run
-
-
-def _chain_steps(gap: int):
-    """State at the start of every chunk, from step functions sorted by store, chunk and ``_upto``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, done, last = None, False, NEVER
-        for batch in batches:
-            rows = []
-            for key, chunk, upto, leave in batch.itertuples(index=False, name=None):
-                if current is None or current[0] != key:
-                    last = NEVER
-                if current != (key, chunk):
-                    current, done, entry = (key, chunk), False, last
-                    rows.append((key, chunk, entry))
-                    wanted = entry + gap
-                if not done and upto >= wanted:
-                    last, done = leave, True
-            yield pd.DataFrame(rows, columns=["_key", "_chunk", "_entry"])
-
-    return run
-
-
-def _hour_chunks(narrow: DataFrame, busy: DataFrame, chunk_rows: int) -> DataFrame:
-    """Chunk of every hour of every busy store, numbered in time order from 1, from an hourly histogram."""
-    hours = narrow_join(narrow, busy, "_key", "left_semi").groupBy("_key", "_hour").agg(F.count("*").alias("n"))
-    before = F.expr("sum(n) over (partition by _key order by _hour) - n")
-    return hours.select("_key", "_hour", (F.floor(before / chunk_rows) + 1).cast("int").alias("_chunk"))
+    1. Every row gets its place in (store, time, id) order by one range sort (``positions``).
+    2. Every success points to the next success of its store at least ``gap`` later (the first one counted after
+       it): a forward fill over successes and their *probes* (time + gap), sorted backwards.
+    3. The counted successes are the chain from each store's first success. Pointer doubling marks it: the marked
+       set and the jump table double each round (``J <- J o J``), so a chain of length L takes log2(L) + 1
+       rounds of joins on the place, which is unique, so no key is hot.
+    4. A request is accepted when no counted success lies before it, or the last one (a forward fill over the
+       places) lies at least ``gap`` back; counted successes are accepted.
+    """
+    placed = stored(positions(rows, [F.col("_key"), F.col("_us"), F.col("_id")], "_at"), "busy")
+    good = placed.where("_ok").select("_key", "_us", "_at")
+    probes = good.select("_key", (F.col("_us") + gap).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_to"), F.col("_at").alias("_from"))
+    targets = good.select("_key", F.col("_us").alias("_t"), F.lit(1).alias("_kind"), F.col("_at").alias("_to"), F.lit(None).cast("bigint").alias("_from"))
+    backwards = [F.col("_t").desc(), F.col("_kind").desc(), F.col("_to").desc_nulls_last()]
+    filled = fill_forward(probes.unionByName(targets), "_key", backwards, "_to", "_next")
+    jump = stored(filled.where("_kind = 0").select(F.col("_from").alias("_at"), "_next"), "jump")
+    marked = stored(good.groupBy("_key").agg(F.min("_at").alias("_at")).select("_at"), "chain")
+    size = marked.count()
+    while True:
+        reached = marked.join(jump, "_at").where("_next is not null").select(F.col("_next").alias("_at"))
+        grown = stored(marked.unionByName(reached).distinct(), "chain")
+        now = grown.count()
+        if now == size:
+            break
+        marked, size = grown, now
+        twice = jump.join(jump.select(F.col("_at").alias("_next"), F.col("_next").alias("_far")), "_next", "left")
+        jump = stored(twice.select("_at", F.col("_far").alias("_next")), "jump")
+    chain = narrow_join(placed, marked.withColumn("_counted", F.lit(True)), "_at", "left")
+    chain = chain.withColumn("_last", F.when(F.col("_counted"), F.col("_us")))
+    last = fill_forward(chain, "_key", [F.col("_at")], "_last", "_before")
+    due = F.expr(f"_counted or _before is null or _us - _before >= {gap}")
+    return last.where(due).select("_key", "_us", "_id")
 
 
 def cooldown_replay(
@@ -147,38 +127,22 @@ def cooldown_replay(
         micros.alias("_us"),
         F.col(id).alias("_id"),
         (F.lit(True) if success is None else F.coalesce(F.col(success), F.lit(False))).alias("_ok"),
-        F.floor(micros / HOUR).alias("_hour"),
     ).where("_key is not null and _us is not null")
     busy = narrow.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows).select("_key")
     if busy.isEmpty():
-        states = narrow.withColumns({"_chunk": F.lit(0), "_entry": F.lit(NEVER)})
+        states, hot = narrow.withColumns({"_chunk": F.lit(0), "_entry": F.lit(NEVER)}), None
     else:
-        chunks = stored(_hour_chunks(narrow, busy, chunk_rows), "chunks")
-        chunked = narrow_join(narrow, chunks, ["_key", "_hour"], "left").fillna(0, ["_chunk"])
-        steps = (
-            chunked.where("_chunk > 0 and _ok")
-            .select("_key", "_chunk", "_us")
-            .groupBy("_key", "_chunk")
-            .applyInPandas(_chunk_steps(gap), f"_key {types[key]}, _chunk int, _upto bigint, _exit bigint")
-        )
-        # Every chunk needs a state, also one without successes: a step no start can reach stands for it.
-        blank = chunks.select("_key", "_chunk").distinct()
-        blank = blank.withColumns({"_upto": F.lit(NEVER), "_exit": F.lit(NEVER)})
-        entries = (
-            steps.unionByName(blank)
-            .repartition("_key")
-            .sortWithinPartitions("_key", "_chunk", "_upto")
-            .mapInPandas(_chain_steps(gap), f"_key {types[key]}, _chunk int, _entry bigint")
-        )
-        states = narrow_join(chunked, entries, ["_key", "_chunk"], "left").withColumn(
-            "_entry", F.coalesce("_entry", F.lit(NEVER))
-        )
+        busy = stored(busy, "busy-stores")
+        hot = busy_accepted(narrow_join(narrow, busy, "_key", "left_semi"), gap)
+        states = narrow_join(narrow, busy, "_key", "left_anti").withColumns({"_chunk": F.lit(0), "_entry": F.lit(NEVER)})
     accepted = (
         states.select("_key", "_chunk", "_us", "_id", "_ok", "_entry")
         .repartition("_key", "_chunk")
         .sortWithinPartitions("_key", "_chunk", "_us", "_id")
         .mapInPandas(_replay(gap), f"_key {types[key]}, _us bigint, _id {types[id]}")
     )
+    if hot is not None:
+        accepted = accepted.unionByName(hot)
     return accepted.select(
         F.col("_key").alias(key), F.timestamp_micros("_us").alias(ts), F.col("_id").alias(id)
     )
