@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.packing import text_groups
+from storelens.llm.buffers import coded, ranges, runs, slices, text_bytes
 from storelens.session import stored
 
 #: Fixed values of the contract: word pattern, lower-casing of A-Z only, the reflected CRC-32 polynomial.
@@ -52,8 +52,13 @@ LONGEST = 3
 SEED = 42
 PERCENT = 5
 LEAST_WORDS = 20
-#: Characters of text a task turns into features at once (a longer text is a group of its own).
+#: Bytes of text a task turns into features at once (a longer text is a slice of its own).
 GROUP_CHARS = 4 << 20
+#: Bytes: A-Z lower-cased, and which bytes belong to words then (digits, a-z and every byte of a non-ASCII letter).
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[0x41:0x5B] += 0x20
+IS_WORD = np.zeros(256, bool)
+IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 
 
 def _byte_table() -> np.ndarray:
@@ -66,19 +71,19 @@ def _byte_table() -> np.ndarray:
 TABLE = _byte_table()
 
 
-def crc32_many(values: list[bytes]) -> np.ndarray:
-    """Unsigned CRC-32 of every byte string, by length-bucketed matrices updated column by column."""
-    lengths = np.fromiter(map(len, values), np.int64, len(values))
-    out = np.zeros(len(values), np.uint32)
+def crc32_flat(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Unsigned CRC-32 of the byte strings ``data[offsets[i]:offsets[i + 1]]``, by length-bucketed matrices."""
+    lengths = np.diff(offsets)
+    out = np.zeros(len(lengths), np.uint32)
     order = np.argsort(lengths, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
         width = int(lengths[group[0]]) if len(group) else 0
         if not width:
             continue
         if width > 64 * len(group):
-            out[group] = [zlib.crc32(values[i]) for i in group]
+            out[group] = [zlib.crc32(data[offsets[i] : offsets[i + 1]].tobytes()) for i in group]
             continue
-        matrix = np.frombuffer(b"".join([values[i] for i in group]), np.uint8).reshape(len(group), width)
+        matrix = data[offsets[group][:, None] + np.arange(width)]
         crc = np.full(len(group), 0xFFFFFFFF, np.uint32)
         for column in range(width):
             crc = TABLE[(crc ^ matrix[:, column]) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
@@ -86,36 +91,71 @@ def crc32_many(values: list[bytes]) -> np.ndarray:
     return out
 
 
-def feature_buckets(texts: list, buckets: int = BUCKETS, longest: int = LONGEST):
-    """Features of some texts as (row of each occurrence, its bucket, words per row, features per row)."""
-    split = [WORD.findall((t or "").translate(LOWER)) for t in texts]
-    n_words = np.fromiter(map(len, split), np.int64, len(split))
-    row = np.repeat(np.arange(len(split)), n_words)
-    codes, names = pd.factorize(pd.Series([w for ws in split for w in ws], dtype=object))
-    codes = codes.astype(np.int64)
+def crc32_many(values: list[bytes]) -> np.ndarray:
+    """Unsigned CRC-32 of every byte string (``crc32_flat`` of their concatenation)."""
+    offsets = np.zeros(len(values) + 1, np.int64)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    return crc32_flat(np.frombuffer(b"".join(values), np.uint8), offsets)
+
+
+def _features(data: np.ndarray, bounds: np.ndarray, buckets: int, longest: int):
+    """``feature_buckets`` of texts given as UTF-8 bytes and row bounds; all work on byte arrays."""
+    n_rows = len(bounds) - 1
+    lower = LOWER_BYTES[data]
+    starts, ends = runs(IS_WORD[lower], bounds)
+    row = np.searchsorted(bounds, starts, "right") - 1
+    n_words = np.bincount(row, minlength=n_rows).astype(np.int64)
+    if not len(starts):
+        empty = np.zeros(0, np.int64)
+        return empty, empty, n_words, np.zeros(n_rows, np.int64)
+    codes, names = coded(lower, starts, ends)
+    offsets = np.frombuffer(names.buffers()[1], np.int64 if pa.types.is_large_binary(names.type) else np.int32)
+    offsets = offsets[names.offset : names.offset + len(names) + 1].astype(np.int64)
     vocabulary = len(names)
-    rows, places = [row], [np.asarray(crc32_many([w.encode() for w in names]) % buckets, np.int64)[codes]]
-    keys, parts = codes, [[w] for w in names]
+    text = np.append(np.frombuffer(names.buffers()[2], np.uint8), np.uint8(0x20))  # a blank after all words
+    blank, word_start, word_len = len(text) - 1, offsets[:-1], np.diff(offsets)
+    rows, places = [row], [(crc32_flat(text, offsets) % buckets).astype(np.int64)[codes]]
+    keys, members = codes, np.arange(vocabulary)[:, None]
     for k in range(2, longest + 1):
         inside = row[k - 1 :] == row[: len(row) - k + 1] if len(row) >= k else np.zeros(0, bool)
         joined = keys[: len(keys) - 1] * vocabulary + codes[k - 1 :] if len(keys) > 1 else np.zeros(0, np.int64)
         gram, distinct = pd.factorize(joined)
-        pairs = np.asarray(distinct, np.int64)
-        parts = [parts[p // vocabulary] + [names[p % vocabulary]] for p in pairs]
-        values = np.asarray(crc32_many([" ".join(p).encode() for p in parts]) % buckets, np.int64)
+        distinct = np.asarray(distinct, np.int64)
+        members = np.concatenate([members[distinct // vocabulary], (distinct % vocabulary)[:, None]], 1)
+        # Bytes of every distinct feature: its words with one blank between them, gathered from the dictionary.
+        seg_start = np.full((len(members), 2 * k - 1), blank, np.int64)
+        seg_len = np.ones((len(members), 2 * k - 1), np.int64)
+        seg_start[:, ::2], seg_len[:, ::2] = word_start[members], word_len[members]
+        gram_offsets = np.zeros(len(members) + 1, np.int64)
+        np.cumsum(seg_len.sum(1), out=gram_offsets[1:])
+        values = (crc32_flat(text[ranges(seg_start.ravel(), seg_len.ravel())], gram_offsets) % buckets).astype(np.int64)
         rows.append(row[k - 1 :][inside])
         places.append(values[gram][inside])
         keys = gram.astype(np.int64)
-    n_features = np.bincount(np.concatenate(rows), minlength=len(split)) if len(split) else np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(places), n_words, n_features
+    every = np.concatenate(rows)
+    return every, np.concatenate(places), n_words, np.bincount(every, minlength=n_rows).astype(np.int64)
+
+
+def feature_buckets(texts, buckets: int = BUCKETS, longest: int = LONGEST):
+    """Features of some texts (a list or Arrow array; null is empty) as (row of each occurrence, its bucket,
+    words per row, features per row)."""
+    column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string())
+    return _features(*text_bytes(column), buckets, longest)
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows ``first .. last`` of a text column of about ``GROUP_CHARS`` bytes, with their bytes and bounds."""
+    data, bounds = text_bytes(column)
+    for first, last in slices(bounds, GROUP_CHARS):
+        yield first, last, data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
 
 
 def _bucket_totals(buckets: int, longest: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, texts in text_groups(batch, GROUP_CHARS):
-                total += np.bincount(feature_buckets(texts, buckets, longest)[1], minlength=buckets)
+            for _, _, data, bounds in _slices(batch.column(1)):
+                total += np.bincount(_features(data, bounds, buckets, longest)[1], minlength=buckets)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["bucket", "n"])
 
@@ -143,11 +183,12 @@ def gains(documents: np.ndarray, target: np.ndarray) -> np.ndarray:
 def _weights(gain: np.ndarray, longest: int):
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in text_groups(batch, GROUP_CHARS):
-                rows, places, n_words, n_features = feature_buckets(texts, len(gain), longest)
-                weight = np.bincount(rows, weights=gain[places], minlength=len(texts))
+            ids = batch.column(0)
+            for first, last, data, bounds in _slices(batch.column(1)):
+                rows, places, n_words, n_features = _features(data, bounds, len(gain), longest)
+                weight = np.bincount(rows, weights=gain[places], minlength=last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n_words), pa.array(n_features), pa.array(weight, pa.float64())],
+                    [ids.slice(first, last - first), pa.array(n_words), pa.array(n_features), pa.array(weight, pa.float64())],
                     ["doc_id", "n_words", "n_features", "weight"],
                 )
 
