@@ -15,9 +15,10 @@ from storelens.functions.select import (
     any_of,
     attr,
     attr_contains,
+    by_parent,
     cls,
     inner,
-    next_sibling,
+    next_sibling_sorted,
     node_text,
     select,
     select_first,
@@ -162,8 +163,8 @@ def faq_items(nodes: str, page_text: str) -> str:
 
 def _with_next(nodes: str, page_text: str, asked: str, answer: Selector) -> str:
     """Pairs of each asked node and its next sibling matching ``answer``."""
-    pairs = f"transform({asked}, q -> {_pair(page_text, 'q', next_sibling('answers', 'q'))})"
-    return let("answers", select(nodes, answer), f"filter({pairs}, p -> p.answer is not null)")
+    pairs = f"transform({asked}, q -> {_pair(page_text, 'q', next_sibling_sorted('answers', 'q'))})"
+    return let("answers", by_parent(select(nodes, answer)), f"filter({pairs}, p -> p.answer is not null)")
 
 
 def faq_definitions(nodes: str, page_text: str) -> str:
