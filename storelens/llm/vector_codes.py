@@ -59,6 +59,29 @@ def _nearest_all(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * (x @ book.T) + (book * book).sum(1)[None, :]
 
 
+def _rows_of(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """The lists of some rows of a list column as one matrix (all those rows hold lists of one length)."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    width = int(offsets[rows[0] + 1] - offsets[rows[0]]) if len(rows) else 0
+    return values[offsets[rows][:, None] + np.arange(width)]
+
+
+def _list_column(parts: list[tuple[np.ndarray, np.ndarray]], n_rows: int, kind: pa.DataType) -> pa.Array:
+    """A list column from matrices of some rows each; rows in none of them are null."""
+    widths = np.zeros(n_rows, np.int64)
+    for rows, matrix in parts:
+        widths[rows] = matrix.shape[1]
+    offsets = np.zeros(n_rows + 1, np.int64)
+    np.cumsum(widths, out=offsets[1:])
+    values = np.zeros(int(offsets[-1]), kind.to_pandas_dtype())
+    present = np.zeros(n_rows, bool)
+    for rows, matrix in parts:
+        values[offsets[rows][:, None] + np.arange(matrix.shape[1])] = matrix
+        present[rows] = True
+    return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values, kind), mask=pa.array(~present)).cast(pa.list_(kind))
+
+
 def _assign(books: dict, drift: dict, b: int):
     """One assignment of every part of every vector, with the bounds carried from the last one."""
 
@@ -69,19 +92,19 @@ def _assign(books: dict, drift: dict, b: int):
                 continue
             cols = {name: batch.column(name) for name in batch.schema.names}
             lengths = cols["n"].to_numpy(zero_copy_only=False)
-            flat = cols["x"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
             first = cols["assign"].null_count == n_rows
-            out = {k: [None] * n_rows for k in ("assign", "dist", "upper", "tracked", "lower", "outer")}
+            out = {k: [] for k in ("assign", "dist", "upper", "tracked", "lower", "outer")}
             deepest = -1
-            if not first:
-                old = {k: cols[k].to_pylist() for k in ("assign", "upper", "tracked", "lower", "outer")}
             for length in np.unique(lengths):
                 book = books.get(int(length))
                 rows = np.flatnonzero(lengths == length)
                 if book is None:
                     continue
-                x = np.stack([flat[offsets[r] : offsets[r + 1]] for r in rows]).reshape(len(rows), PARTS, -1)
+                x = _rows_of(cols["x"], rows).astype(np.int64).reshape(len(rows), PARTS, -1)
+                if not first:
+                    old = {name: _rows_of(cols[name], rows) for name in ("assign", "upper", "outer")}
+                    old_tracked = _rows_of(cols["tracked"], rows).reshape(len(rows), PARTS, -1).astype(np.int64)
+                    old_lower = _rows_of(cols["lower"], rows).reshape(len(rows), PARTS, -1)
                 k = book.shape[1]
                 keep = min(b, k - 1)
                 assign = np.zeros((len(rows), PARTS), np.int64)
@@ -95,12 +118,11 @@ def _assign(books: dict, drift: dict, b: int):
                     xp, bp = x[:, p, :], book[p]
                     full = np.ones(len(rows), bool)
                     if not first and move is not None:
-                        a0 = np.array([old["assign"][r][p] for r in rows])
-                        t0 = np.array([old["tracked"][r][p * len(old["tracked"][r]) // PARTS :][: len(old["tracked"][r]) // PARTS] for r in rows])
-                        l0 = np.array([old["lower"][r][p * len(old["lower"][r]) // PARTS :][: len(old["lower"][r]) // PARTS] for r in rows])
-                        u = np.array([old["upper"][r][p] for r in rows]) + move[p][a0]
+                        a0 = old["assign"][:, p].astype(np.int64)
+                        t0, l0 = old_tracked[:, p, :], old_lower[:, p, :]
+                        u = old["upper"][:, p] + move[p][a0]
                         lo = (l0 - move[p][t0]) if t0.size else np.zeros((len(rows), 0))
-                        out0 = np.array([old["outer"][r][p] for r in rows]) - move[p].max()
+                        out0 = old["outer"][:, p] - move[p].max()
                         least = np.minimum(lo.min(1) if lo.shape[1] else np.inf, out0)
                         sure = u * (1 + MARGIN) + MARGIN < least
                         # Settled by the bounds: the entry stays; its exact distance is one dot product.
@@ -145,20 +167,14 @@ def _assign(books: dict, drift: dict, b: int):
                         upper[everything, p] = near[:, 0]
                         tracked[everything, p], lower[everything, p] = order[:, 1 : keep + 1], near[:, 1 : keep + 1]
                         outer[everything, p] = near[:, keep + 1] if k > keep + 1 else np.inf
-                for i, r in enumerate(rows):
-                    out["assign"][r], out["dist"][r] = assign[i].tolist(), dist[i].tolist()
-                    out["upper"][r], out["outer"][r] = upper[i].tolist(), outer[i].tolist()
-                    out["tracked"][r], out["lower"][r] = tracked[i].ravel().tolist(), lower[i].ravel().tolist()
+                for name, matrix in (("assign", assign), ("dist", dist), ("upper", upper), ("outer", outer)):
+                    out[name].append((rows, matrix))
+                out["tracked"].append((rows, tracked.reshape(len(rows), -1)))
+                out["lower"].append((rows, lower.reshape(len(rows), -1)))
+            kinds = {"assign": pa.int32(), "dist": pa.int64(), "upper": pa.float64(), "tracked": pa.int32(), "lower": pa.float64(), "outer": pa.float64()}
             arrays = [cols["vec_id"], cols["label"], cols["n"], cols["x"]]
-            arrays += [
-                pa.array(out["assign"], pa.list_(pa.int32())),
-                pa.array(out["dist"], pa.list_(pa.int64())),
-                pa.array(out["upper"], pa.list_(pa.float64())),
-                pa.array(out["tracked"], pa.list_(pa.int32())),
-                pa.array(out["lower"], pa.list_(pa.float64())),
-                pa.array(out["outer"], pa.list_(pa.float64())),
-                pa.array(np.full(n_rows, deepest, np.int32)),
-            ]
+            arrays += [_list_column(out[name], n_rows, kind) for name, kind in kinds.items()]
+            arrays += [pa.array(np.full(n_rows, deepest, np.int32))]
             names = ["vec_id", "label", "n", "x", "assign", "dist", "upper", "tracked", "lower", "outer", "deepest"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
