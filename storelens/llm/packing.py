@@ -27,8 +27,12 @@ from storelens.llm.tokens import END_ID, encoder, vocabulary_path
 LENGTH = 2048
 #: Remainders are packed as soon as this many tokens wait.
 WINDOW_TOKENS = 1 << 20
-#: Texts tokenised at once, in characters.
+#: Texts handled at once, in characters, where nothing smaller is asked for.
 BATCH_CHARS = 8 << 20
+#: Texts tokenised at once, in characters: the encoder holds some 30 bytes for each.
+SLICE_CHARS = 1 << 20
+#: Rows of a batch that are Python strings at once.
+SLICE_ROWS = 256
 #: Sequence ids: number of the partition, then a counter below this.
 IDS_PER_PARTITION = 1 << 36
 
@@ -125,13 +129,15 @@ class _Packer:
 def text_groups(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[list, list]]:
     """Ids and texts of a batch (columns 0 and 1) in groups of about ``limit`` characters."""
     ids, texts, size = [], [], 0
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        ids.append(doc)
-        texts.append(text)
-        size += len(text or "")
-        if size >= limit:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+    for first in range(0, batch.num_rows, SLICE_ROWS):
+        rows = batch.slice(first, SLICE_ROWS)
+        for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+            ids.append(doc)
+            texts.append(text)
+            size += len(text or "")
+            if size >= limit:
+                yield ids, texts
+                ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
@@ -160,7 +166,7 @@ def pack_documents(
             TaskContext.get().partitionId() * IDS_PER_PARTITION, length, linear, quadratic, window_tokens
         )
         for batch in batches:
-            for names, texts in text_groups(batch, BATCH_CHARS):
+            for names, texts in text_groups(batch, SLICE_CHARS):
                 ids, at = encoder(path).encode(texts, END_ID)
                 ids = ids.astype("<u4", copy=False)
                 for k, doc in enumerate(names):

@@ -101,3 +101,36 @@ def test_shards_hold_every_id_once(spark, tmp_path):
 def test_order_of_odd_rows(odd, nothing):
     assert training_order.write_shards(odd).count() > 29
     assert training_order.write_shards(nothing).count() == 0
+
+
+def test_packing_memory_does_not_follow_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from storelens.llm import packing
+
+    text = "some plain words of a text " * 40
+    peaks = []
+    for n in (4_000, 16_000):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([text] * n)], ["doc", "text"])
+        tracemalloc.start()
+        rows = 0
+        for ids, texts in packing.text_groups(batch, packing.SLICE_CHARS):
+            assert sum(map(len, texts)) < packing.SLICE_CHARS + len(text)
+            rows += len(ids)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == n
+    assert peaks[1] < 1.2 * peaks[0]
+
+
+def test_pieces_do_not_depend_on_the_slices(spark, monkeypatch):
+    from storelens.llm import packing
+
+    rows = [(k, None if k % 7 == 0 else "word and more " * (k * 37 % 400)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    whole = sorted(map(tuple, packing.pack_documents(docs).collect()))
+    monkeypatch.setattr(packing, "SLICE_CHARS", 500)
+    monkeypatch.setattr(packing, "SLICE_ROWS", 3)
+    assert sorted(map(tuple, packing.pack_documents(docs).collect())) == whole
