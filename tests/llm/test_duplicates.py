@@ -231,3 +231,32 @@ def test_shingles_of_odd_rows(odd, nothing):
     assert len(rows) == 9 and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
     assert shingle_dedup.near_duplicates(nothing).count() == 0
+
+
+def test_near_duplicate_stage_takes_simhash_candidates(spark, monkeypatch):
+    """Without any sketch link, texts of one SimHash component are compared exactly and linked."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingle_dedup, "LEAST_EQUAL", shingle_dedup.BANDS * shingle_dedup.BAND + 1)
+    rng = random.Random(13)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        rows.append((10 * k, " ".join(words)))
+        words[rng.randrange(400)] = "other"
+        rows.append((10 * k + 1, " ".join(words)))
+    # One fingerprint, far apart as sets: a repeated line outweighs the rest. Compared and not linked.
+    line = "the same line again and again now "
+    rows += [(1000, line * 60 + " ".join(f"a{k}" for k in range(40))), (1001, line * 60 + " ".join(f"b{k}" for k in range(40)))]
+    # Two texts of one id: the key of id and text tells them apart.
+    rows += [(2000, "one text under an id of its own kind"), (2000, "quite another text under that very id here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    full = docs.selectExpr("*", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars")
+    texts = docs.selectExpr(f"{shingle_dedup.text_key()} as k2", "doc_id", "text")
+    alike = {r.k2: r.component_id for r in simhash.near_duplicates(texts, "k2", shingle=shingle_dedup.SHINGLE).collect()}
+    group = {r.doc_id: alike[r.k2] for r in texts.collect()}
+    near = [k for k in range(30) if group[10 * k] == group[10 * k + 1]]
+    assert len(near) >= 5 and group[1000] == group[1001]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, full, "").select("doc_id").collect()}
+    assert {k for k in range(30) if 10 * k + 1 not in kept} == set(near)
+    assert {10 * k for k in range(30)} | {1000, 1001, 2000} <= kept
