@@ -250,3 +250,39 @@ def test_many_questions_are_not_quadratic(spark):
 
     took(1000)
     assert took(50_000) < 4 * took(25_000) + 2
+
+
+def test_parse_memory_does_not_follow_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from storelens.operators import dom
+
+    page = "<main>" + "<p class='a b' href='/x'>some words</p><div>more</div>" * 400 + "</main>"
+    peaks = []
+    for n in (100, 800):
+        batch = pa.array([f"{k}{page}" for k in range(n)])
+        tracemalloc.start()
+        rows = sum(len(dom.outlines(part, None, frozenset(), None)) for part in dom.page_slices(batch))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == n
+    assert peaks[1] < 1.2 * peaks[0]
+
+
+def test_batches_are_parsed_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from storelens.operators import dom
+
+    html = [None, "<p>a</p>" * 9, "", "<div>b</div>", None, "<i>" + "c" * 200 + "</i>", "<p>é</p>" * 3, None]
+    slices = list(dom.page_slices(pa.array(html), 40))
+    assert pa.concat_arrays(slices).to_pylist() == html and len(slices) > 3
+    assert all(len(s) == 1 or sum(len((x or "").encode()) for x in s.to_pylist()) <= 40 for s in slices)
+    assert not list(dom.page_slices(pa.array([], pa.string())))
+    table = pages(spark, *html).coalesce(1)
+    whole = with_dom(table).orderBy("page_id").collect()
+    monkeypatch.setattr(dom, "PARSE_BYTES", 40)
+    assert with_dom(table).orderBy("page_id").collect() == whole
+    assert [r.visible_text for r in whole][:4] == [None, "a" * 9, "", "b"]
