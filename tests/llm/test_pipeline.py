@@ -57,3 +57,18 @@ def test_mixing_repeats_skewed_corpora_up_to_the_targets(spark, tmp_path):
     mixed = corpus_pipeline.mix(spark, docs, str(tmp_path))
     got = mixed.selectExpr(f"sum(if(doc_id % 2 = 0, {words}, 0)) / sum({words}) as low", "count(distinct doc_id) as n").first()
     assert got.n == 600 and abs(got.low - corpus_pipeline.TARGETS["quality0"]) < 0.01
+
+
+def test_near_duplicate_stage_deals_texts_out_once(spark):
+    rows = [(k, f"text number {k} of its own words {k * k}", "en", "s", 30) for k in range(50)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        plan = kept._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sorted(map(tuple, kept.collect())) == sorted(set(rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    texts = [k for k, line in enumerate(plan) if "SortAggregate" in line and "text" in line]
+    assert len(texts) == 2 and not any("Exchange" in line for line in plan[texts[0] : texts[1]])
