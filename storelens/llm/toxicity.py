@@ -14,6 +14,7 @@ An empty label table gives a model that calls nothing toxic.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,9 @@ WINDOW = 4
 SCALE = np.float32(30.0)
 #: Share of the subwords left out at each step on windows.
 DROPOUT = 0.4
+#: The driver trains on slices of this many bytes of text, and adds up this many rows of numbers at a time.
+TRAINING_SLICE = 1 << 20
+TRAINING_CHUNK = 1 << 16
 LOW, HIGH = ord("<"), ord(">")
 
 WORD_BYTE = np.zeros(256, bool)
@@ -61,9 +65,14 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.searchsorted(bounds, starts, "right") - 1, code, names
 
 
-def subwords(names: pa.Array, buckets: int, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def subword_parts(names: pa.Array, buckets: int, step: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all subwords of each word and the bounds of the words, some words at a time."""
+    return (_subwords(names.slice(k, step), buckets) for k in range(0, max(len(names), 1), step))
+
+
+def subwords(names: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all subwords of each word, one word after the other, and the bounds of the words."""
-    parts = [_subwords(names.slice(k, step), buckets) for k in range(0, max(len(names), 1), step)]
+    parts = list(subword_parts(names, buckets))
     sizes = np.concatenate([np.diff(at) for _, at in parts])
     return np.concatenate([b for b, _ in parts]), np.append(0, np.cumsum(sizes))
 
@@ -112,17 +121,44 @@ def lowered(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
 
 
+def _sums(part: Callable[[int, int], np.ndarray], starts: np.ndarray, total: int) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``starts``; ``part(first, last)`` makes the rows, a chunk at a time."""
+    bounds = np.append(starts, total)
+    out = []
+    for a, b in buffers.slices(bounds, TRAINING_CHUNK):
+        out.append(np.add.reduceat(part(bounds[a], bounds[b]), bounds[a:b] - bounds[a]))
+    return np.concatenate(out)
+
+
 class _Fit:
-    """Embedding table and softmax under training, on bags of words (row, word, weight)."""
+    """Embedding table and softmax under training, on bags of words (row, word, weight).
+
+    A word is the bag of those of its subwords whose bucket at least ``least`` texts hold; ``texts_of`` counts the
+    texts of every word.
+    """
 
-    def __init__(self, bucket: np.ndarray, bounds: np.ndarray, keep: np.ndarray, buckets: int, dim: int):
-        owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))[keep]
-        there = np.bincount(bucket[keep], minlength=buckets) > 0
+    def __init__(self, names: pa.Array, texts_of: np.ndarray, least: int, buckets: int, dim: int):
+        held = np.zeros(buckets)
+        parts, sizes, first = [], [], 0
+        for bucket, bounds in subword_parts(names, buckets):
+            size = np.diff(bounds)
+            held += np.bincount(bucket, weights=np.repeat(texts_of[first : first + len(size)], size), minlength=buckets)
+            parts.append(bucket)
+            sizes.append(size)
+            first += len(size)
+        there = held >= least
         self.used = np.flatnonzero(there)
-        self.bucket = (np.cumsum(there, dtype=np.int32) - 1)[bucket[keep]]
-        self.at = np.append(0, np.cumsum(np.bincount(owner, minlength=len(bounds) - 1)))
-        self.length = np.maximum(np.diff(bounds), 1).astype(np.float32)
-        self.buckets = buckets
+        place = np.cumsum(there, dtype=np.int32) - 1
+        del held
+        counts = []
+        for k, (bucket, size) in enumerate(zip(parts, sizes, strict=True)):
+            keep = there[bucket]
+            owner = np.repeat(np.arange(len(size)), size)
+            counts.append(np.bincount(owner[keep], minlength=len(size)))
+            parts[k] = place[bucket[keep]]
+        self.bucket = np.concatenate(parts)
+        self.at = np.append(0, np.cumsum(np.concatenate(counts)))
+        self.length = np.maximum(np.concatenate(sizes), 1).astype(np.float32)
         random = np.random.default_rng(7)
         self.table = random.normal(0, 0.05, (len(self.used), dim)).astype(np.float32)
         self.soft = random.normal(0, 0.3, (dim, 2)).astype(np.float32)
@@ -130,9 +166,14 @@ class _Fit:
 
     def word_values(self) -> np.ndarray:
         """What each word adds to the odds of label 1, as a share of the whole bag."""
-        value = np.append(self.table @ (self.soft[:, 1] - self.soft[:, 0]), 0)[np.append(self.bucket, -1)]
-        total = np.append(0, np.cumsum(value[:-1], dtype=np.float64))
-        return (total[self.at[1:]] - total[self.at[:-1]]) / self.length * SCALE
+        value = self.table @ (self.soft[:, 1] - self.soft[:, 0])
+        out, done = np.zeros(len(self.length)), 0.0
+        for a, b in buffers.slices(self.at, TRAINING_CHUNK):
+            at = self.at[a : b + 1]
+            total = np.cumsum(np.append(done, value[self.bucket[at[0] : at[-1]]]))
+            out[a:b] = total[at[1:] - at[0]] - total[at[:-1] - at[0]]
+            done = total[-1]
+        return out / self.length * SCALE
 
     def learn(self, row, word, weight, target: np.ndarray, steps: int, dropout: float = 0, rate: float = 0.05) -> None:
         """Adam steps over all bags at once. Rows without a word count through the bias alone.
@@ -150,30 +191,38 @@ class _Fit:
         if not len(row):
             return
         sizes = sizes[kept]
-        flat = self.bucket[buffers.ranges(self.at[:-1][present], sizes)]
+        flat = np.concatenate(
+            [
+                self.bucket[buffers.ranges(self.at[:-1][present[a:b]], sizes[a:b])]
+                for a, b in buffers.slices(np.append(0, np.cumsum(sizes)), TRAINING_CHUNK)
+            ]
+        )
         length = self.length[present][:, None]
         word_at = np.append(0, np.cumsum(sizes))[:-1]
         order = np.argsort(row, kind="stable")
-        row, word, weight = row[order], word[order], weight[order][:, None]
+        row, word, weight = row[order].astype(np.int32), word[order].astype(np.int32), weight[order][:, None]
         row_at = np.flatnonzero(np.append(True, np.diff(row) > 0))
         back_order = np.argsort(word, kind="stable")
         back_row, back_weight = row[back_order], weight[back_order]
         back_at = np.flatnonzero(np.append(True, np.diff(word[back_order]) > 0))
-        by_bucket = np.argsort(flat, kind="stable")
+        by_bucket = np.argsort(flat, kind="stable").astype(np.int32 if len(flat) < 1 << 31 else np.int64)
         bucket_at = np.flatnonzero(np.append(True, np.diff(flat[by_bucket]) > 0))
-        touched = flat[by_bucket][bucket_at]
+        touched = flat[by_bucket[bucket_at]]
         owner = np.repeat(np.arange(len(present), dtype=np.int32), sizes)[by_bucket]
         hit = target.astype(int)
         share = np.where(target == 1, 0.5 / max(target.sum(), 1), 0.5 / max(len(target) - target.sum(), 1))[:, None]
         state = [[np.zeros_like(x), np.zeros_like(x)] for x in (self.table[touched], self.soft, self.bias)]
         random = np.random.default_rng(len(flat))
+        heard = np.empty((len(flat), 1), bool)
+
+        def chosen(a: int, b: int) -> np.ndarray:
+            heard[a:b] = random.random((b - a, 1), np.float32) >= dropout
+            return self.table[flat[a:b]] * heard[a:b]
+
         for step in range(1, steps + 1):
-            heard = (random.random((len(flat), 1), np.float32) >= dropout).astype(np.float32)
-            chosen = self.table[flat]
-            chosen *= heard
-            vectors = np.add.reduceat(chosen, word_at) / length
+            vectors = _sums(chosen, word_at, len(flat)) / length
             doc = np.zeros((len(target), self.table.shape[1]), np.float32)
-            doc[row[row_at]] = np.add.reduceat(vectors[word] * weight, row_at)
+            doc[row[row_at]] = _sums(lambda a, b: vectors[word[a:b]] * weight[a:b], row_at, len(row))
             logits = doc @ self.soft + self.bias
             logits -= logits.max(1, keepdims=True)
             chance = np.exp(logits)
@@ -181,11 +230,9 @@ class _Fit:
             chance[np.arange(len(target)), hit] -= 1
             delta = (chance * share).astype(np.float32)
             back = delta @ self.soft.T
-            word_grad = np.add.reduceat(back[back_row] * back_weight, back_at) / length
-            chosen = word_grad[owner]
-            chosen *= heard[by_bucket]
+            word_grad = _sums(lambda a, b: back[back_row[a:b]] * back_weight[a:b], back_at, len(row)) / length
             grads = (
-                np.add.reduceat(chosen, bucket_at) + DECAY * self.table[touched],
+                _sums(lambda a, b: word_grad[owner[a:b]] * heard[by_bucket[a:b]], bucket_at, len(flat)) + DECAY * self.table[touched],
                 doc.T @ delta + 1e-4 * self.soft,
                 delta.sum(0),
             )
@@ -199,6 +246,17 @@ class _Fit:
             self.bias -= moves[2]
 
 
+def _word_slices(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
+    """Row and dictionary place of every word, slice by slice of whole texts, and the dictionary of all slices."""
+    rows, parts = [], []
+    for first, last in buffers.slices(buffers.text_bytes(texts)[1], TRAINING_SLICE):
+        row, code, names = word_table(lowered(texts.slice(first, last - first)))
+        rows.append((row + first).astype(np.int32))
+        parts.append(pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), names))
+    chunks = pa.chunked_array(parts).unify_dictionaries().chunks
+    return rows, [c.indices.to_numpy() for c in chunks], chunks[0].dictionary
+
+
 def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the window of every word (rows are in order), and the row of every window."""
     if not len(rows):
@@ -230,39 +288,55 @@ def train(
     blank = np.zeros(buckets, np.float32)
     if not len(texts) or target.min() == target.max():
         return Model(blank, 20.0 if len(texts) and target.min() == 1 else -20.0)
-    rows, code, names = word_table(lowered(pa.array(texts, pa.large_string())))
+    column = pa.array(texts, pa.large_string())
+    rows, codes, names = _word_slices(column)
+    del column
     if not len(names):
         return Model(blank, -20.0)
-    bucket, bounds = subwords(names, buckets)
-    pair, count = np.unique(rows * len(names) + code, return_counts=True)
-    row, word = np.divmod(pair, len(names))
+    pairs = [np.unique(r.astype(np.int64) * len(names) + c, return_counts=True) for r, c in zip(rows, codes, strict=True)]
+    row, word = (np.concatenate([f(p, len(names)).astype(np.int32) for p, _ in pairs]) for f in (np.floor_divide, np.mod))
+    count = np.concatenate([n for _, n in pairs])
+    del pairs
     texts_of = np.bincount(word, minlength=len(names)).astype(np.float32)
-    held = np.bincount(bucket, weights=np.repeat(texts_of, np.diff(bounds)), minlength=buckets)
-    fit = _Fit(bucket, bounds, held[bucket] >= min(8, 2 + int(target.sum()) // 20), buckets, dim)
+    pa.default_memory_pool().release_unused()  # else Arrow keeps the slices' memory
+    fit = _Fit(names, texts_of, min(8, 2 + int(target.sum()) // 20), buckets, dim)
     size = np.bincount(row, weights=count, minlength=len(texts))
     common = texts_of[word] >= min(2, len(texts) // 50)  # a word of one text says nothing about others
     fit.learn(row[common], word[common], (count / size[row])[common], target, steps // 2)
-    window, window_row = windows(rows)
-    fresh = fresh_words(window, code)
+    del row, word, count, size, common
+    cut = [windows(r) for r in rows]  # no window crosses a text, no text a slice
+    window_row = np.concatenate([r for _, r in cut])
+    first_window = np.append(0, np.cumsum([len(r) for _, r in cut]))
+    window = [(w + k).astype(np.int32) for (w, _), k in zip(cut, first_window[:-1], strict=True)]
+    del cut, rows
+    fresh = [fresh_words(w, c) for w, c in zip(window, codes, strict=True)]
+
+    def window_values() -> np.ndarray:
+        value = fit.word_values()
+        slices = zip(window, codes, fresh, first_window[:-1], strict=True)
+        return np.concatenate([np.bincount(w - k, weights=value[c] * f) for w, c, f, k in slices if len(w)])
+
     for _ in range(rounds):
-        value = np.bincount(window, weights=fit.word_values()[code] * fresh)
+        value = window_values()
         order = np.lexsort((-value, window_row))
         first = np.flatnonzero(np.append(True, np.diff(window_row[order]) > 0))
         rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
         picked = np.sort(order[rank < np.where(target[window_row[order]] == 1, 1, 4)])
         number = np.full(len(window_row), -1)
         number[picked] = np.arange(len(picked))
-        inside = (number[window] >= 0) & fresh
+        inside = [(number[w] >= 0) & f for w, f in zip(window, fresh, strict=True)]
+        bag = np.concatenate([number[w[i]] for w, i in zip(window, inside, strict=True)])
         fit.learn(
-            number[window[inside]],
-            code[inside],
-            np.full(int(inside.sum()), 1 / WINDOW),
+            bag,
+            np.concatenate([c[i] for c, i in zip(codes, inside, strict=True)]),
+            np.full(len(bag), 1 / WINDOW),
             target[window_row[picked]],
             steps,
             DROPOUT,
         )
+    pa.default_memory_pool().release_unused()
     blank[fit.used] = fit.table @ (fit.soft[:, 1] - fit.soft[:, 0]) * SCALE
-    value = np.bincount(window, weights=fit.word_values()[code] * fresh) / WINDOW
+    value = window_values() / WINDOW
     best = np.zeros(len(texts))
     head = np.flatnonzero(np.append(True, np.diff(window_row) > 0))
     best[window_row[head]] = np.maximum.reduceat(value, head)
