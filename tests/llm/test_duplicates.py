@@ -260,3 +260,34 @@ def test_near_duplicate_stage_takes_simhash_candidates(spark, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, full, "").select("doc_id").collect()}
     assert {k for k in range(30) if 10 * k + 1 not in kept} == set(near)
     assert {10 * k for k in range(30)} | {1000, 1001, 2000} <= kept
+
+
+@pytest.mark.parametrize("broadcast", [-1, 10 << 20])
+def test_near_duplicate_stage_compares_rows_without_id_and_texts_of_one_id(spark, broadcast):
+    """Every row is judged by its own text: null ids are compared too, and an id with two texts loses neither."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    rows = []
+    for k in range(40):
+        base = [f"w{rng.randrange(2000)}" for _ in range(rng.choice([3, 60, 200]))]
+        for _ in range(rng.choice([1, 2, 4])):
+            words = [f"w{rng.randrange(2000)}" if rng.random() < rng.choice([0, 0.01]) else w for w in base]
+            rows.append((rng.choice([None, None, rng.randrange(25)]), " ".join(words), "en", "s", len(base)))
+    rows += [(None, None, "en", "s", 0), (30, "", "en", "s", 0), (None, " ", None, "s", 0)]
+    rows += [(None, "abc", None, "s", 3), (None, None, "abc", "s", 3)]  # equal but for the place of the null
+    rows += rng.sample(rows, 20)
+    group = plain_groups([(k, r[1]) for k, r in enumerate(rows)])
+    ids = {g: [rows[k][0] for k in group if group[k] == g] for g in set(group.values())}
+    want = Counter((g, min((i for i in members if i is not None), default=None)) for g, members in ids.items())
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(kept) <= set(rows)
+    assert Counter((group[rows.index(r)], r[0]) for r in kept) == want
+    texts = Counter(i for i in (r[0] for r in kept) if i is not None)
+    assert max(texts.values()) > 1 and sum(r[0] is None for r in kept) > 1  # the rows hold both cases
